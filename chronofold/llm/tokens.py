@@ -13,21 +13,33 @@ next to a blank or newline are cut only at their safe blanks.
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per worker; beyond it the memory starts anew.
-KEPT = 400_000
-#: A long piece is not worth keeping.
-LONG = 64
-#: A blank or newline at either end of a text, or beside white space.
-_UNEVEN = r"^[ \n]|[ \n]$|[ \n][\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]"
+#: Pieces kept per worker, and their characters; beyond either the memory starts anew.
+KEPT, KEPT_CHARS = 1_000_000, 24_000_000
+#: A blank or newline at either end of a text, or beside white space; or the separator itself.
+_UNEVEN = r"^[ \n]|[ \n]$|[ \n][\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|\x00"
 _SAFE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 _made: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """Large strings without nulls; a copy where texts is a slice, whose offsets pyarrow's ascii_lower misreads."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts)))) if texts.offset else texts
+
+
+def word_parts(texts: pa.Array) -> pa.Array:
+    """The pieces of each text for a word tokenizer that lowers case; full stops and commas after a letter stand alone."""
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else lower case could spell a special token
+        texts = pc.ascii_lower(texts)
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([a-z])([.,]+)([ \n])", r"\1 \2\3"))
+
+
 class PieceEncoder:
     """Encodes columns of texts; kind is "word" or "byte" (see the module)."""
 
@@ -40,7 +52,14 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kept: dict[str, np.ndarray] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.kept: dict[str, int] = {}
+        self.chars = 0
+        self.flat = np.zeros(0, np.uint32)
+        self.begins = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str, kind: str) -> "PieceEncoder":
@@ -52,46 +71,38 @@ class PieceEncoder:
             _made[path, kind] = cls(path, kind)
         return _made[path, kind]
 
-    def ids(self, pieces: list[str]) -> list[np.ndarray]:
-        kept = self.kept
-        new = [p for p in pieces if p not in kept]
-        if new:
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-                new = pieces
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            own = dict(zip(new, found))
-            kept.update((p, v) for p, v in own.items() if len(p) <= LONG)
-            return [own[p] if p in own else kept[p] for p in pieces]
-        return [kept[p] for p in pieces]
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Where the ids of each piece are kept; new ones are encoded."""
+        if len(self.kept) + len(pieces) // 2 > KEPT or self.chars > KEPT_CHARS:
+            self.reset()
+        found = np.fromiter(map(self.kept.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(found < 0)
+        if len(at):
+            new = [pieces[k] for k in at.tolist()]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            n = len(self.kept)
+            self.kept.update(zip(new, range(n, n + len(new))))
+            self.chars += sum(map(len, new))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+            found[at] = np.arange(n, n + len(new))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text); a null text has none."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = whole(texts)
         if self.kind == "word":
-            parts = pc.ascii_split_whitespace(texts)
-            coded = parts.flatten().dictionary_encode()
-            return self._gather(self.ids(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy())
+            return self._gather(word_parts(texts))
         odd = pc.match_substring_regex(texts, _UNEVEN)
-        if pc.any(odd).as_py():
-            return self._uneven(texts, odd.to_numpy(zero_copy_only=False))
-        return self._even(texts)
-
-    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        at, offsets = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), parts.offsets.to_numpy()
-        first, where = np.unique(at[offsets[:-1]], return_inverse=True) if len(texts) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        at[offsets[:-1]] = len(words) + where
-        return self._gather(self.ids([w if w[:1] == "\n" else " " + w for w in words] + [words[k] for k in first]), at, offsets)
-
-    def _uneven(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not pc.any(odd).as_py():
+            return self._even(texts)
+        odd = odd.to_numpy(zero_copy_only=False)
         even, even_n = self._even(texts.filter(pa.array(~odd)))
-        cut = [_SAFE_BLANK.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-        found = self.ids(list(dict.fromkeys(p for c in cut for p in c)))
-        place = {p: k for k, p in enumerate(dict.fromkeys(p for c in cut for p in c))}
-        other, other_n = self._gather(found, np.array([place[p] for c in cut for p in c], np.int64), np.cumsum([0, *map(len, cut)]))
+        cut = pa.array([_SAFE_BLANK.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.large_list(pa.large_string()))
+        other, other_n = self._gather(cut)
         counts = np.zeros(len(texts), np.int64)
         counts[~odd], counts[odd] = even_n, other_n
         out = np.empty(int(counts.sum()), np.uint32)
@@ -99,14 +110,19 @@ class PieceEncoder:
         out[~mask], out[mask] = even, other
         return out, counts
 
-    @staticmethod
-    def _gather(found: list[np.ndarray], at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        each = sizes[at] if len(at) else np.zeros(0, np.int64)
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.replace_substring_regex(texts, r"([a-z])([.,]+)([ \n])", "\\1\x00\\2\\3")
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", "\x00 "), "\n", "\x00\n\x00")
+        return self._gather(pc.split_pattern(cut, "\x00"))
+
+    def _gather(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        coded = parts.flatten().dictionary_encode()
+        at, offsets = coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy()
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(len(parts), np.int64)
+        kept = self.places(coded.dictionary.to_pylist())
+        each = self.sizes[kept][at]
         ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.repeat(begins[at] - (ends - each), each) + np.arange(total) if total else np.zeros(0, np.int64)
-        upto = np.concatenate([[0], ends])[offsets]
-        return (flat[place] if total else np.zeros(0, np.uint32)), np.diff(upto)
+        place = np.repeat(self.begins[kept][at] - (ends - each), each)
+        place += np.arange(len(place))
+        return self.flat[place], np.diff(np.concatenate([[0], ends])[offsets])
