@@ -43,7 +43,7 @@ def open_out(folder: str, name: str):
 
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    return f"{folder}/{name}", store.open_output_stream(f"{path}/{name}")
+    return f"{folder}/{name}", store.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def open_in(uri: str):
@@ -55,25 +55,22 @@ def open_in(uri: str):
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of a string or binary column; a longer value stands alone."""
+    """The same rows in batches of about `most` bytes of a string or binary column; a longer value stands alone.
+
+    The batches are copies, not slices: pyarrow's ascii_lower misreads the offsets of slices.
+    """
     import numpy as np
+    import pyarrow.compute as pc
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        import pyarrow.compute as pc
-
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         start, n = 0, batch.num_rows
         while start < n:
             held = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, held + most, side="right")))
-            yield batch.slice(start, stop - start)
+            yield batch if stop - start == n else batch.take(pa.array(np.arange(start, stop)))
             start = stop
 
-
-def without(df: DataFrame, names: list[str]) -> DataFrame:
-    """df without columns of these names, whatever their case."""
-    low = {n.lower() for n in names}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
