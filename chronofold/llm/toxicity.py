@@ -29,6 +29,8 @@ from ._common import by_bytes, materialize, table
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
 FEATURES = 6000
+#: Bytes of text whose n-grams are in memory at a time, at some 50 times their size; a longer text stands alone.
+SLICE = 1 << 20
 #: Bounds of the sample that the classifier is fitted on.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 _SYMBOLS = np.array([c if chr(c).isalpha() else 32 for c in range(0x250)], np.uint32)
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 1 << BITS), np.int64)
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", SLICE):
             label = batch.column("toxic").to_numpy(zero_copy_only=False)
             owner, bucket = present(batch.column("text").to_pylist())
             for t in (0, 1):
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     marks[buckets] = 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", SLICE):
             owner, bucket = present(batch.column("text").to_pylist(), marks)
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket, pa.int32()))], ["toxic", "buckets"])
@@ -157,7 +159,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, weights = model.tables()
-        for batch in by_bytes(batches, "__text"):
+        for batch in by_bytes(batches, "__text", SLICE):
             n = batch.num_rows
             if low:
                 p = np.zeros(n)
