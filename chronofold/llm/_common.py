@@ -74,3 +74,13 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
             yield batch if stop - start == n else batch.take(pa.array(np.arange(start, stop)))
             start = stop
 
+
+def give_back() -> None:
+    """Return memory that batches needed to the system; Python workers wait between tasks with what they hold."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

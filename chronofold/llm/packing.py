@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, materialize, table
+from ._common import by_bytes, give_back, materialize, table
 
 CAPACITY = 2048
 #: Items of a block, islands of a block, packings of an island, epochs and generations of an epoch.
@@ -162,7 +162,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
         from .tokens import PieceEncoder
 
         encoder = PieceEncoder.of(tokenizer_path, kind)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 4 << 20):
             ids, each = encoder.encode(batch.column("text"))
             raw = memoryview(np.insert(ids, np.cumsum(each), np.uint32(end_id)).astype("<u4")).cast("B")
             sizes = each + 1
@@ -175,6 +175,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
             begin = (np.cumsum(sizes) - sizes)[owner] + start
             crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, PIECES)
 

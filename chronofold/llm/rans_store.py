@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, materialize, open_in, open_out, shared_dir, table
+from ._common import by_bytes, give_back, materialize, open_in, open_out, shared_dir, table
 
 MAGIC = b"RANSTOK1"
 LANES, BLOCK, CHECKPOINT, SCALE = 1024, 1 << 19, 128, 20
@@ -189,7 +189,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, ki
             for x in (doc_ids, counts, held):
                 x.clear()
 
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 4 << 20):
             if stream is None:
                 path, stream = open_out(folder, f"ids-{number:06d}-{uuid.uuid4().hex[:8]}.rans")
                 stream.write(MAGIC)
@@ -206,6 +206,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, ki
             if size:
                 flush()
             stream.close()
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "segment", "path", "begin", "length", "n_tokens"])
 
     return ordered.mapInArrow(write, "file int, segment int, path string, begin long, length long, n_tokens long")

@@ -13,14 +13,14 @@ next to a blank or newline are cut only at their safe blanks.
 from __future__ import annotations
 
 import re
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per worker, and their characters; beyond either the memory starts anew.
-KEPT, KEPT_CHARS = 1_000_000, 24_000_000
+#: Pieces kept per worker, and their characters; beyond either, those that were not met again since the last time go.
+KEPT, KEPT_CHARS = 400_000, 8_000_000
 #: A blank or newline at either end of a text, or beside white space; or the separator itself.
 _UNEVEN = r"^[ \n]|[ \n]$|[ \n][\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|\x00"
 _SAFE_BLANK = re.compile(r"(?<=\S)(?= \S)")
@@ -52,6 +52,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.mark = next((t.content for _, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
         self.reset()
 
     def reset(self) -> None:
@@ -60,6 +62,22 @@ class PieceEncoder:
         self.flat = np.zeros(0, np.uint32)
         self.begins = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
+        self.met = np.zeros(0, bool)
+
+    def forget(self) -> None:
+        """Keep what was met again since the last time, if that is less than half of what may be kept."""
+        keep = np.flatnonzero(self.met)
+        names = list(self.kept)
+        names = [names[k] for k in keep.tolist()]
+        chars = sum(map(len, names))
+        if 2 * len(names) > KEPT or 2 * chars > KEPT_CHARS:
+            self.reset()
+            return
+        each = self.sizes[keep]
+        place = np.repeat(self.begins[keep] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        self.kept, self.chars = dict(zip(names, range(len(names)))), chars
+        self.flat, self.sizes = self.flat[place], each
+        self.begins, self.met = np.cumsum(each) - each, np.zeros(len(names), bool)
 
     @classmethod
     def of(cls, path: str, kind: str) -> "PieceEncoder":
@@ -71,23 +89,50 @@ class PieceEncoder:
             _made[path, kind] = cls(path, kind)
         return _made[path, kind]
 
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, how many each has).
+
+        Many pieces go to the library as one text with a special token between them, which it cuts out before it does anything else.
+        """
+        plain = [k for k, p in enumerate(pieces) if "<" not in p] if self.mark else []
+        other = [k for k, p in enumerate(pieces) if "<" in p] if self.mark else range(len(pieces))
+        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        texts = [self.mark.join([pieces[k] for k in g]) for g in groups] + [pieces[k] for k in other]
+        encoded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.zeros(len(pieces), np.int64)
+        parts = []
+        for g, ids in zip(groups, encoded):
+            cuts = np.flatnonzero(ids == self.mark_id)
+            sizes[g] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            parts.append(np.delete(ids, cuts))
+        for k, ids in zip(other, encoded[len(groups) :]):
+            sizes[k] = len(ids)
+        if not len(other):
+            return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), sizes
+        order = [*plain, *other]
+        flat = np.concatenate([*parts, *encoded[len(groups) :]])
+        held = sizes[order]
+        begins = np.empty(len(pieces), np.int64)
+        begins[order] = np.cumsum(held) - held
+        return flat[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))], sizes
+
     def places(self, pieces: list[str]) -> np.ndarray:
         """Where the ids of each piece are kept; new ones are encoded."""
         if len(self.kept) + len(pieces) // 2 > KEPT or self.chars > KEPT_CHARS:
-            self.reset()
+            self.forget()
         found = np.fromiter(map(self.kept.get, pieces, repeat(-1)), np.int64, len(pieces))
         at = np.flatnonzero(found < 0)
+        self.met[found[found >= 0]] = True
         if len(at):
             new = [pieces[k] for k in at.tolist()]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            flat, sizes = self.encode_pieces(new)
             n = len(self.kept)
             self.kept.update(zip(new, range(n, n + len(new))))
             self.chars += sum(map(len, new))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
             self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.flat = np.concatenate([self.flat, flat])
+            self.met = np.concatenate([self.met, np.zeros(len(new), bool)])
             found[at] = np.arange(n, n + len(new))
         return found
 
