@@ -9,10 +9,12 @@ as 64-bit hashes. Two documents link when 100 * |A and B| >= 75 * |A or B|.
    each list of two or more documents becomes a tile, equal lists one tile. A shingle whose slot is very frequent is split into pairs of shares of
    the documents, so its list does not grow with the corpus.
 3. In each tile the smallest document is compared with the others; pairs that the check below confirms are joined into components.
-4. Tiles that still hold several components are cut into bands of set size, each compared with itself and the next: pairs of
-   different components go on if their sizes and the bitmaps allow a link. |A xor B| is at least the number of bits that differ, which bounds
-   |A and B| from above. What is left is checked and joined too. As every linked pair of different components is compared, none is lost.
-The check of a pair: size and bitmap bound first, then the intersection of the sorted arrays.
+4. Tiles that still hold several components are put together by their smallest component and cut into bands of set size, each compared with
+   itself and the next: pairs of different components go on if their sizes and wider bitmaps allow a link. |A xor B| is at least the number of bits
+   that differ, which bounds |A and B| from above. What is left is checked and joined too. As every linked pair of different components is
+   compared, none is lost. Large tiles are dealt to several tasks by shares of their documents.
+The check of a pair: size and bitmap bound first, then the intersection of the sorted arrays. The table is read once for the count, once for
+the postings and twice for the sorted arrays of the texts that pairs ask for; it has to give the same rows each time.
 
 Equal sets link without a comparison. Copies need not be expanded: pairs that are in one component already are not compared.
 
@@ -30,14 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, materialize, table
+from ._common import by_bytes, give_back, materialize, table
 from .components import components
 from .tokens import whole
 
 WORDS = 5
-SLOT_BITS, CHUNKS = 20, 16
+SLOT_BITS, FILTER_BITS, CHUNKS = 20, 22, 16
 #: Postings of a task that are packed at a time; from this level on a shingle's list is split.
-HELD, HOT_LEVEL = 4_000_000, 8
+HELD, HOT_LEVEL = 1_000_000, 8
+#: Rows of one component, and of others, that a task of the last comparison holds.
+MAIN_ROWS, OTHER_ROWS = 8192, 2048
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -114,6 +118,26 @@ def slot_counts(df: DataFrame, slots_of, bits: int) -> np.ndarray:
     return out
 
 
+def filter_slot(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy().astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def slots_filled(ids: DataFrame) -> np.ndarray:
+    """Which of 2**FILTER_BITS slots the numbers of all columns fall into."""
+    return slot_counts(ids, lambda batch: np.concatenate([filter_slot(c) for c in batch.columns]), FILTER_BITS) > 0
+
+
+def asked_for(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose `column` is not among ids: a filter of fixed size, so that they need not be shuffled for a join."""
+    wanted = slots_filled(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[filter_slot(batch.column(column))]))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def levels_of(counts: np.ndarray) -> np.ndarray:
     """0 for a slot as full as chance makes it, one more for each doubling of the excess."""
     mean = counts.mean()
@@ -121,9 +145,9 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 1, 0, 15).astype(np.uint8)
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """A set's bits: 2**k of them, at least twice as many as elements and at least 64."""
-    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+def bitmap(tokens: np.ndarray, times: int = 2) -> bytes:
+    """A set's bits: 2**k of them, at least `times` as many as elements and at least 64."""
+    width = max(64, 1 << (times * len(tokens) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -146,15 +170,27 @@ def unpack48(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def in_order(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """60 bits of each hash below its slot's level: numbers that sort in the global order."""
+    return levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(60) | h >> np.uint64(4)
+
+
+def signature(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    m = mix(tokens)
+    return int(m.sum(dtype=np.uint64).astype(np.int64)), int((m * m + tokens).sum(dtype=np.uint64).astype(np.int64))
+
+
 def links(na: int, nb: int, common: int) -> bool:
     return 100 * common >= 75 * (na + nb - common)
 
 
-SETS = "kind int, uid long, doc_id long, n int, s1 long, s2 long, bits binary, tokens binary, bucket int, postings binary"
+SETS = "kind int, uid long, doc_id long, key long, n int, s1 long, s2 long, bits binary, wide binary, bucket int, postings binary"
+KEYED = ("cast(doc_id as bigint) as doc_id", "cast(text as string) as text", "xxhash64(cast(text as string)) as key")
 
 
 def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of kind 0: a document's size, signature, bitmap and sorted set (48 bits of each hash). Rows of kind 1: packed postings."""
+    """Rows of kind 0: a document's text key, set size, signature and bitmap. Rows of kind 1: packed postings."""
     names = [x.split()[0] for x in SETS.split(", ")]
     types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in SETS.split(", ")]
 
@@ -185,21 +221,20 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
             blobs = [np.ascontiguousarray(k[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:7]).tobytes() + o[x:y].astype("<u4").tobytes() for x, y in zip(cuts[some].tolist(), cuts[some + 1].tolist())]
             return rows(kind=[1] * len(some), uid=[TaskContext.get().partitionId() << 40] * len(some), bucket=some, postings=blobs)
 
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 4 << 20):
             h, cuts = shingles(batch.column("text"))
-            ranked = levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(60) | h >> np.uint64(4)
-            own, sizes, s1, s2, bits, tokens = [], [], [], [], [], []
+            ranked = in_order(h, levels)
+            own, sizes, s1, s2, bits, wide = [], [], [], [], [], []
             for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
                 r = np.unique(ranked[a:z])
                 n = len(r)
                 own.append(uid)
                 sizes.append(n)
-                m = mix(r)
-                sig = (int(m.sum(dtype=np.uint64).astype(np.int64)), int((m * m + r).sum(dtype=np.uint64).astype(np.int64)))
+                sig = signature(r)
                 s1.append(sig[0])
                 s2.append(sig[1])
                 bits.append(bitmap(r) if n else b"")
-                tokens.append(pack48(r))
+                wide.append(bitmap(r, 8) if n else b"")
                 if n and sig not in seen:
                     if len(seen) < 200_000:
                         seen.add(sig)
@@ -216,13 +251,14 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                     owners.append(np.full(total, uid & (1 << 40) - 1, np.uint32))
                     held += total
                 uid += 1
-            yield rows(kind=[0] * len(own), uid=own, doc_id=batch.column("doc_id"), n=sizes, s1=s1, s2=s2, bits=bits, tokens=tokens)
+            yield rows(kind=[0] * len(own), uid=own, doc_id=batch.column("doc_id"), key=batch.column("key"), n=sizes, s1=s1, s2=s2, bits=bits, wide=wide)
             if held > HELD:
                 yield packed()
         if held:
             yield packed()
+        give_back()
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, SETS)
+    return docs.selectExpr(*KEYED).mapInArrow(run, SETS)
 
 
 def tiles_of(sets: DataFrame, buckets: int) -> DataFrame:
@@ -274,100 +310,169 @@ def tiles_of(sets: DataFrame, buckets: int) -> DataFrame:
     return sets.where("kind = 1").select("uid", "bucket", "postings").repartition(buckets, "bucket").mapInArrow(run, "t1 long, t2 long, uid long, pivot long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b that link. Sets that no pair has are kept back by a filter of fixed size before they are shuffled."""
-    bits = 22
-    slot = lambda x: (mix(x.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-    wanted = slot_counts(pairs.select("a", "b"), lambda batch: np.concatenate([slot(batch.column(c).to_numpy()) for c in ("a", "b")]), bits) > 0
+def may_link(pairs: DataFrame, plain: DataFrame) -> DataFrame:
+    """The pairs a, b whose sizes and bitmaps allow a link, with both sides' n, key, s1 and s2."""
+    side = lambda c: plain.select(*[F.col(x).alias(c if x == "uid" else f"{x}{c}") for x in ("uid", "n", "key", "s1", "s2", "bits")])
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    names = ["a", "b", *[f"{x}{c}" for c in "ab" for x in ("n", "key", "s1", "s2")]]
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(wanted[slot(batch.column("uid").to_numpy())]))
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (na, nb, x, y) in enumerate(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("bitsa"), batch.column("bitsb"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                keep[k] = links(na, nb, (na + nb - apart) // 2)
+            yield batch.select(names).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {'int' if n in ('na', 'nb') else 'long'}" for n in names))
+
 
-    some = materialize(sets.where("kind = 0").select("uid", "n", "bits", "tokens").mapInArrow(asked, "uid long, n int, bits binary, tokens binary"), "jaccard-sets")
-    side = lambda c: some.select(F.col("uid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"), F.col("tokens").alias(f"tokens{c}"))
-    sizes = some.select("uid", "n")
-    near = pairs.join(sizes.select(F.col("uid").alias("a"), F.col("n").alias("n0")), "a").join(sizes.select(F.col("uid").alias("b"), F.col("n").alias("n1")), "b").where("4 * least(n0, n1) >= 3 * greatest(n0, n1)").select("a", "b")
-    rows = near.join(side("a"), "a").join(side("b"), "b")
+def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """The pairs a, b that link.
+
+    The sorted sets (48 bits of each hash) are made again from the texts, only of texts whose key is in a filter of fixed size
+    that the surviving pairs fill, so that sets nobody asks for are neither kept nor shuffled.
+    """
+    near = materialize(may_link(pairs, plain), "jaccard-near")
+    wanted = slots_filled(near.select("keya", "keyb"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for whole_batch in batches:
+            some = whole_batch.filter(pa.array(wanted[filter_slot(whole_batch.column("key"))]))
+            for batch in by_bytes(iter([some]), "text", 4 << 20):
+                h, cuts = shingles(batch.column("text"))
+                ranked = in_order(h, levels)
+                found = []
+                for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
+                    r = np.unique(ranked[a:z])
+                    sig = signature(r)
+                    if sig not in seen:
+                        if len(seen) < 200_000:
+                            seen.add(sig)
+                        found.append((*sig, pack48(r)))
+                if found:
+                    s1, s2, tokens = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(tokens, pa.binary())], ["s1", "s2", "tokens"])
+
+    sets = materialize(docs.selectExpr(*KEYED[1:]).mapInArrow(asked, "s1 long, s2 long, tokens binary"), "jaccard-sets")
+    once = materialize(sets.dropDuplicates(["s1", "s2"]), "jaccard-sets")
+    side = lambda c: once.select(*[F.col(x).alias(f"{x}{c}") for x in ("s1", "s2", "tokens")])
+    rows = near.join(side("a"), ["s1a", "s2a"]).join(side("b"), ["s1b", "s2b"]).select("a", "b", "na", "nb", "tokensa", "tokensb")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for k, (na, nb, ba, bb, ta, tb) in enumerate(zip(*(batch.column(c) for c in ("na", "nb", "bitsa", "bitsb", "tokensa", "tokensb")))):
-                na, nb = na.as_py(), nb.as_py()
-                x, y = np.frombuffer(ba.as_buffer(), np.uint8), np.frombuffer(bb.as_buffer(), np.uint8)
-                size = min(len(x), len(y))
-                apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
-                if links(na, nb, (na + nb - apart) // 2):
-                    both = np.concatenate([unpack48(ta.as_buffer()), unpack48(tb.as_buffer())])
-                    both.sort()
-                    keep[k] = links(na, nb, int((both[1:] == both[:-1]).sum()))
+            for k, (na, nb, ta, tb) in enumerate(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("tokensa"), batch.column("tokensb"))):
+                both = np.concatenate([unpack48(ta.as_buffer()), unpack48(tb.as_buffer())])
+                both.sort()
+                keep[k] = links(na, nb, int((both[1:] == both[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
     return rows.mapInArrow(exact, "a long, b long")
 
 
-def across(n: np.ndarray, label: np.ndarray, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of the pairs of a tile that are in different components and may link, band by band."""
+def across(n: np.ndarray, label: np.ndarray, bits: list[bytes], main: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs of a tile that are in different components and may link, band by band.
+
+    With main, a label, only pairs with exactly one document of that component.
+    """
     band = np.floor(np.log(n) / np.log(4 / 3) + 1e-9).astype(np.int64)
     raw = [np.frombuffer(b, np.uint8) for b in bits]
     for b in np.unique(band).tolist():
         own, near = np.flatnonzero(band == b), np.flatnonzero((band == b) | (band == b + 1))
+        if len(np.unique(label[near])) < 2:
+            continue
         size = min(len(raw[i]) for i in near.tolist())
         all_bits = np.stack([folded(raw[i], size) for i in near.tolist()]).view(np.uint64)
-        where = np.searchsorted(near, own)
-        step = max(1, (4 << 20) // max(1, all_bits.size))
-        for a in range(0, len(own), step):
-            rows = own[a : a + step]
-            may = label[rows][:, None] != label[near][None, :]
-            may &= (band[near][None, :] > b) | (rows[:, None] < near[None, :])
-            low, high = np.minimum(n[rows][:, None], n[near][None, :]), np.maximum(n[rows][:, None], n[near][None, :])
-            may &= 4 * low >= 3 * high
-            if not may.any():
+        sides = [(own, near)]
+        if main is not None:  # this band's others against both bands' main component, the next band's others against this band's
+            sides = [(own[label[own] != main], near[label[near] == main]), (near[(label[near] != main) & (band[near] > b)], own[label[own] == main])]
+        for rows, columns in sides:
+            if not len(rows) or not len(columns):
                 continue
-            apart = np.bitwise_count(all_bits[where[a : a + step]][:, None, :] ^ all_bits[None, :, :]).sum(axis=2, dtype=np.int64)
-            total = low + high
-            common = (total - apart) // 2
-            i, j = np.nonzero(may & (100 * common >= 75 * (total - common)))
-            if len(i):
-                yield rows[i], near[j]
-
-
-def cross_pairs(members: DataFrame, partitions: int) -> DataFrame:
-    """members: t1, t2, uid, label, n, bits. Pairs a < b of a tile in different components that size and bitmaps let link."""
-    rows = members.repartition(partitions, "t1", "t2").sortWithinPartitions("t1", "t2", "uid")
+            at, cols = np.searchsorted(near, rows), np.searchsorted(near, columns)
+            step = max(1, (2 << 20) // max(1, len(cols) * all_bits.shape[1]))
+            for a in range(0, len(rows), step):
+                r = rows[a : a + step]
+                may = label[r][:, None] != label[columns][None, :]
+                if main is None:
+                    may &= (band[columns][None, :] > b) | (r[:, None] < columns[None, :])
+                low, high = np.minimum(n[r][:, None], n[columns][None, :]), np.maximum(n[r][:, None], n[columns][None, :])
+                may &= 4 * low >= 3 * high
+                if not may.any():
+                    continue
+                apart = np.bitwise_count(all_bits[at[a : a + step]][:, None, :] ^ all_bits[cols][None, :, :]).sum(axis=2, dtype=np.int64)
+                total = low + high
+                common = (total - apart) // 2
+                i, j = np.nonzero(may & (100 * common >= 75 * (total - common)))
+                if len(i):
+                    yield r[i], columns[j]
+
+
+def gathered(members: DataFrame) -> DataFrame:
+    """members (t1, t2, uid, label) of tiles with several components -> task (two ints), main (a label or null), uid, label.
+
+    Tiles with the same smallest label become one larger tile, so that a document is in it once and not in each of them. Its rows of that
+    label, the main component, are cut into shares, and the others too; a task gets a share of each, or two shares of the others.
+    """
+    ends = members.groupBy("t1", "t2").agg(F.min("label").alias("main"), F.max("label").alias("most")).where("main <> most").select("t1", "t2", "main")
+    rows = materialize(members.join(materialize(ends, "jaccard-open"), ["t1", "t2"]).select("main", "uid", "label").distinct(), "jaccard-gathered")
+    own = F.col("label") == F.col("main")
+    counts = rows.groupBy("main").agg(F.ceil(F.count_if(own) / MAIN_ROWS).cast("int").alias("mains"), F.ceil(F.count_if(~own) / OTHER_ROWS).cast("int").alias("others"), F.countDistinct(F.when(~own, F.col("label"))).alias("labels"))
+    sized = rows.join(materialize(counts, "jaccard-counts"), "main")
+    share = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
+    i, j = share(F.col("mains")), share(F.col("others"))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(i.alias("x"), o.alias("y"), F.col("main").alias("m")))
+    to_others = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: F.struct(m.alias("x"), j.alias("y"), F.col("main").alias("m")))
+    between = F.when(F.col("labels") > 1, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct((-1 - F.least(o, j)).alias("x"), F.greatest(o, j).alias("y"), F.lit(None).cast("long").alias("m")))).otherwise(F.array())
+    tasks = F.when(own, to_main).otherwise(F.concat(to_others, between))
+    return sized.select("main", "uid", "label", F.explode(tasks).alias("t")).select("main", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.m").alias("m"), "uid", "label")
+
+
+def cross_pairs(rows: DataFrame, partitions: int) -> DataFrame:
+    """rows: main, x, y (a task), m, uid, label, n, wide. Pairs a < b of a task in different components that size and bitmaps let link."""
+    dealt = rows.repartition(partitions, "main", "x", "y").sortWithinPartitions("main", "x", "y", "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
+        def cuts(t) -> np.ndarray:
+            k = [t[c].to_numpy() if isinstance(t, pa.Table) else t.column(c).to_numpy() for c in ("main", "x", "y")]
+            return np.flatnonzero(np.any([c[1:] != c[:-1] for c in k], axis=0)) + 1 if len(k[0]) else np.zeros(0, np.int64)
+
         def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t1, t2 = t["t1"].to_numpy(), t["t2"].to_numpy()
             uid, label, n = t["uid"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            bits = t["bits"].to_pylist()
-            edge = np.flatnonzero(np.concatenate([[True], (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]), [True]])).tolist()
+            bits, main = t["wide"].to_pylist(), t["m"].to_pylist()
+            edge = [0, *cuts(t).tolist(), t.num_rows]
             for a, z in zip(edge, edge[1:]):
-                for i, j in across(n[a:z], label[a:z], bits[a:z]):
+                for i, j in across(n[a:z], label[a:z], bits[a:z], main[a]):
                     x, y = uid[a:z][i], uid[a:z][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
-            change = np.flatnonzero((t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]))
-            if held and (held[-1].column("t1")[-1].as_py(), held[-1].column("t2")[-1].as_py()) != (int(t1[0]), int(t2[0])):
-                yield from compared(pa.Table.from_batches(held))
-                held = []
-            if len(change):
-                cut = int(change[-1]) + 1
-                yield from compared(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            else:
-                held.append(batch)
+        last = None
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, 2000):
+                batch = whole_batch.slice(start, 2000)
+                first = tuple(batch.column(c)[0].as_py() for c in ("main", "x", "y"))
+                if held and first != last:
+                    yield from compared(pa.Table.from_batches(held))
+                    held = []
+                change = cuts(batch)
+                if len(change):
+                    cut = int(change[-1])
+                    yield from compared(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held = [batch.slice(cut)]
+                else:
+                    held.append(batch)
+                last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("main", "x", "y"))
         if held:
             yield from compared(pa.Table.from_batches(held))
+        give_back()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -377,7 +482,7 @@ def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or max(64, 2 * partitions)
 
     def slots(batch: pa.RecordBatch) -> np.ndarray:
-        out = [shingles(b.column("text"))[0] for b in by_bytes(iter([batch]), "text")]
+        out = [shingles(b.column("text"))[0] for b in by_bytes(iter([batch]), "text", 4 << 20)]
         return (np.concatenate(out) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) if out else np.zeros(0, np.int64)
 
     levels = levels_of(slot_counts(docs.selectExpr("cast(text as string) as text"), slots, SLOT_BITS))
@@ -387,14 +492,14 @@ def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     equal = plain.where("n > 0").select("uid", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).where("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b"))
     tiles = materialize(tiles_of(sets, buckets).groupBy("t1", "t2", "uid").agg(F.min("pivot").alias("pivot")), "jaccard-tiles")
     stars = tiles.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
-    edges = materialize(verified(materialize(stars, "jaccard-stars"), sets).unionByName(equal), "jaccard-edges")
+    edges = materialize(verified(materialize(stars, "jaccard-stars"), plain, docs, levels).unionByName(equal), "jaccard-edges")
     labels = components(edges)
     members = tiles.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("t1", "t2", "uid", F.coalesce("label", "uid").alias("label"))
     members = materialize(members, "jaccard-members")
-    still = materialize(members.groupBy("t1", "t2").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t1", "t2"), "jaccard-open")
-    wide = members.join(still, ["t1", "t2"]).join(plain.select("uid", "n", "bits"), "uid")
-    more = materialize(cross_pairs(wide, partitions).distinct(), "jaccard-cross")
-    second = materialize(verified(more, sets), "jaccard-edges")
+    tasks = materialize(gathered(members), "jaccard-tasks")
+    bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"))
+    more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions).distinct(), "jaccard-cross")
+    second = materialize(verified(more, plain, docs, levels), "jaccard-edges")
     if second.limit(1).count():
         labels = components(edges.unionByName(second))
     return plain.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("label", "uid").alias("label"))
