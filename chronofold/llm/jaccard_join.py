@@ -6,7 +6,7 @@ as 64-bit hashes. Two documents link when 100 * |A and B| >= 75 * |A or B|.
 1. A count of all shingles by hash slot (2**20 slots, so one megabyte whatever the corpus) puts the hashes into a global order, frequent
    slots last. Any order is right; this one keeps passages that many documents share out of the prefixes.
 2. Linked sets share one of their first |A| - ceil(0.75 |A|) + 1 shingles in that order. These postings go, packed, to buckets of shingles;
-   each list of two or more documents becomes a tile, equal lists one tile. A shingle whose slot is very frequent is split into pairs of shares of
+   each list is cut where the next larger set is too large for any pair across, and what holds two or more documents becomes a tile, equal ones one. A shingle whose slot is very frequent is split into pairs of shares of
    the documents, so its list does not grow with the corpus.
 3. In each tile the smallest document is compared with the others; pairs that the check below confirms are joined into components.
 4. Tiles that still hold several components are put together by their smallest component and cut into bands of set size, each compared with
@@ -205,20 +205,21 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        bands: list[np.ndarray] = []
         held = 0
 
         def packed() -> pa.RecordBatch:
             nonlocal held
-            k, o = np.concatenate(keys), np.concatenate(owners)
-            keys.clear()
-            owners.clear()
+            k, o, q = np.concatenate(keys), np.concatenate(owners), np.concatenate(bands)
+            for x in (keys, owners, bands):
+                x.clear()
             held = 0
             b = (k % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
-            k, o, b = k[order], o[order], b[order]
+            k, o, q, b = k[order], o[order], q[order], b[order]
             cuts = np.searchsorted(b, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cuts))
-            blobs = [np.ascontiguousarray(k[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:7]).tobytes() + o[x:y].astype("<u4").tobytes() for x, y in zip(cuts[some].tolist(), cuts[some + 1].tolist())]
+            blobs = [np.ascontiguousarray(k[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:7]).tobytes() + o[x:y].astype("<u4").tobytes() + q[x:y].tobytes() for x, y in zip(cuts[some].tolist(), cuts[some + 1].tolist())]
             return rows(kind=[1] * len(some), uid=[TaskContext.get().partitionId() << 40] * len(some), bucket=some, postings=blobs)
 
         for batch in by_bytes(batches, "text", 4 << 20):
@@ -234,7 +235,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                 s1.append(sig[0])
                 s2.append(sig[1])
                 bits.append(bitmap(r) if n else b"")
-                wide.append(bitmap(r, 8) if n else b"")
+                wide.append(bitmap(r, 4) if n else b"")
                 if n and sig not in seen:
                     if len(seen) < 200_000:
                         seen.add(sig)
@@ -249,6 +250,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                     total = sum(map(len, keys[len(owners) :]))
                     keys[len(owners) :] = [np.concatenate(keys[len(owners) :])]
                     owners.append(np.full(total, uid & (1 << 40) - 1, np.uint32))
+                    bands.append(np.full(total, min(255, int(16 * np.log2(n))), np.uint8))
                     held += total
                 uid += 1
             yield rows(kind=[0] * len(own), uid=own, doc_id=batch.column("doc_id"), key=batch.column("key"), n=sizes, s1=s1, s2=s2, bits=bits, wide=wide)
@@ -265,27 +267,30 @@ def tiles_of(sets: DataFrame, buckets: int) -> DataFrame:
     """t1, t2 (a tile), uid, pivot: the lists of two or more documents, equal lists once per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, uids = [], []
+        keys, uids, bands = [], [], []
         for batch in batches:
             for base, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("uid", "bucket", "postings"))):
-                n = len(data) // 10
+                n = len(data) // 11
                 k = np.zeros((n, 8), np.uint8)
                 k[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(-1, 6)
                 keys.append(k.view("<u8").ravel() << np.uint64(16) | np.uint64(bucket & 0xFFFF))
                 uids.append(np.frombuffer(data, "<u4", n, 6 * n).astype(np.int64) + base)
+                bands.append(np.frombuffer(data, np.uint8, n, 10 * n))
         if not keys:
             return
-        k, u = np.concatenate(keys), np.concatenate(uids)
-        keys.clear()
-        uids.clear()
-        order = np.argsort(k, kind="stable")
-        k, u = k[order], u[order]
-        edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+        k, u, q = np.concatenate(keys), np.concatenate(uids), np.concatenate(bands).astype(np.int64)
+        for x in (keys, uids, bands):
+            x.clear()
+        order = np.lexsort((q, k))
+        k, u, q = k[order], u[order], q[order]
+        # A step of 8 sixteenths of a doubling between neighbouring sizes is more than 4 to 3: no pair across it links.
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (q[1:] - q[:-1] >= 8), [True]]))
         sizes = np.diff(edge)
         many = sizes > 1
         begin, sizes = edge[:-1][many], sizes[many]
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        u = u[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        u = u[at]
         order = np.lexsort((u, owner))
         u, owner = u[order], owner[order]
         keep = np.concatenate([[True], (u[1:] != u[:-1]) | (owner[1:] != owner[:-1])]) if len(u) else np.zeros(0, bool)
@@ -426,9 +431,10 @@ def gathered(members: DataFrame) -> DataFrame:
     share = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
     i, j = share(F.col("mains")), share(F.col("others"))
     to_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(i.alias("x"), o.alias("y"), F.col("main").alias("m")))
-    to_others = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: F.struct(m.alias("x"), j.alias("y"), F.col("main").alias("m")))
+    to_others = F.transform(F.sequence(F.lit(0), F.greatest(F.col("mains"), F.lit(1)) - 1), lambda m: F.struct(m.alias("x"), j.alias("y"), F.col("main").alias("m")))
     between = F.when(F.col("labels") > 1, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct((-1 - F.least(o, j)).alias("x"), F.greatest(o, j).alias("y"), F.lit(None).cast("long").alias("m")))).otherwise(F.array())
-    tasks = F.when(own, to_main).otherwise(F.concat(to_others, between))
+    both = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(None).cast("long").alias("m")))
+    tasks = F.when((F.col("mains") <= 1) & (F.col("others") == 1), both).when(own, to_main).otherwise(F.concat(to_others, between))
     return sized.select("main", "uid", "label", F.explode(tasks).alias("t")).select("main", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.m").alias("m"), "uid", "label")
 
 

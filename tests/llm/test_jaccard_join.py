@@ -118,6 +118,13 @@ def test_hot_shingles_and_boundaries(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_small_shares_of_large_tiles(spark, monkeypatch):
+    monkeypatch.setattr(J, "MAIN_ROWS", 5)
+    monkeypatch.setattr(J, "OTHER_ROWS", 3)
+    rows = corpus(5, groups=6, size=30)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_rows_of_all_kinds(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "One"), (6, "one two"), (7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (None, "lonely row without id at all"), (8, "long " * 30_000), (9, "é É"), (10, "É é")]
     assert run(spark, rows) == brute(rows)
