@@ -51,3 +51,24 @@ def purged_folds(events: DataFrame, folds: int) -> DataFrame:
     both = rows.join(F.broadcast(starts), F.col("block") <= F.col("fold"))
     part = F.when(F.col("block") == F.col("fold"), "validation").when(F.col("t1") < F.col("first"), "train")
     return both.withColumn("part", part).where("part is not null").drop("block", "first")
+
+
+def next_open_targets(bars: DataFrame, opens: DataFrame, barrier: float, horizon: int, buy: float = 0.001425, sell: float = 0.003) -> DataFrame:
+    """bars: etf_id, bar, end_date. opens: etf_id, date, nav (of legal opens). etf_id, bar, entry_date, exit_date, net_return.
+
+    Entry at the first open after the bar; the log return net of both costs reaches the barrier, or the horizon-th bar ahead ends; exit at the
+    first open after that. Events without horizon or without exit are left out.
+    """
+    from .relational import asof_join
+
+    order = Window.partitionBy("etf_id").orderBy("bar")
+    rows = bars.withColumn("vertical", F.lead("end_date", horizon).over(order)).where("vertical is not null")
+    day = lambda prefix: opens.select("etf_id", F.col("date").alias(f"{prefix}_date"), F.col("nav").alias(prefix))
+    entered = asof_join(rows, day("entry"), "end_date", "entry_date", ["entry_date", "entry"], by=["etf_id"], forward=True, allow_exact=False).where("entry is not null")
+    path = entered.join(opens, "etf_id").where("date > entry_date and date <= vertical")
+    move = F.abs(F.ln(F.col("nav") * (1 - sell)) - F.ln(F.col("entry") * (1 + buy)))
+    hit = path.groupBy("etf_id", "bar", "entry_date", "entry", "vertical").agg(F.min(F.when(move >= barrier, F.col("date"))).alias("touch"))
+    due = hit.withColumn("due", F.coalesce("touch", "vertical"))
+    left = asof_join(due, day("exit"), "due", "exit_date", ["exit_date", "exit"], by=["etf_id"], forward=True, allow_exact=False).where("exit is not null")
+    net = F.col("exit") * (1 - sell) / (F.col("entry") * (1 + buy)) - 1
+    return left.select("etf_id", "bar", "entry_date", "exit_date", net.alias("net_return"))

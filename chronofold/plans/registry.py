@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain, joins_sets, windows
+from . import domain, joins_sets, model_queries, windows
 from .catalog import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "domain", "joins_sets", "windows"]
+__all__ = ["ORACLE_SQL", "QUERIES", "domain", "joins_sets", "model_queries", "windows"]
