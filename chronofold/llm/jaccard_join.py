@@ -6,9 +6,9 @@ as 64-bit hashes. Two documents link when 100 * |A and B| >= 75 * |A or B|.
 1. A count of all shingles by hash slot (2**20 slots, so one megabyte whatever the corpus) puts the hashes into a global order, frequent
    slots last. Any order is right; this one keeps passages that many documents share out of the prefixes.
 2. Linked sets share one of their first |A| - ceil(0.75 |A|) + 1 shingles in that order. These postings go, packed, to buckets of shingles;
-   each list is cut where the next larger set is too large for any pair across, and what holds two or more documents becomes a tile, equal ones one. A shingle whose slot is very frequent is split into pairs of shares of
+   each list is cut where the next larger set is too large for any pair across, and what holds two or more documents is put into the tile of its smallest one. A shingle whose slot is very frequent is split into pairs of shares of
    the documents, so its list does not grow with the corpus.
-3. In each tile the smallest document is compared with the others; pairs that the check below confirms are joined into components.
+3. In each tile that smallest document is compared with the others; pairs that the check below confirms are joined into components.
 4. Tiles that still hold several components are put together by their smallest component and cut into bands of set size, each compared with
    itself and the next: pairs of different components go on if their sizes and wider bitmaps allow a link. |A xor B| is at least the number of bits
    that differ, which bounds |A and B| from above. What is left is checked and joined too. As every linked pair of different components is
@@ -264,7 +264,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
 
 
 def tiles_of(sets: DataFrame, buckets: int) -> DataFrame:
-    """t1, t2 (a tile), uid, pivot: the lists of two or more documents, equal lists once per bucket."""
+    """pivot, uid: the lists of two or more documents, put together by their smallest document, the pivot, which is one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, uids, bands = [], [], []
@@ -299,20 +299,13 @@ def tiles_of(sets: DataFrame, buckets: int) -> DataFrame:
             return
         starts = np.searchsorted(owner, np.arange(len(sizes)))
         counts = np.diff(np.append(starts, len(u)))
-        x = mix(u.astype(np.uint64) + _M)
-        t1, t2 = np.add.reduceat(x, starts), np.add.reduceat(mix(x ^ _A), starts)
-        _, firsts = np.unique(np.stack([t1, t2]), axis=1, return_index=True)
-        chosen = np.zeros(len(sizes), bool)
-        chosen[firsts] = True
-        chosen &= counts > 1
-        pick = chosen[owner]
         pivot = u[starts][owner]
-        for a in range(0, len(u), 1 << 20):
-            p = pick[a : a + (1 << 20)]
-            o = owner[a : a + (1 << 20)][p]
-            yield pa.RecordBatch.from_arrays([pa.array(t1[o].astype(np.int64)), pa.array(t2[o].astype(np.int64)), pa.array(u[a : a + (1 << 20)][p]), pa.array(pivot[a : a + (1 << 20)][p])], ["t1", "t2", "uid", "pivot"])
+        several = (counts > 1)[owner]
+        pairs = np.unique(np.stack([pivot[several], u[several]]), axis=1)
+        for a in range(0, pairs.shape[1], 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, a : a + (1 << 20)]), pa.array(pairs[1, a : a + (1 << 20)])], ["pivot", "uid"])
 
-    return sets.where("kind = 1").select("uid", "bucket", "postings").repartition(buckets, "bucket").mapInArrow(run, "t1 long, t2 long, uid long, pivot long")
+    return sets.where("kind = 1").select("uid", "bucket", "postings").repartition(buckets, "bucket").mapInArrow(run, "pivot long, uid long")
 
 
 def may_link(pairs: DataFrame, plain: DataFrame) -> DataFrame:
@@ -418,13 +411,13 @@ def across(n: np.ndarray, label: np.ndarray, bits: list[bytes], main: int | None
 
 
 def gathered(members: DataFrame) -> DataFrame:
-    """members (t1, t2, uid, label) of tiles with several components -> task (two ints), main (a label or null), uid, label.
+    """members (pivot, uid, label) of tiles with several components -> task (two ints), main (a label or null), uid, label.
 
     Tiles with the same smallest label become one larger tile, so that a document is in it once and not in each of them. Its rows of that
     label, the main component, are cut into shares, and the others too; a task gets a share of each, or two shares of the others.
     """
-    ends = members.groupBy("t1", "t2").agg(F.min("label").alias("main"), F.max("label").alias("most")).where("main <> most").select("t1", "t2", "main")
-    rows = materialize(members.join(materialize(ends, "jaccard-open"), ["t1", "t2"]).select("main", "uid", "label").distinct(), "jaccard-gathered")
+    ends = members.groupBy("pivot").agg(F.min("label").alias("main"), F.max("label").alias("most")).where("main <> most").select("pivot", "main")
+    rows = materialize(members.join(materialize(ends, "jaccard-open"), "pivot").select("main", "uid", "label").distinct(), "jaccard-gathered")
     own = F.col("label") == F.col("main")
     counts = rows.groupBy("main").agg(F.ceil(F.count_if(own) / MAIN_ROWS).cast("int").alias("mains"), F.ceil(F.count_if(~own) / OTHER_ROWS).cast("int").alias("others"), F.countDistinct(F.when(~own, F.col("label"))).alias("labels"))
     sized = rows.join(materialize(counts, "jaccard-counts"), "main")
@@ -496,11 +489,11 @@ def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     plain = sets.where("kind = 0")
     copies = materialize(plain.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "n", "rep"), "jaccard-copies")
     equal = plain.where("n > 0").select("uid", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).where("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b"))
-    tiles = materialize(tiles_of(sets, buckets).groupBy("t1", "t2", "uid").agg(F.min("pivot").alias("pivot")), "jaccard-tiles")
-    stars = tiles.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
-    edges = materialize(verified(materialize(stars, "jaccard-stars"), plain, docs, levels).unionByName(equal), "jaccard-edges")
+    tiles = materialize(tiles_of(sets, buckets).distinct(), "jaccard-tiles")
+    stars = tiles.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
+    edges = materialize(verified(stars, plain, docs, levels).unionByName(equal), "jaccard-edges")
     labels = components(edges)
-    members = tiles.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("t1", "t2", "uid", F.coalesce("label", "uid").alias("label"))
+    members = tiles.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("pivot", "uid", F.coalesce("label", "uid").alias("label"))
     members = materialize(members, "jaccard-members")
     tasks = materialize(gathered(members), "jaccard-tasks")
     bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"))
