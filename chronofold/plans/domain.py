@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold import lab
 from chronofold.operators import bars as B
 from chronofold.operators import corporate, labels, market, pit, structure
 from chronofold.operators import portfolio as P
 from chronofold.operators import relational as R
-from chronofold.operators.signals import full, trailing
 
 from .catalog import query
 from .views import Views, number
@@ -194,31 +194,12 @@ def n03(v: Views) -> DataFrame:
     return market.universes(panel(v).withColumn("adv20", F.round("adv20", 4)), specs)
 
 
-def signals(v: Views) -> DataFrame:
-    """Every signal of the portfolio rules for every session and ticker."""
-    w20, w60, far, order = trailing("ticker", "date", 20), trailing("ticker", "date", 60), trailing("ticker", "date", 60, 20), Window.partitionBy("ticker").orderBy("date")
-    year = F.sqrt(F.lit(252.0))
-    rows = v.dense.join(v.chip, ["date", "ticker"], "left").withColumn("flow", F.col("qfii") + F.col("fund") + F.col("dlrp")).withColumn("ret", F.try_divide("adj_close", F.lag("adj_close").over(order)) - 1)
-    rows = rows.withColumn("down", F.when(F.col("ret").isNotNull(), F.pow(F.least("ret", F.lit(0.0)), 2)))
-    s, d, base = full(F.stddev_samp, "ret", w60, 60), full(F.avg, "down", w60, 60), full(F.avg, "volume", far, 60)
-    a, b, loose = F.lag("adj_close", 21).over(order), F.lag("adj_close", 252).over(order), full(F.stddev_samp, "ret", w60, 20)
-    return rows.select(
-        "date", "ticker", "close", "market_cap", full(F.avg, "traded_value", w20, 20).alias("adv20"), full(F.sum, "traded_value", w20, 20).alias("sum20"), F.count("traded_value").over(w20).alias("n20"), full(F.avg, "turnover", w20, 20).alias("turnover_20d"),
-        F.when(base > 0, full(F.avg, "volume", w20, 20) / base).alias("volume_ratio"), full(F.sum, "flow", w20, 20).alias("chip_20d"), F.when((a > 0) & (b > 0), a / b - 1).alias("momentum_12_1"), F.when(loose > 0, loose * year).alias("vol_60d"),
-        F.when(s > 0, F.avg("ret").over(w60) / s * year).alias("sharpe_60d"), F.when(d > 0, F.avg("ret").over(w60) / F.sqrt(d) * year).alias("sortino_60d"),
-    )
+def market_of(v: Views) -> lab.Market:
+    return lab.Market(v.calendar.select("date"), v.price, v.chip, v.master, v.state, v.sales, v.financial, v.index)
 
 
 def candidates(v: Views) -> DataFrame:
-    dates = F.broadcast(formations(v))
-    rows = signals(v).withColumnRenamed("date", "formation_date").join(dates, "formation_date")
-    sales = pit.pick_sales(v.sales, formations(v)).select("formation_date", "ticker", "r18")
-    roe = pit.pick_fundamentals(v.financial, formations(v)).select("formation_date", "ticker", "r103")
-    index = v.index.select(F.col("date").alias("formation_date"), full(F.sum, "traded_value", Window.orderBy("date").rowsBetween(-19, 0), 20).alias("index_sum20"))
-    state = v.state.select(F.col("date").alias("formation_date"), "ticker", "market_state")
-    master = v.master.select("ticker", "list_date", "delist_date", "main_industry", F.lit(True).alias("known"))
-    key = ["formation_date", "ticker"]
-    return rows.join(sales, key, "left").join(roe, key, "left").join(F.broadcast(index), "formation_date", "left").join(state, key, "left").join(F.broadcast(master), "ticker", "left")
+    return lab.candidate_table(market_of(v))
 
 
 MOMENTUM_SQL = f"""WITH x AS (SELECT date, ticker, close, market_cap, lag(adj_close, 21) OVER o AS a, lag(adj_close, 252) OVER o AS b, count(traded_value) OVER w AS n20, sum(traded_value) OVER w AS s, avg(traded_value) OVER w AS m FROM fx_dense WINDOW o AS (PARTITION BY ticker ORDER BY date), w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
@@ -262,13 +243,7 @@ def x05(v: Views) -> DataFrame:
 
 def simulated(v: Views) -> DataFrame:
     """Ledger of all portfolios over the fixture market; targets of a formation apply in the next month."""
-    targets = P.candidate_audit(candidates(v)).where("selected").select("etf_id", F.add_months(F.trunc("formation_date", "month"), 1).alias("month"), "ticker", "weight")
-    first = v.calendar.where("k = 1").select("month", "date")
-    weights = targets.join(F.broadcast(first), "month").select("etf_id", "date", "ticker", "weight")
-    days = v.state.join(F.broadcast(v.calendar.select("date", "month", "k", "n")), "date").join(F.broadcast(v.master.select("ticker", "delist_date")), "ticker")
-    days = days.withColumn("delisted", F.coalesce(F.col("date") >= F.col("delist_date"), F.lit(False)))
-    rows = days.join(F.broadcast(targets.select("etf_id").distinct())).join(weights, ["etf_id", "date", "ticker"], "left")
-    return P.run_portfolios(rows.select("etf_id", "date", "month", "k", "n", "ticker", F.coalesce("close", F.lit(0.0)).alias("close"), F.coalesce("adj_close", F.lit(0.0)).alias("adj_close"), "tradable", "delisted", "weight"))
+    return lab.run_all(market_of(v)).ledger
 
 
 @query("x07_portfolio_simulation")
