@@ -54,3 +54,31 @@ def adjustment_factors(prices: DataFrame, actions: DataFrame) -> DataFrame:
 def restart_dates(changed_rows: DataFrame, changed_actions: DataFrame) -> DataFrame:
     """Per ticker the first date from which adjusted prices have to be made again."""
     return changed_rows.select("ticker", "date").unionByName(changed_actions.select("ticker", "date")).groupBy("ticker").agg(F.min("date").alias("start"))
+
+
+def resume_factors(prices: DataFrame, actions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """adjustment_factors for new rows of tickers that have a past: seeds (ticker, factor, close of the row before) or null for a new series.
+
+    A ticker without a seed row is an error, so a lost past is never taken for a new series.
+    """
+    from .relational import ContractError
+
+    lost = prices.join(seeds, "ticker", "left_anti").select("ticker").limit(1).collect()
+    if lost:
+        raise ContractError(f"no seed for {lost[0].ticker}")
+    first = prices.groupBy("ticker").agg(F.min("date").alias("__first"))
+    before = seeds.where("factor is not null").join(first, "ticker").select(F.date_sub("__first", 1).alias("date"), "ticker", "close", F.lit(None).cast("double").alias("volume"))
+    rows = adjustment_factors(prices.select("date", "ticker", "close", F.col("volume").cast("double").alias("volume")).unionByName(before), actions.join(first, "ticker").where("date >= __first").drop("__first"))
+    out = rows.join(first, "ticker").where("date >= __first").join(seeds.select("ticker", F.coalesce("factor", F.lit(1.0)).alias("__seed")), "ticker")
+    return out.select("date", "ticker", "close", (F.col("factor") * F.col("__seed")).alias("factor"), (F.col("adj_close") * F.col("__seed")).alias("adj_close"))
+
+
+def price_violations(rows: DataFrame, relative: float = 1e-10, absolute: float = 1e-8) -> DataFrame:
+    """Counts over date, ticker, open, high, low, close, factor, adj_close: missing pairs, wrong products, order of prices, bad factors."""
+    wanted = F.col("close") * F.col("factor")
+    off = F.abs(F.col("adj_close") - wanted) > F.greatest(F.lit(absolute), relative * F.abs(wanted))
+    ordered = (F.col("low") <= F.least("open", "close")) & (F.greatest("open", "close") <= F.col("high"))
+    return rows.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("close").isNull() != F.col("adj_close").isNull()).alias("null_mismatch"), F.count_if(off).alias("product_off"),
+        F.count_if(~ordered).alias("disordered"), F.count_if(~(F.col("factor") > 0)).alias("bad_factor"), F.count_if(F.col("close") <= 0).alias("bad_close"),
+    )

@@ -58,6 +58,27 @@ def daily_state(calendar: DataFrame, master: DataFrame, prices: DataFrame, attri
     return rows.select("date", "ticker", "close", "traded_value", state.alias("s")).select("date", "ticker", "close", "traded_value", "s.*")
 
 
+def identity_conflicts(prices: DataFrame, master: DataFrame) -> DataFrame:
+    """Price rows the lifecycle doesn't explain: unknown securities, emerging ones (no market), and rows outside their listed days."""
+    rows = prices.select("date", "ticker").join(master.select("ticker", "market", "list_date", "delist_date", F.lit(True).alias("known")), "ticker", "left")
+    outside = (F.col("date") < F.col("list_date")) | (F.col("date") >= F.col("delist_date"))
+    reason = F.when(F.col("known").isNull(), "unidentified").when(F.col("market").isNull(), "emerging").when(outside, "outside_lifecycle")
+    return rows.select("date", "ticker", reason.alias("reason")).where("reason is not null")
+
+
+def instrument(kind: Column) -> Column:
+    """EQUITY for what is called a common stock, else OTHER."""
+    return F.when(F.contains(F.upper(F.trim(kind)), F.lit("COMMON STOCK")), "EQUITY").otherwise("OTHER")
+
+
+def capability_audit(index: DataFrame) -> DataFrame:
+    """What the index source supports: observations by column, and features declared unavailable for want of their inputs."""
+    have = set(index.columns)
+    needs = {"realized_volatility": {"close"}, "traded_value": {"traded_value"}, "order_flow_toxicity": {"buy_volume", "sell_volume"}, "price_impact": {"signed_volume"}, "true_range": {"high", "low", "close"}, "implied_volatility": {"implied_volatility"}}
+    rows = [(name, bool(cols <= have), ",".join(sorted(cols - have))) for name, cols in needs.items()]
+    return index.sparkSession.createDataFrame(rows, "feature string, available boolean, missing string")
+
+
 def security_panel(prices: DataFrame, master: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per price row: adv20 over up to 20 own rows, whether listed and tradable, and the next session as effective_date."""
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-19, 0)

@@ -246,3 +246,49 @@ def traded_amount(holdings: DataFrame, state: DataFrame, days: DataFrame) -> Dat
     rows = held.join(state, ["date", "ticker"], "left")
     seen = F.coalesce(F.col("amount_state") == "OBSERVED", F.lit(False))
     return rows.groupBy("date", "etf_id").agg(F.sum(F.when(seen, F.col("w") * F.col("traded_value"))).alias("etf_amount"), F.count_if(~seen).alias("missing_count"))
+
+
+@dataclass(frozen=True)
+class Order:
+    ticker: str
+    shares: int
+    price: float
+    fee: float
+
+
+def allocation_plan(weights: dict[str, float], prices: dict[str, float], cash: float, held: dict[str, int] | None = None) -> tuple[list[Order], float]:
+    """One-off orders from what is held to the target weights, sales first, and the cash left. A book of one portfolio, not a table.
+
+    Targets are floored shares of all assets; what purchases and fees cannot get from the cash is left out from the last ticker on.
+    """
+    held = {t: n for t, n in (held or {}).items() if n}
+    lost = sorted(t for t in {*weights, *held} if not prices.get(t, 0) > 0)
+    if lost:
+        raise ValueError(f"no price for {lost}")
+    if any(w < 0 for w in weights.values()) or sum(weights.values()) > 1 + 1e-9:
+        raise ValueError("weights are at least 0 and at most 1 together")
+    price = {t: Decimal(repr(float(p))) for t, p in prices.items()}
+    left = Decimal(repr(float(cash)))
+    assets = left + sum((price[t] * n for t, n in held.items()), Decimal(0))
+    goal = {t: int((assets * Decimal(repr(float(w))) / price[t]).to_integral_value(rounding=ROUND_FLOOR)) for t, w in weights.items()}
+    orders: list[Order] = []
+    for t in sorted(held):
+        n = held[t] - goal.get(t, 0)
+        if n > 0:
+            fee_ = charge(price[t] * n, True)
+            left += price[t] * n - fee_
+            orders.append(Order(t, -n, float(price[t]), float(fee_)))
+    wanted = {t: n - held.get(t, 0) for t, n in goal.items() if n > held.get(t, 0)}
+    for t, n in sorted(allocate_buys(wanted, price, left).items()) if wanted else []:
+        if n:
+            fee_ = charge(price[t] * n, False)
+            left -= price[t] * n + fee_
+            orders.append(Order(t, n, float(price[t]), float(fee_)))
+    return orders, float(left)
+
+
+def synthetic_action(close: Column, adj_close: Column, prev_close: Column, prev_adj: Column, shares: Column) -> Column:
+    """A struct of whole shares and the fraction's cash after a change of adj_close against close between two sessions."""
+    factor = (adj_close / close) / (prev_adj / prev_close)
+    exact = shares * factor
+    return F.struct(F.floor(exact + 1e-9).alias("shares"), ((exact - F.floor(exact + 1e-9)) * close).alias("cash"))

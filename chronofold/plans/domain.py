@@ -434,3 +434,73 @@ def v03(v: Views) -> DataFrame:
 def v05(v: Views) -> DataFrame:
     enough, short = F.count("*") >= 120, F.max("days") <= 60
     return v.bar.groupBy("etf_id").agg(F.count("*").alias("bars"), enough.alias("enough"), short.alias("short_enough"), (enough & short).alias("ready"))
+
+
+@query("q05_resumed_factors", "SELECT date, ticker, round(2.0 * exp(sum(0.0) OVER (PARTITION BY ticker ORDER BY date)), 9) AS factor FROM fx_price WHERE date >= DATE '2000-01-03'")
+def q05(v: Views) -> DataFrame:
+    seeds = v.price.where("date < date'2000-01-03'").groupBy("ticker").agg(F.lit(2.0).alias("factor"), F.max_by("close", "date").alias("close"))
+    none = v.spark.createDataFrame([], "ticker string, date date, cash double, factor double")
+    return corporate.resume_factors(v.price.where("date >= date'2000-01-03'"), none, seeds).select("date", "ticker", F.round("factor", 9).alias("factor"))
+
+
+@query("m03_identity_conflicts", "SELECT p.date, p.ticker, CASE WHEN m.market IS NULL THEN 'emerging' ELSE 'outside_lifecycle' END AS reason FROM fx_price p JOIN fx_master m ON m.ticker = p.ticker WHERE m.market IS NULL OR p.date < m.list_date OR p.date >= m.delist_date")
+def m03(v: Views) -> DataFrame:
+    return market.identity_conflicts(v.price, v.master)
+
+
+@query("x06_synthetic_actions", """SELECT date, ticker, CAST(floor(1000 * f + 1e-9) AS BIGINT) AS shares, round((1000 * f - floor(1000 * f + 1e-9)) * close, 6) AS cash FROM (SELECT date, ticker, close, (adj_close / close) / (lag(adj_close) OVER w / lag(close) OVER w) AS f FROM fx_price WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE f IS NOT NULL""")
+def x06(v: Views) -> DataFrame:
+    w = Window.partitionBy("ticker").orderBy("date")
+    rows = v.price.select("date", "ticker", "close", "adj_close", F.lag("close").over(w).alias("pc"), F.lag("adj_close").over(w).alias("pa")).where("pc is not null")
+    moved = rows.withColumn("s", P.synthetic_action(F.col("close"), F.col("adj_close"), F.col("pc"), F.col("pa"), F.lit(1000)))
+    return moved.select("date", "ticker", "s.shares", F.round("s.cash", 6).alias("cash"))
+
+
+@query("v04_capabilities", "SELECT * FROM (VALUES ('realized_volatility', false, 'close'), ('traded_value', true, ''), ('order_flow_toxicity', false, 'buy_volume,sell_volume'), ('price_impact', false, 'signed_volume'), ('true_range', false, 'close,high,low'), ('implied_volatility', false, 'implied_volatility')) t(feature, available, missing)")
+def v04(v: Views) -> DataFrame:
+    return market.capability_audit(v.index)
+
+
+@query("v06_coverage_regression", "SELECT extract(year FROM c.date) AS year, count(*) AS sessions, count(p.date) AS covered FROM fx_calendar c LEFT JOIN (SELECT DISTINCT date FROM fx_price WHERE ticker = '1105') p ON p.date = c.date GROUP BY 1")
+def v06(v: Views) -> DataFrame:
+    seen = v.price.where("ticker = '1105'").select("date", F.lit(1).alias("seen")).distinct()
+    return v.calendar.join(seen, "date", "left").groupBy(F.year("date").cast("long").alias("year")).agg(F.count("*").alias("sessions"), F.count("seen").alias("covered"))
+
+
+@query("l07_feature_sidecars", """WITH f AS (SELECT h.date, h.etf_id, CASE WHEN count(*) = count(c.fund) THEN sum(h.w * c.fund) END AS flow FROM fx_holding h LEFT JOIN fx_chip c ON c.date = h.date AND c.ticker = h.ticker GROUP BY 1, 2),
+  z AS (SELECT date, etf_id, CASE WHEN count(flow) OVER w = 20 AND stddev_samp(flow) OVER w > 0 THEN (flow - avg(flow) OVER w) / stddev_samp(flow) OVER w END AS z FROM f WINDOW w AS (PARTITION BY etf_id ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+  SELECT b.etf_id, b.bar, round(z.z, 6) AS flow_z FROM fx_bar b ASOF LEFT JOIN z ON z.etf_id = b.etf_id AND b.end_date >= z.date""")
+def l07(v: Views) -> DataFrame:
+    from chronofold.operators.signals import full, trailing
+
+    flow = F.when(F.count("*") == F.count("fund"), F.sum(F.col("w") * F.col("fund")))
+    rows = v.holding.join(v.chip, ["date", "ticker"], "left").groupBy("date", "etf_id").agg(flow.alias("flow"))
+    w = trailing("etf_id", "date", 20)
+    m, s = full(F.avg, "flow", w, 20), full(F.stddev_samp, "flow", w, 20)
+    z = rows.select(F.col("date").alias("day"), "etf_id", F.when(s > 0, (F.col("flow") - m) / s).alias("z"), F.lit(True).alias("there"))
+    found = R.asof_join(v.bar, z, "end_date", "day", ["z", "there"], by=["etf_id"])
+    return found.select("etf_id", "bar", F.round("z", 6).alias("flow_z"))
+
+
+@query("l08_target_table", "SELECT b.etf_id, b.bar, c.nav, c.date FROM fx_bar b JOIN fx_curve c ON c.etf_id = b.etf_id AND c.date = b.end_date")
+def l08(v: Views) -> DataFrame:
+    bars_ = v.bar.select("etf_id", "bar", F.col("end_date").alias("date"))
+    return R.checked_join(bars_, v.curve.select("etf_id", "date", "nav"), ["etf_id", "date"], "inner1", "1:1").select("etf_id", "bar", "nav", "date")
+
+
+@query("s03_per_key_ranges", "SELECT ticker, count(*) AS n, arg_max(close, date) AS last_close FROM fx_price WHERE ticker LIKE '11_1' AND date < DATE '1999-01-01' GROUP BY 1")
+def s03(v: Views) -> DataFrame:
+    """Fan-out over tickers by a pattern, with the last row before a date as seed, in one scan."""
+    return v.price.where(F.col("ticker").like("11_1") & (F.col("date") < "1999-01-01")).groupBy("ticker").agg(F.count("*").alias("n"), F.max_by("close", "date").alias("last_close"))
+
+
+@query("s07_rename_and_normalize", "SELECT o_orderkey AS order_id, strftime(d, '%Y-%m-%d') AS mdate, CASE WHEN ticker = '1110' THEN NULL ELSE CAST(price AS DOUBLE) END AS amt FROM fx_orders WHERE o_orderkey % 7 = 0")
+def s07(v: Views) -> DataFrame:
+    raw = v.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("order_id"), F.date_format("d", "yyyy-MM-dd").alias("mdate"), F.when(F.col("ticker") == "1110", float("nan")).otherwise(F.col("price").cast("double")).alias("amt"))
+    return raw.withColumn("amt", F.when(~F.isnan("amt"), F.col("amt")))
+
+
+@query("s05_cutoff_fallback", "SELECT ticker, period, CASE WHEN available > DATE '2000-01-01' THEN DATE '2000-01-01' ELSE available END AS cutoff FROM fx_sales WHERE revision = 1")
+def s05(v: Views) -> DataFrame:
+    limit = F.lit("2000-01-01").cast("date")
+    return v.sales.where("revision = 1").select("ticker", "period", F.when(F.col("available") > limit, limit).otherwise(F.col("available")).alias("cutoff"))

@@ -82,6 +82,12 @@ class Store:
         text = self._read_text(self.path("manifests", f"{artifact_id}.json"))
         return None if text is None else json.loads(text)
 
+    def names(self) -> list[str]:
+        """Every artifact that has a manifest."""
+        fs, top = self._fs(self.path("manifests"))
+        found = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+        return sorted(n.removesuffix(".json") for n in found if n.endswith(".json"))
+
     def fingerprint(self, artifact_id: str) -> str:
         text = self._read_text(self.path("manifests", f"{artifact_id}.json"))
         if text is None:
