@@ -48,7 +48,7 @@ def t05(v: Views) -> DataFrame:
 
 
 @query("t06_threshold_choice", f"""SELECT threshold, round(gain, 9) AS gain, round(share, 9) AS share FROM (SELECT t.threshold, sum(x.g) / count(*) AS gain, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM fx_bar) AS share FROM (SELECT p, close / open - 1 AS g FROM ({SCORE_SQL}) s JOIN fx_bar b USING (etf_id, bar)) x
-  JOIN (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7]) AS threshold) t ON x.p >= t.threshold GROUP BY 1) WHERE share >= 0.1 ORDER BY gain DESC, threshold LIMIT 1""")
+  JOIN (SELECT CAST(unnest([0.5, 0.55, 0.6, 0.65, 0.7]) AS DOUBLE) AS threshold) t ON x.p >= t.threshold GROUP BY 1) WHERE share >= 0.1 ORDER BY gain DESC, threshold LIMIT 1""")
 def t06(v: Views) -> DataFrame:
     rows = scores(v).join(v.bar.select("etf_id", "bar", (F.col("close") / F.col("open") - 1).alias("gain")), ["etf_id", "bar"]).withColumn("w", F.lit(1.0))
     best = models.best_threshold(rows, "p", "gain", "w")

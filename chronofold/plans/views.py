@@ -37,7 +37,7 @@ VIEW_SQL = {
       UNION ALL SELECT ticker, period, CAST(period + INTERVAL 1 MONTH AS DATE) + 20, 2, ticker || '-2', r18 * 2 FROM fx_sales0 WHERE month(period) % 3 = 0""",
     "fx_financial": """SELECT ticker, q AS period_end, CAST(q + INTERVAL 4 MONTH AS DATE) AS available, CASE WHEN CAST(ticker AS INTEGER) % 5 = 0 THEN NULL ELSE CAST(q + INTERVAL 5 MONTH AS DATE) END AS revision_date, v AS row_no,
       CASE WHEN v = 1 AND CAST(ticker AS INTEGER) % 7 = 0 THEN r + 1 ELSE r END AS r103 FROM
-      (SELECT ticker, CAST(date_trunc('quarter', d) AS DATE) AS q, count(*) - 3.0 AS r FROM fx_orders GROUP BY 1, 2) CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) v0""",
+      (SELECT ticker, CAST(date_trunc('quarter', d) AS DATE) AS q, CAST(count(*) - 3 AS DOUBLE) AS r FROM fx_orders GROUP BY 1, 2) CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) v0""",
     "fx_curve0": "SELECT d AS date, etf_id, CAST(sum(price) AS DOUBLE) AS etf_amount, CAST(avg(CAST(o_orderkey % 100 AS DOUBLE)) AS DOUBLE) AS m FROM fx_orders GROUP BY 1, 2",
     "fx_curve": "SELECT date, etf_id, etf_amount, 100 + m AS nav, CAST(row_number() OVER (PARTITION BY etf_id ORDER BY date) AS BIGINT) AS i FROM fx_curve0",
     "fx_bar": """SELECT etf_id, CAST((i - 1) // 10 AS BIGINT) AS bar, min(date) AS start_date, max(date) AS end_date, arg_min(nav, i) AS open, max(nav) AS high, min(nav) AS low, arg_max(nav, i) AS close,
