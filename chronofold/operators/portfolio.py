@@ -291,4 +291,5 @@ def synthetic_action(close: Column, adj_close: Column, prev_close: Column, prev_
     """A struct of whole shares and the fraction's cash after a change of adj_close against close between two sessions."""
     factor = (adj_close / close) / (prev_adj / prev_close)
     exact = shares * factor
-    return F.struct(F.floor(exact + 1e-9).alias("shares"), ((exact - F.floor(exact + 1e-9)) * close).alias("cash"))
+    whole = F.floor(exact + 1e-9)
+    return F.struct(whole.alias("shares"), (F.greatest(F.lit(0.0), exact - whole) * close).alias("cash"))

@@ -448,7 +448,7 @@ def m03(v: Views) -> DataFrame:
     return market.identity_conflicts(v.price, v.master)
 
 
-@query("x06_synthetic_actions", """SELECT date, ticker, CAST(floor(1000 * f + 1e-9) AS BIGINT) AS shares, round((1000 * f - floor(1000 * f + 1e-9)) * close, 6) AS cash FROM (SELECT date, ticker, close, (adj_close / close) / (lag(adj_close) OVER w / lag(close) OVER w) AS f FROM fx_price WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE f IS NOT NULL""")
+@query("x06_synthetic_actions", """SELECT date, ticker, CAST(floor(1000 * f + 1e-9) AS BIGINT) AS shares, round(greatest(0, 1000 * f - floor(1000 * f + 1e-9)) * close, 6) AS cash FROM (SELECT date, ticker, close, (adj_close / close) / (lag(adj_close) OVER w / lag(close) OVER w) AS f FROM fx_price WINDOW w AS (PARTITION BY ticker ORDER BY date)) WHERE f IS NOT NULL""")
 def x06(v: Views) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date")
     rows = v.price.select("date", "ticker", "close", "adj_close", F.lag("close").over(w).alias("pc"), F.lag("adj_close").over(w).alias("pa")).where("pc is not null")
