@@ -34,6 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -90,8 +90,11 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends])
 
 
-def slot_counts(df: DataFrame, slots_of, bits: int) -> np.ndarray:
-    """How often each of 2**bits slots occurs; slots_of: slots of a record batch. Tasks send their counts in chunks, which are added up as they come."""
+def slot_counts(df: DataFrame, slots_of, bits: int, filled: bool = False) -> np.ndarray:
+    """How often each of 2**bits slots occurs; slots_of: slots of a record batch. Tasks send their counts in chunks, which are added up as they come.
+
+    With filled, the driver gets a bit for each slot instead, packed eight to a byte.
+    """
     size = (1 << bits) // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +112,14 @@ def slot_counts(df: DataFrame, slots_of, bits: int) -> np.ndarray:
             for c, width, data in zip(*(x.to_pylist() for x in batch.columns)):
                 part = np.frombuffer(data, np.uint16 if width == 2 else np.int64)
                 sums[c] = sums[c] + part if c in sums else part.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    rows = df.mapInArrow(count, "chunk int, width int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros(1 << bits, np.int64)
-    for r in rows:
-        out[r.chunk * size : (r.chunk + 1) * size] += np.frombuffer(r.counts, np.int64)
+        data = [np.packbits(v > 0).tobytes() if filled else v.tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["chunk", "counts"])
+
+    rows = df.mapInArrow(count, "chunk int, width int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
+    kind, size = (np.uint8, size // 8) if filled else (np.int64, size)
+    out = np.zeros(size * CHUNKS, kind)
+    for chunk, data in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist()):
+        out[chunk * size : (chunk + 1) * size] = np.frombuffer(data, kind)
     return out
 
 
@@ -123,8 +128,13 @@ def filter_slot(ids: pa.Array) -> np.ndarray:
 
 
 def slots_filled(ids: DataFrame) -> np.ndarray:
-    """Which of 2**FILTER_BITS slots the numbers of all columns fall into."""
-    return slot_counts(ids, lambda batch: np.concatenate([filter_slot(c) for c in batch.columns]), FILTER_BITS) > 0
+    """Which of 2**FILTER_BITS slots the numbers of all columns fall into, as packed bits."""
+    return slot_counts(ids, lambda batch: np.concatenate([filter_slot(c) for c in batch.columns]), FILTER_BITS, filled=True)
+
+
+def in_filter(packed: np.ndarray, ids: pa.Array) -> pa.Array:
+    at = filter_slot(ids)
+    return pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
 
 def asked_for(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -133,7 +143,7 @@ def asked_for(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(wanted[filter_slot(batch.column(column))]))
+            yield batch.filter(in_filter(wanted, batch.column(column)))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -339,7 +349,7 @@ def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.nda
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for whole_batch in batches:
-            some = whole_batch.filter(pa.array(wanted[filter_slot(whole_batch.column("key"))]))
+            some = whole_batch.filter(in_filter(wanted, whole_batch.column("key")))
             for batch in by_bytes(iter([some]), "text", 4 << 20):
                 h, cuts = shingles(batch.column("text"))
                 ranked = in_order(h, levels)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, materialize, table
+from ._common import by_bytes, give_back, materialize, table
 
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -100,24 +100,25 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
         return Model(-math.inf, np.zeros(0, np.int64), np.zeros(0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 1 << BITS), np.int64)
+        held = np.zeros((2, 1 << BITS), np.int32)
         for batch in by_bytes(batches, "text", SLICE):
             label = batch.column("toxic").to_numpy(zero_copy_only=False)
             owner, bucket = present(batch.column("text").to_pylist())
             for t in (0, 1):
-                held[t] += np.bincount(bucket[label[owner] == t], minlength=1 << BITS)
+                held[t] += np.bincount(bucket[label[owner] == t], minlength=1 << BITS).astype(np.int32)
         at = np.flatnonzero(held.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[0, at]), pa.array(held[1, at])], ["bucket", "clean", "toxic"])
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[0, at].astype(np.int64)), pa.array(held[1, at].astype(np.int64))], ["bucket", "clean", "toxic"])
 
     counts = sample.select("text", "toxic").mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p, q = F.col("toxic") / F.lit(float(toxic)), F.col("clean") / F.lit(float(clean))
     pooled = (F.col("toxic") + F.col("clean") + 1.0) / F.lit(float(toxic + clean + 2))
     z = F.abs(p - q) / F.sqrt(pooled * (F.lit(1.0001) - pooled) * F.lit(1 / toxic + 1 / clean))
-    best = counts.where("toxic + clean >= 3").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "bucket").limit(features).collect()
-    buckets = np.array([r.bucket for r in best], np.int64)
+    best = counts.where("toxic + clean >= 3").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "bucket").limit(features).select("bucket", "toxic", "clean").toArrow()
+    buckets = best["bucket"].to_numpy().astype(np.int64)
     if not len(buckets):
         return Model(-math.inf, buckets, np.zeros(0))
-    ratio = np.log((np.array([r.toxic for r in best]) + 1) / (toxic + 2)) - np.log((np.array([r.clean for r in best]) + 1) / (clean + 2))
+    ratio = np.log((best["toxic"].to_numpy() + 1) / (toxic + 2)) - np.log((best["clean"].to_numpy() + 1) / (clean + 2))
     marks = np.zeros(1 << BITS, np.uint8)
     marks[buckets] = 1
 
@@ -126,13 +127,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
             owner, bucket = present(batch.column("text").to_pylist(), marks)
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bucket, pa.int32()))], ["toxic", "buckets"])
-
-    rows = sample.select("text", "toxic").mapInArrow(find, "toxic int, buckets array<int>").collect()
-    place = {b: k for k, b in enumerate(buckets.tolist())}
-    y = np.array([r.toxic for r in rows], np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(r.buckets) for r in rows])
-    col = np.fromiter((place[b] for r in rows for b in r.buckets), np.int64, len(row))
+        give_back()
+
+    rows = sample.select("text", "toxic").mapInArrow(find, "toxic int, buckets array<int>").toArrow().combine_chunks()
+    place = np.zeros(1 << BITS, np.int32)
+    place[buckets] = np.arange(len(buckets))
+    y = rows["toxic"].to_numpy().astype(np.float64)
+    lists = rows["buckets"].combine_chunks()
+    col = place[lists.flatten().to_numpy()].astype(np.int64)
+    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     bias, w = logistic(row, col, ratio[col], y, len(buckets))
+    give_back()
     return Model(bias, buckets, w * ratio)
 
 
@@ -167,6 +172,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 owner, bucket = present(batch.column("__text").to_pylist(), marks)
                 p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, weights[bucket], n) + model.bias, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*names, "score"])
+        give_back()
 
     scored = renamed.mapInArrow(run, f"{schema}{', ' if keep else ''}score double")
     return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "score")
