@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph, by smallest labels and shortcuts."""
+"""Connected components of an undirected graph, by smallest neighbours, shortcuts and contraction."""
 
 from __future__ import annotations
 
@@ -8,20 +8,29 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shortcuts: int = 2) -> DataFrame:
     """edges: a, b (long). Gives node, label (the smallest node of its component) for every node that has an edge.
 
-    Each round a node takes the smallest label among its neighbours and then its label's label, until nothing changes. Rounds
-    are written to the shared folder; only the number of changes comes to the driver. Joins meet written tables, so a node with very
-    many edges is split by adaptive execution; minima are aggregated before they are shuffled.
+    Each round a node takes its smallest neighbour if that is smaller, follows it a few steps on, and edges are carried over to the labels;
+    those within one label go, so the graph shrinks fast and each edge is joined once or twice in all. Rounds are written to
+    the shared folder; only whether edges are left comes to the driver. Minima are aggregated before they are shuffled, and joins meet written
+    tables, so adaptive execution can split a node with very many edges.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
+    left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        lowered = materialize(labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old")), "cc-lowered")
-        jumped = lowered.join(lowered.select(F.col("node").alias("next"), F.col("next").alias("far")), "next", "left")
-        done = materialize(jumped.select("node", F.least("next", F.coalesce("far", "next")).alias("label"), "old"), "cc-labels")
-        labels = done.select("node", "label")
-        if not done.where("label <> old").limit(1).count():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        step = materialize(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label")), "cc-steps")
+        for _ in range(shortcuts):
+            onward = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            step = materialize(step.join(onward, "label").select("node", F.col("far").alias("label")), "cc-steps")
+        if labels is None:
+            labels = step
+        else:
+            moved = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            labels = materialize(labels.join(moved, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "cc-labels")
+        side = lambda c: step.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        carried = left.join(side("a"), "a").join(side("b"), "b").where("la <> lb")
+        left = materialize(carried.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "cc-edges")
+        if not left.limit(1).count():
             return labels

@@ -11,10 +11,10 @@ as 64-bit hashes. Two documents link when 100 * |A and B| >= 75 * |A or B|.
 3. In each tile that smallest document is compared with the others; pairs that the check below confirms are joined into components.
 4. Tiles that still hold several components are put together by their smallest component and cut into bands of set size, each compared with
    itself and the next: pairs of different components go on if their sizes and wider bitmaps allow a link. |A xor B| is at least the number of bits
-   that differ, which bounds |A and B| from above. What is left is checked and joined too. As every linked pair of different components is
-   compared, none is lost. Large tiles are dealt to several tasks by shares of their documents.
+   that differ, which bounds |A and B| from above. What is left is checked and joined too: first the most alike pair of each two components of a tile,
+   then, of what is still apart, all pairs. As every linked pair of different components is compared in the end, none is lost. Large tiles are dealt to several tasks by shares of their documents.
 The check of a pair: size and bitmap bound first, then the intersection of the sorted arrays. The table is read once for the count, once for
-the postings and twice for the sorted arrays of the texts that pairs ask for; it has to give the same rows each time.
+the postings and three times for the sorted arrays of the texts that pairs ask for; it has to give the same rows each time.
 
 Equal sets link without a comparison. Copies need not be expanded: pairs that are in one component already are not compared.
 
@@ -382,8 +382,8 @@ def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.nda
     return rows.mapInArrow(exact, "a long, b long")
 
 
-def across(n: np.ndarray, label: np.ndarray, bits: list[bytes], main: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of the pairs of a tile that are in different components and may link, band by band.
+def across(n: np.ndarray, label: np.ndarray, bits: list[bytes], main: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs of a tile that are in different components and may link, band by band, and the largest share they may have.
 
     With main, a label, only pairs with exactly one document of that component.
     """
@@ -417,7 +417,7 @@ def across(n: np.ndarray, label: np.ndarray, bits: list[bytes], main: int | None
                 common = (total - apart) // 2
                 i, j = np.nonzero(may & (100 * common >= 75 * (total - common)))
                 if len(i):
-                    yield r[i], columns[j]
+                    yield r[i], columns[j], common[i, j] / (total[i, j] - common[i, j])
 
 
 def gathered(members: DataFrame) -> DataFrame:
@@ -441,8 +441,19 @@ def gathered(members: DataFrame) -> DataFrame:
     return sized.select("main", "uid", "label", F.explode(tasks).alias("t")).select("main", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.m").alias("m"), "uid", "label")
 
 
-def cross_pairs(rows: DataFrame, partitions: int) -> DataFrame:
-    """rows: main, x, y (a task), m, uid, label, n, wide. Pairs a < b of a task in different components that size and bitmaps let link."""
+def most_alike(label: np.ndarray, found: list[tuple]) -> list[tuple]:
+    """Of pairs (i, j, share) the most alike one of each two components."""
+    i, j, share = (np.concatenate(x) for x in zip(*found))
+    x, y = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+    order = np.lexsort((-share, y, x))
+    first = np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])])
+    keep = order[first]
+    return [(i[keep], j[keep], share[keep])]
+
+
+def cross_pairs(rows: DataFrame, partitions: int, best: bool = False) -> DataFrame:
+    """rows: main, x, y (a task), m, uid, label, n, wide. Pairs a < b of a task in different components that size and bitmaps let link;
+    with best, only the most alike pair of each two components."""
     dealt = rows.repartition(partitions, "main", "x", "y").sortWithinPartitions("main", "x", "y", "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +468,13 @@ def cross_pairs(rows: DataFrame, partitions: int) -> DataFrame:
             bits, main = t["wide"].to_pylist(), t["m"].to_pylist()
             edge = [0, *cuts(t).tolist(), t.num_rows]
             for a, z in zip(edge, edge[1:]):
-                for i, j in across(n[a:z], label[a:z], bits[a:z], main[a]):
+                found = across(n[a:z], label[a:z], bits[a:z], main[a])
+                if best:
+                    kept: list[tuple] = []
+                    for part in found:
+                        kept = most_alike(label[a:z], [*kept, part])
+                    found = iter(kept)
+                for i, j, _ in found:
                     x, y = uid[a:z][i], uid[a:z][j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
@@ -503,14 +520,15 @@ def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     stars = tiles.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
     edges = materialize(verified(stars, plain, docs, levels).unionByName(equal), "jaccard-edges")
     labels = components(edges)
-    members = tiles.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("pivot", "uid", F.coalesce("label", "uid").alias("label"))
-    members = materialize(members, "jaccard-members")
-    tasks = materialize(gathered(members), "jaccard-tasks")
-    bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"))
-    more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions).distinct(), "jaccard-cross")
-    second = materialize(verified(more, plain, docs, levels), "jaccard-edges")
-    if second.limit(1).count():
-        labels = components(edges.unionByName(second))
+    for best in (True, False):
+        members = tiles.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("pivot", "uid", F.coalesce("label", "uid").alias("label"))
+        tasks = materialize(gathered(materialize(members, "jaccard-members")), "jaccard-tasks")
+        bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"))
+        more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions, best).distinct(), "jaccard-cross")
+        second = materialize(verified(more, plain, docs, levels), "jaccard-edges")
+        if second.limit(1).count():
+            edges = materialize(edges.unionByName(second), "jaccard-edges")
+            labels = components(edges)
     return plain.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("label", "uid").alias("label"))
 
 
