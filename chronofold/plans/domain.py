@@ -86,7 +86,7 @@ def wide(v: Views) -> DataFrame:
     k = F.col("p_partkey")
     day = lambda first, span: F.date_add(F.lit(first).cast("date"), (k % span).cast("int"))
     none = F.lit(None)
-    return v.table("part").where("p_partkey < 400").select((1101 + k % 40).cast("string").alias("ticker"), k.alias("row_no"), F.when(k % 2 == 0, day("1996-01-01", 1500)).alias("q1_date"), (1.0 + F.col("p_size") % 5).alias("q1_cash"), F.when(k % 5 == 0, day("1997-01-01", 900)).alias("q2_date"), F.lit(2.0).alias("q2_cash"), none.cast("date").alias("q3_date"), none.cast("double").alias("q3_cash"), none.cast("date").alias("q4_date"), none.cast("double").alias("q4_cash"), F.when(k % 7 == 0, day("1998-03-02", 700)).alias("stock_date"), (0.5 * (F.col("p_size") % 4)).alias("stock_value"))
+    return v.table("part").select((1101 + k % 40).cast("string").alias("ticker"), k.alias("row_no"), F.when(k % 2 == 0, day("1996-01-01", 1500)).alias("q1_date"), (1.0 + F.col("p_size") % 5).alias("q1_cash"), F.when(k % 5 == 0, day("1997-01-01", 900)).alias("q2_date"), F.lit(2.0).alias("q2_cash"), none.cast("date").alias("q3_date"), none.cast("double").alias("q3_cash"), none.cast("date").alias("q4_date"), none.cast("double").alias("q4_cash"), F.when(k % 7 == 0, day("1998-03-02", 700)).alias("stock_date"), (0.5 * (F.col("p_size") % 4)).alias("stock_value"))
 
 
 DIVIDEND_SQL = f"""SELECT ticker, ex_date, kind, cash, ratio FROM (SELECT *, row_number() OVER (PARTITION BY ticker, ex_date, kind ORDER BY row_no DESC) AS n FROM (
@@ -105,8 +105,9 @@ CAPITAL_SQL = """SELECT CAST(1101 + p_partkey % 40 AS VARCHAR) AS ticker, DATE '
 
 
 def capital_rows(v: Views) -> DataFrame:
+    """Every row of part; the days are folded, as the calendar does not grow with the keys."""
     k = F.col("p_partkey")
-    return v.table("part").where("p_partkey < 400").select((1101 + k % 40).cast("string").alias("ticker"), F.date_add(F.lit("1996-06-03").cast("date"), k.cast("int")).alias("date"), F.when(k % 9 == 0, 10.0 * (1 + F.col("p_size") % 5)).alias("reduce_pct"), F.when(k % 11 == 0, 2.0).alias("split_new"), F.when(k % 11 == 0, 1.0).alias("split_old"), F.when(k % 13 == 0, F.col("p_retailprice")).alias("last_close"), F.when(k % 13 == 0, F.col("p_retailprice") - 100).alias("reference"))
+    return v.table("part").select((1101 + k % 40).cast("string").alias("ticker"), F.date_add(F.lit("1996-06-03").cast("date"), (k % 2000).cast("int")).alias("date"), F.when(k % 9 == 0, 10.0 * (1 + F.col("p_size") % 5)).alias("reduce_pct"), F.when(k % 11 == 0, 2.0).alias("split_new"), F.when(k % 11 == 0, 1.0).alias("split_old"), F.when(k % 13 == 0, F.col("p_retailprice")).alias("last_close"), F.when(k % 13 == 0, F.col("p_retailprice") - 100).alias("reference"))
 
 
 CAPITAL_EVENTS = f"""SELECT ticker, date, 'reduction' AS kind, CAST(1 - reduce_pct / 100 AS DOUBLE) AS factor FROM ({CAPITAL_SQL}) WHERE reduce_pct > 0 UNION ALL SELECT ticker, date, 'split', CAST(split_new AS DOUBLE) / split_old FROM ({CAPITAL_SQL}) WHERE split_new > 0
