@@ -23,7 +23,7 @@ def formations(v: Views) -> DataFrame:
 
 @query("p01_normalize_family", "SELECT CAST(d AS DATE) AS date, ticker, CAST(price AS DOUBLE) AS price, CASE WHEN trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE etf_id END) = '' THEN true ELSE false END AS is_trading_day FROM fx_orders WHERE o_orderkey % 10 = 0")
 def p01(v: Views) -> DataFrame:
-    raw = v.orders.where("o_orderkey % 10 = 0").select(F.date_format("d", "yyyy-MM-dd").alias("mdate"), F.col("ticker").alias("coid"), F.col("price").cast("string").alias("amt"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("etf_id")).alias("rmk"))
+    raw = v.orders.select(F.date_format("d", "yyyy-MM-dd").alias("mdate"), F.col("ticker").alias("coid"), F.col("price").cast("string").alias("amt"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("etf_id")).alias("rmk"))
     return raw.select(F.to_date("mdate").alias("date"), F.col("coid").alias("ticker"), F.col("amt").try_cast("double").alias("price"), (F.trim("rmk") == "").alias("is_trading_day"))
 
 
@@ -497,7 +497,7 @@ def s03(v: Views) -> DataFrame:
 
 @query("s07_rename_and_normalize", "SELECT o_orderkey AS order_id, strftime(d, '%Y-%m-%d') AS mdate, CASE WHEN ticker = '1110' THEN NULL ELSE CAST(price AS DOUBLE) END AS amt FROM fx_orders WHERE o_orderkey % 7 = 0")
 def s07(v: Views) -> DataFrame:
-    raw = v.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("order_id"), F.date_format("d", "yyyy-MM-dd").alias("mdate"), F.when(F.col("ticker") == "1110", float("nan")).otherwise(F.col("price").cast("double")).alias("amt"))
+    raw = v.orders.select(F.col("o_orderkey").alias("order_id"), F.date_format("d", "yyyy-MM-dd").alias("mdate"), F.when(F.col("ticker") == "1110", float("nan")).otherwise(F.col("price").cast("double")).alias("amt"))
     return raw.withColumn("amt", F.when(~F.isnan("amt"), F.col("amt")))
 
 

@@ -24,3 +24,11 @@ def whole_actions(sql):
 @pytest.mark.parametrize("name", ["q01_dividend_events", "q02_capital_actions", "q03_unified_actions", "q04_adjusted_prices"])
 def test_actions_of_every_part(name, spark, con):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(whole_actions(ORACLE_SQL[name])).df())
+
+
+@pytest.mark.parametrize("name", ["p01_normalize_family", "s07_rename_and_normalize"])
+def test_normalizes_every_order(name, spark, con):
+    whole = ORACLE_SQL[name].replace(" WHERE o_orderkey % 10 = 0", "").replace(" WHERE o_orderkey % 7 = 0", "")
+    got = QUERIES[name](spark, SF).toPandas()
+    assert len(got) == con.sql("select count(*) from orders").fetchall()[0][0]
+    assert rows(got) == rows(con.sql(whole).df())
