@@ -147,8 +147,7 @@ def j17(v: Views) -> DataFrame:
 @query("j18_purge_overlapping", "SELECT etf_id, bar FROM fx_bar a WHERE bar < 100 AND NOT EXISTS (SELECT 1 FROM fx_bar b WHERE b.etf_id = '1-URGENT' AND b.bar BETWEEN 40 AND 50 AND a.start_date <= b.end_date AND a.end_date >= b.start_date)")
 def j18(v: Views) -> DataFrame:
     held = v.bar.where("etf_id = '1-URGENT' and bar between 40 and 50").select(F.col("start_date").alias("s1"), F.col("end_date").alias("e1"))
-    rows = v.bar.where("bar < 100")
-    return rows.join(F.broadcast(held), (F.col("start_date") <= F.col("e1")) & (F.col("end_date") >= F.col("s1")), "left_anti").select("etf_id", "bar")
+    return v.bar.join(F.broadcast(held), (F.col("start_date") <= F.col("e1")) & (F.col("end_date") >= F.col("s1")), "left_anti").select("etf_id", "bar")
 
 
 @query("j19_lifecycle_sessions", "SELECT c.date, m.ticker, p.close FROM fx_calendar c JOIN fx_master m ON m.list_date <= c.date AND (m.delist_date IS NULL OR c.date < m.delist_date) LEFT JOIN fx_price p ON p.date = c.date AND p.ticker = m.ticker")
@@ -300,9 +299,9 @@ def u04(v: Views) -> DataFrame:
 
 @query("u05_prepend_earlier", "SELECT etf_id, bar, 'old' AS origin FROM fx_bar WHERE bar < 30 UNION ALL SELECT etf_id, bar, 'new' FROM fx_bar WHERE bar >= 30 AND bar < 60")
 def u05(v: Views) -> DataFrame:
-    new = v.bar.where("bar >= 30 and bar < 60").select("etf_id", "bar", F.lit("new").alias("origin"))
+    new = v.bar.where("bar >= 30").select("etf_id", "bar", F.lit("new").alias("origin"))
     least = new.groupBy("etf_id").agg(F.min("bar").alias("least"))
-    old = v.bar.where("bar < 45").join(least, "etf_id").where("bar < least").select("etf_id", "bar", F.lit("old").alias("origin"))
+    old = v.bar.where("bar < 45").join(least, "etf_id", "left").where("least is null or bar < least").select("etf_id", "bar", F.lit("old").alias("origin"))
     return old.unionByName(new)
 
 

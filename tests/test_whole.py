@@ -5,6 +5,7 @@ import pytest
 from test_queries import SF, TABLES, rows
 
 from chronofold.plans.registry import ORACLE_SQL, QUERIES
+from chronofold.plans.views import Views
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +33,16 @@ def test_normalizes_every_order(name, spark, con):
     got = QUERIES[name](spark, SF).toPandas()
     assert len(got) == con.sql("select count(*) from orders").fetchall()[0][0]
     assert rows(got) == rows(con.sql(whole).df())
+
+
+@pytest.mark.parametrize("name", ["u05_prepend_earlier", "j18_purge_overlapping"])
+def test_bars_without_an_upper_end(name, spark, con):
+    whole = ORACLE_SQL[name].replace(" AND bar < 60", "").replace("bar < 100 AND ", "")
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(whole).df())
+
+
+def test_prepend_keeps_series_without_new_bars(spark):
+    small = SF.replace("sf0.01", "sf0.001")
+    bars = Views(spark, small).bar
+    assert bars.groupBy("etf_id").max("bar").where("`max(bar)` < 30").count() > 0
+    assert rows(QUERIES["u05_prepend_earlier"](spark, small).select("etf_id", "bar").toPandas()) == rows(bars.select("etf_id", "bar").toPandas())
