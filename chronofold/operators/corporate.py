@@ -12,11 +12,11 @@ STOCK_BASE = 10.0
 
 
 def dividend_events(wide: DataFrame) -> DataFrame:
-    """One row per ex date from rows with q1_date..q4_date, q1_cash..q4_cash, stock_date, stock_value; the last row of a key wins."""
-    cash = [F.struct(F.col(f"q{k}_date").alias("ex_date"), F.lit("cash").alias("kind"), F.col(f"q{k}_cash").alias("cash"), F.lit(0.0).alias("ratio")) for k in range(1, 5)]
-    stock = F.struct(F.col("stock_date").alias("ex_date"), F.lit("stock").alias("kind"), F.lit(0.0).alias("cash"), (F.col("stock_value") / STOCK_BASE).alias("ratio"))
+    """One row per ex date from rows with q1_date..q4_date, q1_cash..q4_cash, stock_date, stock_value; the last row of a key wins, in a row its last quarter."""
+    cash = [F.struct(F.lit(k).alias("quarter"), F.col(f"q{k}_date").alias("ex_date"), F.lit("cash").alias("kind"), F.col(f"q{k}_cash").alias("cash"), F.lit(0.0).alias("ratio")) for k in range(1, 5)]
+    stock = F.struct(F.lit(0).alias("quarter"), F.col("stock_date").alias("ex_date"), F.lit("stock").alias("kind"), F.lit(0.0).alias("cash"), (F.col("stock_value") / STOCK_BASE).alias("ratio"))
     rows = wide.select("ticker", "row_no", F.explode(F.array(*cash, stock)).alias("e")).select("ticker", "row_no", "e.*").where("ex_date is not null and (cash > 0 or ratio > 0)")
-    return latest_per_key(rows, ["ticker", "ex_date", "kind"], [F.desc("row_no")]).drop("row_no")
+    return latest_per_key(rows, ["ticker", "ex_date", "kind"], [F.desc("row_no"), F.desc("quarter")]).drop("row_no", "quarter")
 
 
 def capital_actions(wide: DataFrame) -> DataFrame:

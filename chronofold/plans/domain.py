@@ -94,10 +94,10 @@ DIVIDEND_SQL = f"""SELECT ticker, ex_date, kind, cash, ratio FROM (SELECT *, row
   UNION ALL SELECT ticker, row_no, stock_date, 'stock', 0, CAST(stock_value AS DOUBLE) / 10 FROM ({WIDE_SQL})) WHERE ex_date IS NOT NULL AND (cash > 0 OR ratio > 0)) WHERE n = 1"""
 
 
-# q1 and q2 can name the same date in one row; rows that tie are told apart by the cash, so the query keeps tickers where they don't.
+# q1 and q2 can name the same date in one row; the last quarter wins. The SQL has only the stock dividends.
 @query("q01_dividend_events", f"SELECT ticker, ex_date, kind, max(cash) AS cash, max(ratio) AS ratio FROM ({DIVIDEND_SQL}) WHERE kind = 'stock' GROUP BY 1, 2, 3")
 def q01(v: Views) -> DataFrame:
-    return corporate.dividend_events(wide(v)).where("kind = 'stock'").select("ticker", "ex_date", "kind", "cash", "ratio")
+    return corporate.dividend_events(wide(v)).select("ticker", "ex_date", "kind", "cash", "ratio")
 
 
 CAPITAL_SQL = """SELECT CAST(1101 + p_partkey % 40 AS VARCHAR) AS ticker, DATE '1996-06-03' + CAST(p_partkey AS INTEGER) AS date, CASE WHEN p_partkey % 9 = 0 THEN 10.0 * (1 + p_size % 5) END AS reduce_pct, CASE WHEN p_partkey % 11 = 0 THEN 2.0 END AS split_new,
@@ -121,8 +121,14 @@ def q02(v: Views) -> DataFrame:
 
 @query("q03_unified_actions", f"SELECT ticker, ex_date AS date, kind, cash, round(1 + ratio, 9) AS factor FROM ({DIVIDEND_SQL}) WHERE kind = 'stock' UNION ALL SELECT ticker, date, kind, 0, round(factor, 9) FROM ({CAPITAL_EVENTS})")
 def q03(v: Views) -> DataFrame:
-    stock = corporate.dividend_events(wide(v)).where("kind = 'stock'")
-    return corporate.corporate_actions(stock, corporate.capital_actions(capital_rows(v))).withColumn("factor", F.round("factor", 9))
+    return corporate.corporate_actions(corporate.dividend_events(wide(v)), corporate.capital_actions(capital_rows(v))).withColumn("factor", F.round("factor", 9))
+
+
+def price_actions(v: Views) -> DataFrame:
+    """Every dividend and capital action, with the cash of sales."""
+    actions = corporate.corporate_actions(corporate.dividend_events(wide(v)), corporate.capital_actions(capital_rows(v))).select("ticker", "date", "cash", "factor")
+    cash = v.sales.where("revision = 2").select("ticker", F.col("period").alias("date"), F.lit(50.0).alias("cash"), F.lit(1.0).alias("factor"))
+    return actions.unionByName(cash)
 
 
 @query("q04_adjusted_prices", f"""WITH a AS (SELECT ticker, ex_date AS date, 0.0 AS cash, 1 + ratio AS factor FROM ({DIVIDEND_SQL}) WHERE kind = 'stock' UNION ALL SELECT ticker, date, 0, factor FROM ({CAPITAL_EVENTS}) UNION ALL SELECT ticker, period, 50.0, 1 FROM fx_sales WHERE revision = 2),
@@ -130,10 +136,7 @@ def q03(v: Views) -> DataFrame:
   r AS (SELECT p.date, p.ticker, p.close, coalesce(m.lf, 0) AS lf, m.cash, lag(p.close) OVER (PARTITION BY p.ticker ORDER BY p.date) AS prev FROM fx_price p LEFT JOIN m ON m.ticker = p.ticker AND m.date = p.date)
   SELECT date, ticker, round(exp(sum(lf + CASE WHEN cash > 0 AND prev > cash THEN ln(prev / (prev - cash)) ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date)), 6) AS factor FROM r""")
 def q04(v: Views) -> DataFrame:
-    stock = corporate.dividend_events(wide(v)).where("kind = 'stock'")
-    actions = corporate.corporate_actions(stock, corporate.capital_actions(capital_rows(v))).select("ticker", "date", "cash", "factor")
-    cash = v.sales.where("revision = 2").select("ticker", F.col("period").alias("date"), F.lit(50.0).alias("cash"), F.lit(1.0).alias("factor"))
-    return corporate.adjustment_factors(v.price, actions.unionByName(cash)).select("date", "ticker", F.round("factor", 6).alias("factor"))
+    return corporate.adjustment_factors(v.price, price_actions(v)).select("date", "ticker", F.round("factor", 6).alias("factor"))
 
 
 @query("q06_price_validator", "SELECT count(*) AS rows, count(*) FILTER (WHERE adj_close IS NULL) AS missing, count(*) FILTER (WHERE adj_close > close) AS above, count(*) FILTER (WHERE close <= 0) AS bad FROM fx_price")

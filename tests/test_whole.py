@@ -1,9 +1,12 @@
 """Queries over every row of their tables, against DuckDB over the same rows without the caps of the registered SQL."""
 
+import datetime
+
 import duckdb
 import pytest
 from test_queries import SF, TABLES, rows
 
+from chronofold.operators import corporate
 from chronofold.plans.registry import ORACLE_SQL, QUERIES
 from chronofold.plans.views import Views
 
@@ -18,7 +21,9 @@ def con():
 
 
 def whole_actions(sql):
-    """The SQL over all of part, capital actions on folded days."""
+    """The SQL over all of part and both kinds of dividend, capital actions on folded days; the last quarter of a row wins."""
+    sql = sql.replace(" WHERE kind = 'stock'", "").replace("SELECT ticker, row_no, q1_date AS ex_date", "SELECT ticker, row_no, 1 AS quarter, q1_date AS ex_date").replace("SELECT ticker, row_no, q2_date", "SELECT ticker, row_no, 2, q2_date").replace("ex_date AS date, 0.0 AS cash", "ex_date AS date, cash")
+    sql = sql.replace("SELECT ticker, row_no, stock_date", "SELECT ticker, row_no, 0, stock_date").replace("ORDER BY row_no DESC)", "ORDER BY row_no DESC, quarter DESC)")
     return sql.replace(" WHERE p_partkey < 400", "").replace("DATE '1996-06-03' + CAST(p_partkey AS INTEGER)", "DATE '1996-06-03' + CAST(p_partkey % 2000 AS INTEGER)")
 
 
@@ -46,3 +51,10 @@ def test_prepend_keeps_series_without_new_bars(spark):
     bars = Views(spark, small).bar
     assert bars.groupBy("etf_id").max("bar").where("`max(bar)` < 30").count() > 0
     assert rows(QUERIES["u05_prepend_earlier"](spark, small).select("etf_id", "bar").toPandas()) == rows(bars.select("etf_id", "bar").toPandas())
+
+
+def test_last_quarter_of_a_row_wins(spark):
+    names = "ticker string, row_no long, " + ", ".join(f"q{k}_date date, q{k}_cash double" for k in range(1, 5)) + ", stock_date date, stock_value double"
+    d = datetime.date(2020, 1, 2)
+    wide = spark.createDataFrame([("1", 7, d, 1.0, d, 2.0, d, 3.0, None, None, d, 1.0), ("1", 6, d, 9.0, None, None, None, None, d, 9.0, None, None)], names)
+    assert {(r.kind, r.cash, r.ratio) for r in corporate.dividend_events(wide).collect()} == {("cash", 3.0, 0.0), ("stock", 0.0, 0.1)}
