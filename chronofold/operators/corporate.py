@@ -59,7 +59,7 @@ def restart_dates(changed_rows: DataFrame, changed_actions: DataFrame) -> DataFr
 def resume_factors(prices: DataFrame, actions: DataFrame, seeds: DataFrame) -> DataFrame:
     """adjustment_factors for new rows of tickers that have a past: seeds (ticker, factor, close of the row before) or null for a new series.
 
-    A ticker without a seed row is an error, so a lost past is never taken for a new series.
+    With a date (of the row before) in seeds, actions after it and before the first new row move to that row, as in a whole run. A ticker without a seed row is an error, so a lost past is never taken for a new series.
     """
     from .relational import ContractError
 
@@ -67,8 +67,11 @@ def resume_factors(prices: DataFrame, actions: DataFrame, seeds: DataFrame) -> D
     if lost:
         raise ContractError(f"no seed for {lost[0].ticker}")
     first = prices.groupBy("ticker").agg(F.min("date").alias("__first"))
-    before = seeds.where("factor is not null").join(first, "ticker").select(F.date_sub("__first", 1).alias("date"), "ticker", "close", F.lit(None).cast("double").alias("volume"))
-    rows = adjustment_factors(prices.select("date", "ticker", "close", F.col("volume").cast("double").alias("volume")).unionByName(before), actions.join(first, "ticker").where("date >= __first").drop("__first"))
+    eve = F.col("date") if "date" in seeds.columns else F.date_sub("__first", 1)
+    past = seeds.where("factor is not null").join(first, "ticker").select(F.coalesce(eve, F.date_sub("__first", 1)).alias("date"), "ticker", "close")
+    before = past.withColumn("volume", F.lit(None).cast("double"))
+    since = first.join(past.select("ticker", F.col("date").alias("__eve")), "ticker", "left").select("ticker", F.coalesce(F.date_add("__eve", 1), "__first").alias("__since"))
+    rows = adjustment_factors(prices.select("date", "ticker", "close", F.col("volume").cast("double").alias("volume")).unionByName(before), actions.join(since, "ticker").where("date >= __since").drop("__since"))
     out = rows.join(first, "ticker").where("date >= __first").join(seeds.select("ticker", F.coalesce("factor", F.lit(1.0)).alias("__seed")), "ticker")
     return out.select("date", "ticker", "close", (F.col("factor") * F.col("__seed")).alias("factor"), (F.col("adj_close") * F.col("__seed")).alias("adj_close"))
 

@@ -442,9 +442,10 @@ def v05(v: Views) -> DataFrame:
 
 @query("q05_resumed_factors", "SELECT date, ticker, round(2.0 * exp(sum(0.0) OVER (PARTITION BY ticker ORDER BY date)), 9) AS factor FROM fx_price WHERE date >= DATE '2000-01-03'")
 def q05(v: Views) -> DataFrame:
-    seeds = v.price.where("date < date'2000-01-03'").groupBy("ticker").agg(F.lit(2.0).alias("factor"), F.max_by("close", "date").alias("close"))
-    none = v.spark.createDataFrame([], "ticker string, date date, cash double, factor double")
-    return corporate.resume_factors(v.price.where("date >= date'2000-01-03'"), none, seeds).select("date", "ticker", F.round("factor", 9).alias("factor"))
+    actions, cut = price_actions(v), "date'2000-01-03'"
+    past = corporate.adjustment_factors(v.price.where(f"date < {cut}"), actions)
+    seeds = past.groupBy("ticker").agg(F.max_by("factor", "date").alias("factor"), F.max_by("close", "date").alias("close"), F.max("date").alias("date"))
+    return corporate.resume_factors(v.price.where(f"date >= {cut}"), actions, seeds).select("date", "ticker", F.round("factor", 9).alias("factor"))
 
 
 @query("m03_identity_conflicts", "SELECT p.date, p.ticker, CASE WHEN m.market IS NULL THEN 'emerging' ELSE 'outside_lifecycle' END AS reason FROM fx_price p JOIN fx_master m ON m.ticker = p.ticker WHERE m.market IS NULL OR p.date < m.list_date OR p.date >= m.delist_date")
