@@ -4,7 +4,8 @@ Archives are sequences of gzip members, one record each; plain ones are read as
 CRC-32 and length), the version line, the header lines, Content-Length, the record's end, the block digest of every record
 and, of a response, the payload digest. Where a check fails it looks for the next place at which a member or
 a version line begins and a whole record passes, goes on from there, and logs the bytes between as a quarantined gap with the
-reason. Only the record at hand is in memory; a record longer than `most` bytes is a failed check.
+reason. Only the record at hand is in memory; a block longer than `most` bytes or a header longer than `top` is a failed check.
+The writer states its longest of both, and by these its own archives are read, so no page of theirs is beyond a limit.
 
 Nulls: a null html is an empty payload, a null page_id sorts below all others and is written as an empty id, a null url
 as about:blank. Rows with equal page_ids are separate records, each judged by its payload. Columns besides page_id, url
@@ -37,6 +38,8 @@ DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
 #: Bytes of uncompressed payload after which a file ends.
 FILE_BYTES = 256 << 20
+#: Limits for archives whose writer has stated none: bytes of a block, bytes of a header.
+MOST, TOP = 256 << 20, 1 << 16
 
 
 def sha1_base32(data: bytes) -> str:
@@ -52,8 +55,8 @@ def page_of(uri: str) -> int | None:
     return int(own) if own else None
 
 
-def write_record(page_id: int | None, url: str | None, payload: bytes, revisit_of: tuple[int | None] | None, compress: bool = True) -> bytes:
-    """A response, or with revisit_of = (page_id of the response,) a revisit without the payload."""
+def record_parts(page_id: int | None, url: str | None, payload: bytes, revisit_of: tuple[int | None] | None) -> tuple[bytes, bytes]:
+    """Header, with the empty line that ends it, and block of a record."""
     digest = sha1_base32(payload)
     block = HTTP_HEAD % len(payload) + (b"" if revisit_of else payload)
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "about:blank"
@@ -71,13 +74,21 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, revisit_o
     ]
     if revisit_of:
         head += [f"WARC-Refers-To: {record_uri(revisit_of[0], digest)}", f"WARC-Profile: {REVISIT_PROFILE}"]
-    data = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    if not compress:
-        return data
+    return "\r\n".join(head).encode() + b"\r\n\r\n", block
+
+
+def member(data: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
 
+def write_record(page_id: int | None, url: str | None, payload: bytes, revisit_of: tuple[int | None] | None, compress: bool = True) -> bytes:
+    """A response, or with revisit_of = (page_id of the response,) a revisit without the payload."""
+    head, block = record_parts(page_id, url, payload, revisit_of)
+    data = head + block + b"\r\n\r\n"
+    return member(data) if compress else data
+
+
 class BadRecord(ValueError):
     pass
 
@@ -137,13 +148,13 @@ class _Window:
             self.drop(at - self.base)
 
 
-def _plain_record(data: bytearray | bytes, whole: bool, most: int) -> tuple[int, dict[str, str], bytes] | None:
+def _plain_record(data: bytearray | bytes, whole: bool, most: int, top: int) -> tuple[int, dict[str, str], bytes] | None:
     """(bytes used, headers, block) of a record at the start of data; None: more data are needed."""
     if len(data) >= 7 and not data.startswith(VERSION):
         raise BadRecord("no version line")
-    head = data.find(b"\r\n\r\n", 0, 1 << 16)
+    head = data.find(b"\r\n\r\n", 0, top)
     if head < 0:
-        if whole or len(data) >= 1 << 16:
+        if whole or len(data) >= top:
             raise BadRecord("the header does not end")
         return None
     lines = bytes(data[:head]).split(b"\r\n")
@@ -183,7 +194,7 @@ def _verify(headers: dict[str, str], block: bytes, record: Record) -> Record:
     return record
 
 
-def _one(w: _Window, most: int) -> Record | None:
+def _one(w: _Window, most: int, top: int) -> Record | None:
     """The record at the window's start, checked; the window moves past it. None at the end. Raises BadRecord, the window unmoved."""
     w.reach(len(VERSION))
     if not w.data:
@@ -196,21 +207,21 @@ def _one(w: _Window, most: int) -> Record | None:
                 if used == len(w.data) and not w.more():
                     raise BadRecord("the member ends early")
                 piece = bytes(w.data[used : used + CHUNK])
-                out += z.decompress(piece, most + (1 << 17) - len(out))
+                out += z.decompress(piece, most + 2 * top - len(out))
                 used += len(piece) - len(z.unconsumed_tail)
-                if not z.eof and len(out) >= most + (1 << 17):
+                if not z.eof and len(out) >= most + 2 * top:
                     raise BadRecord("a record beyond the size limit")
         except zlib.error as e:
             raise BadRecord(f"a damaged member: {str(e).rpartition(':')[2].strip()}") from None
         used -= len(z.unused_data)
-        end, headers, block = _plain_record(out, True, most)
+        end, headers, block = _plain_record(out, True, most, top)
         if end != len(out):
             raise BadRecord("more than a record in a member")
         record = _verify(headers, block, Record(begin, begin + used, headers, block))
         w.drop(used)
         return record
     while True:
-        found = _plain_record(w.data, w.done, most)
+        found = _plain_record(w.data, w.done, most, top)
         if found:
             end, headers, block = found
             record = _verify(headers, block, Record(begin, begin + end, headers, block))
@@ -234,12 +245,12 @@ def _next(w: _Window, after: int) -> int | None:
             return None
 
 
-def salvage(stream: BinaryIO, most: int = 256 << 20) -> Iterator[Record | Gap]:
+def salvage(stream: BinaryIO, most: int = MOST, top: int = TOP) -> Iterator[Record | Gap]:
     """Records and quarantined gaps of an archive, in order; together they cover every byte."""
     w = _Window(stream)
     while True:
         try:
-            record = _one(w, most)
+            record = _one(w, most, top)
             if record is None:
                 return
             yield record
@@ -253,7 +264,7 @@ def salvage(stream: BinaryIO, most: int = 256 << 20) -> Iterator[Record | Gap]:
                 yield Gap(bad, w.base + len(w.data), reason)
                 return
             try:
-                record = _one(w, most)
+                record = _one(w, most, top)
             except BadRecord:
                 w.seek(at)
                 continue
@@ -278,23 +289,25 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write_archives(planned: DataFrame, folder: str) -> DataFrame:
-    """Archives of the planned records; a row per file with path, records, bytes. Files of lost tasks are in no row."""
+    """Archives of the planned records; a row per file with path, records, bytes, and the bytes of its longest block and header. Files of lost tasks are in no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = stream = None
-        count = size = raw = 0
+        count = size = raw = most = top = 0
 
         def closed() -> pa.RecordBatch:
             stream.close()
-            return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64()), "most": pa.array([most], pa.int64()), "top": pa.array([top], pa.int64())})
 
         for batch in by_bytes(batches, "html"):
             for page_id, url, html, refers, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers", "is_revisit"))):
                 if stream is None:
                     path, stream = open_out(folder, f"{uuid.uuid4().hex}.warc.gz")
-                    count = size = raw = 0
-                data = write_record(page_id, url, (html or "").encode(), (refers,) if revisit else None)
+                    count = size = raw = most = top = 0
+                head, block = record_parts(page_id, url, (html or "").encode(), (refers,) if revisit else None)
+                data = member(head + block + b"\r\n\r\n")
                 stream.write(data)
+                most, top = max(most, len(block)), max(top, len(head))
                 count, size, raw = count + 1, size + len(data), raw + len(html or "")
                 if raw >= FILE_BYTES:
                     yield closed()
@@ -302,14 +315,17 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
         if stream is not None:
             yield closed()
 
-    return planned.select("page_id", "url", "html", "refers", "is_revisit").mapInArrow(run, "path string, records long, bytes long")
+    return planned.select("page_id", "url", "html", "refers", "is_revisit").mapInArrow(run, "path string, records long, bytes long, most long, top long")
 
 
 SCHEMA = "path string, begin long, end long, gap_reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 
 
-def read_archives(files: DataFrame, payloads: bool = False, most: int = 256 << 20) -> DataFrame:
-    """A row per record and per quarantined gap of the files in column path; gap_reason is null for records."""
+def read_archives(files: DataFrame, payloads: bool = False, most: int = MOST) -> DataFrame:
+    """A row per record and per quarantined gap of the files in column path; gap_reason is null for records.
+
+    Columns most and top of files, where there, raise the limits of a file to what its writer wrote.
+    """
     tasks = max(2, files.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,10 +337,10 @@ def read_archives(files: DataFrame, payloads: bool = False, most: int = 256 << 2
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, own, head in zip(*(batch.column(c).to_pylist() for c in ("path", "most", "top"))):
                 rows, size = [], 0
                 with open_in(path) as f:
-                    for x in salvage(f, most):
+                    for x in salvage(f, max(most, own or 0), max(TOP, head or 0)):
                         rows.append((path, x.begin, x.end, *(described(x, payloads) if isinstance(x, Record) else (x.reason, *[None] * 7))))
                         size += len(rows[-1][-1] or "") + 200
                         if size > 4 << 20:
@@ -333,7 +349,8 @@ def read_archives(files: DataFrame, payloads: bool = False, most: int = 256 << 2
                 if rows:
                     yield pack(rows)
 
-    return files.select("path").repartition(tasks, "path").mapInArrow(run, SCHEMA)
+    stated = [F.col(c) if c in files.columns else F.lit(None).cast("long").alias(c) for c in ("most", "top")]
+    return files.select("path", *stated).repartition(tasks, "path").mapInArrow(run, SCHEMA)
 
 
 def described(r: Record, payloads: bool) -> tuple[Any, ...]:

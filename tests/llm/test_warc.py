@@ -86,3 +86,11 @@ def test_rows_of_all_kinds(spark):
         want.append((p, len(raw), W.sha1_base32(raw), "response" if first else "revisit", None if first else top[h or ""], (h or "") if first else None))
     assert got == sorted(want, key=str)
     assert W.read_archives(W.write_archives(W.plan_records(df.limit(0)), shared_dir(spark, "t"))).count() == 0
+
+
+def test_own_archives_are_read_whole(spark):
+    df = spark.createDataFrame([(1, "http://x/" + "a" * 70_000, "one"), (2, "\x01" * 30_000, "two"), (3, "http://x/3", "three" * 1000)], "page_id long, url string, html string")
+    files = W.write_archives(W.plan_records(df), shared_dir(spark, "t")).persist()
+    for found in (W.read_archives(files), W.read_archives(files, most=10)):
+        assert sorted((r.page_id, r.payload_bytes) for r in found.where("gap_reason is null").collect()) == [(1, 3), (2, 3), (3, 5000)]
+    assert W.read_archives(files.select("path")).where("gap_reason is not null").count() > 0
