@@ -255,9 +255,10 @@ def o04(v: Views) -> DataFrame:
 
 @query("o05_first_legal_open", "SELECT b.etf_id, b.bar, min(s.date) AS entry_date FROM fx_bar b JOIN fx_state s ON s.date > b.end_date AND s.date <= b.end_date + 60 WHERE s.ticker = '1113' AND s.tradable GROUP BY 1, 2")
 def o05(v: Views) -> DataFrame:
-    legal = v.state.where("ticker = '1113' and tradable").select(F.col("date").alias("entry_date"))
-    found = R.asof_join(v.bar, legal, "end_date", "entry_date", ["entry_date"], forward=True, allow_exact=False)
-    return found.where(F.col("entry_date") <= F.date_add("end_date", 60)).select("etf_id", "bar", "entry_date")
+    legal = v.state.where("tradable").select("ticker", F.col("date").alias("entry_date"))
+    wanted = v.bar.select("etf_id", "bar", "end_date").join(F.broadcast(v.master.select("ticker")))
+    found = R.asof_join(wanted, legal, "end_date", "entry_date", ["entry_date"], by=["ticker"], forward=True, allow_exact=False)
+    return found.where(F.col("entry_date") <= F.date_add("end_date", 60)).select("etf_id", "bar", "ticker", "entry_date")
 
 
 @query("o06_first_touch", "SELECT a.etf_id, a.bar, min(c.date) AS touch, arg_min(c.nav, c.date) AS nav FROM fx_bar a JOIN fx_curve c ON c.etf_id = a.etf_id AND c.date > a.end_date AND c.date <= a.end_date + 60 WHERE abs(ln(c.nav / a.close)) >= 0.1 GROUP BY 1, 2")

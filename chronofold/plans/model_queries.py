@@ -122,8 +122,10 @@ def t13h(v: Views) -> DataFrame:
 
 @query("t14_sharpe_evidence", f"SELECT count(ret) AS n, round(avg(ret) / stddev_samp(ret), 9) AS sharpe, round(skewness(ret), 6) AS skew, round(kurtosis(ret) + 3, 5) AS kurtosis FROM ({RETURN_SQL}) WHERE etf_id = '1-URGENT'")
 def t14(v: Views) -> DataFrame:
-    e = models.sharpe_evidence(daily_returns(v).where("etf_id = '1-URGENT'"), "ret", 10, 0.5)
-    return v.spark.createDataFrame([(e.n, round(e.sharpe, 9), round(e.skew, 6), round(e.kurtosis, 5))], "n long, sharpe double, skew double, kurtosis double")
+    returns = daily_returns(v)
+    ids = [r.etf_id for r in v.orders.select("etf_id").distinct().orderBy("etf_id").collect()]
+    found = [(k, models.sharpe_evidence(returns.where(F.col("etf_id") == k), "ret", 10, 0.5)) for k in ids]
+    return v.spark.createDataFrame([(k, e.n, round(e.sharpe, 9), round(e.skew, 6), round(e.kurtosis, 5)) for k, e in found], "etf_id string, n long, sharpe double, skew double, kurtosis double")
 
 
 @query("t16_feature_coverage", f"WITH f AS (SELECT *, ntile(3) OVER (ORDER BY etf_id, bar) AS fold FROM ({LABEL_SQL}) WHERE t1 IS NOT NULL) SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, count(label) AS label, count(*) FILTER (WHERE reason = 'upper') AS upper FROM f GROUP BY 1")

@@ -75,3 +75,19 @@ def test_resume_moves_actions_between_the_rows(spark):
     seeds = spark.createDataFrame([("1", 2.0, 10.0, day(2020, 1, 2))], "ticker string, factor double, close double, date date")
     got = corporate.resume_factors(prices.where("date > date'2020-01-02'"), actions, seeds)
     assert [round(r.factor, 9) for r in got.orderBy("date").collect()] == [round(r.factor, 9) for r in whole.orderBy("date").collect()]
+
+
+def test_first_legal_open_of_every_ticker(spark, con):
+    whole = ORACLE_SQL["o05_first_legal_open"].replace("SELECT b.etf_id, b.bar, min(s.date)", "SELECT b.etf_id, b.bar, s.ticker, min(s.date)").replace("s.ticker = '1113' AND ", "").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
+    # the views in front have a GROUP BY 1, 2 as well
+    whole = whole.replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2", whole.count("GROUP BY 1, 2, 3") - 1)
+    got = QUERIES["o05_first_legal_open"](spark, SF).toPandas()
+    assert got.ticker.nunique() == 40
+    assert rows(got) == rows(con.sql(whole).df())
+
+
+def test_evidence_of_every_strategy(spark, con):
+    whole = ORACLE_SQL["t14_sharpe_evidence"].replace("SELECT count(ret) AS n", "SELECT etf_id, count(ret) AS n").replace(" WHERE etf_id = '1-URGENT'", " GROUP BY etf_id")
+    got = QUERIES["t14_sharpe_evidence"](spark, SF).toPandas()
+    assert len(got) == 5
+    assert rows(got) == rows(con.sql(whole).df())
