@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Short rows that a task writes where a table's size is known.
+ROWS_A_TASK = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,25 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing (local tests) a temporary folder becomes the checkpoint directory.
+    Where that setting is missing and everything runs in one process (local tests), a temporary folder becomes the checkpoint directory.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = context._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
         if base is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="chronofold-")
-            spark.sparkContext.setCheckpointDir(base)
+            context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows: a bound of its rows, where it is known and the rows are short; then a task writes ROWS_A_TASK of them, so that small tables don't become many files.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    schema = df.schema
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
     df.write.parquet(path)
     give_back()
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(schema).parquet(path)
+    made.__dict__["_scratch"] = path
+    return made
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what materialize() wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        path = df.__dict__.pop("_scratch", None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def open_out(folder: str, name: str):

@@ -5,16 +5,19 @@ as 64-bit hashes. Two documents link when 100 * |A and B| >= 75 * |A or B|.
 
 1. A count of all shingles by hash slot (2**20 slots, so one megabyte whatever the corpus) puts the hashes into a global order, frequent
    slots last. Any order is right; this one keeps passages that many documents share out of the prefixes.
-2. Linked sets share one of their first |A| - ceil(0.75 |A|) + 1 shingles in that order. These postings go, packed, to buckets of shingles;
-   each list is cut where the next larger set is too large for any pair across, and what holds two or more documents is put into the tile of its smallest one. A shingle whose slot is very frequent is split into pairs of shares of
-   the documents, so its list does not grow with the corpus.
+2. Linked sets share one of their first |A| - ceil(0.75 |A|) + 1 shingles in that order. These postings go, packed, to buckets of shingles, as
+   many as the count asks for; each list is cut where the next larger set is too large for any pair across, and what holds two or more documents
+   is put into the tile of its smallest one. A shingle whose slot is very frequent is split into pairs of shares of the documents, as many as
+   its count asks for, so that its lists do not grow with the corpus.
 3. In each tile that smallest document is compared with the others; pairs that the check below confirms are joined into components.
 4. Tiles that still hold several components are put together by their smallest component and cut into bands of set size, each compared with
-   itself and the next: pairs of different components go on if their sizes and wider bitmaps allow a link. |A xor B| is at least the number of bits
-   that differ, which bounds |A and B| from above. What is left is checked and joined too: first the most alike pair of each two components of a tile,
-   then, of what is still apart, all pairs. As every linked pair of different components is compared in the end, none is lost. Large tiles are dealt to several tasks by shares of their documents.
+   itself and the next: pairs of different components go on if their sizes and bitmaps allow a link. |A xor B| is at least the number of bits
+   that differ, which bounds |A and B| from above. What is left is checked and joined too: first the most alike pair of each two components of a
+   tile; then, of components that had such a pair and are still apart, all pairs. As every pair that may link is compared in the end or is in one
+   component before, no link is lost. Large tiles are dealt to several tasks by shares of their documents.
 The check of a pair: size and bitmap bound first, then the intersection of the sorted arrays. The table is read once for the count, once for
-the postings and three times for the sorted arrays of the texts that pairs ask for; it has to give the same rows each time.
+the postings and up to three times for the sorted arrays of the texts that pairs ask for; it has to give the same rows each time.
+Intermediate tables go as soon as the next one is written.
 
 Equal sets link without a comparison. Copies need not be expanded: pairs that are in one component already are not compared.
 
@@ -32,16 +35,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, give_back, materialize, table
-from .components import components
+from ._common import ROWS_A_TASK, by_bytes, discard, give_back, materialize, table
+from .components import components, moves
 from .tokens import whole
 
 WORDS = 5
-SLOT_BITS, FILTER_BITS, CHUNKS = 20, 22, 16
-#: Postings of a task that are packed at a time; from this level on a shingle's list is split.
-HELD, HOT_LEVEL = 1_000_000, 8
-#: Rows of one component, and of others, that a task of the last comparison holds.
-MAIN_ROWS, OTHER_ROWS = 8192, 2048
+SLOT_BITS, CHUNKS = 20, 16
+#: Least and most bits of a filter, as powers of two; 2 MB at most. Tasks that fill one.
+FILTER_BITS, FILTER_TASKS = (16, 24), 16
+#: Postings of a task that are packed at a time, and of a bucket; from this level on a shingle's list is split, into lists of about LIST documents.
+HELD, BUCKET, HOT_LEVEL, LIST = 500_000, 500_000, 8, 200_000
+#: Signatures that a task remembers, so that it sends a set met again only once.
+SEEN = 100_000
+#: Rows of one component, and of others, that a task of the last comparison holds, and the bytes of their bitmaps.
+MAIN_ROWS, OTHER_ROWS, SHARE_BYTES = 8192, 4096, 16 << 20
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -90,56 +97,68 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends])
 
 
-def slot_counts(df: DataFrame, slots_of, bits: int, filled: bool = False) -> np.ndarray:
-    """How often each of 2**bits slots occurs; slots_of: slots of a record batch. Tasks send their counts in chunks, which are added up as they come.
-
-    With filled, the driver gets a bit for each slot instead, packed eight to a byte.
-    """
+def slot_counts(df: DataFrame, slots_of, bits: int) -> np.ndarray:
+    """How often each of 2**bits slots occurs; slots_of: slots of a record batch. Tasks send their counts in chunks, which are added up as they come."""
     size = (1 << bits) // CHUNKS
 
+    def narrow(p: np.ndarray) -> np.ndarray:
+        return p.astype(np.uint8 if p.max() < 1 << 8 else np.uint16 if p.max() < 1 << 16 else np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << bits, np.int64)
         for batch in batches:
             held += np.bincount(slots_of(batch), minlength=1 << bits)
         parts = [(c, held[c * size : (c + 1) * size]) for c in range(CHUNKS)]
-        parts = [(c, p) for c, p in parts if p.any()]
-        narrow = [(c, p.astype(np.uint16) if p.max() < 1 << 16 else p) for c, p in parts]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in narrow], pa.int32()), pa.array([p.dtype.itemsize for _, p in narrow], pa.int32()), pa.array([p.tobytes() for _, p in narrow], pa.binary())], ["chunk", "width", "counts"])
+        sent = [(c, narrow(p)) for c, p in parts if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sent], pa.int32()), pa.array([p.dtype.itemsize for _, p in sent], pa.int32()), pa.array([p.tobytes() for _, p in sent], pa.binary())], ["chunk", "width", "counts"])
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, width, data in zip(*(x.to_pylist() for x in batch.columns)):
-                part = np.frombuffer(data, np.uint16 if width == 2 else np.int64)
+                part = np.frombuffer(data, {1: np.uint8, 2: np.uint16, 8: np.int64}[width])
                 sums[c] = sums[c] + part if c in sums else part.astype(np.int64)
-        data = [np.packbits(v > 0).tobytes() if filled else v.tobytes() for v in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
 
     rows = df.mapInArrow(count, "chunk int, width int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").toArrow()
-    kind, size = (np.uint8, size // 8) if filled else (np.int64, size)
-    out = np.zeros(size * CHUNKS, kind)
+    out = np.zeros(1 << bits, np.int64)
     for chunk, data in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist()):
-        out[chunk * size : (chunk + 1) * size] = np.frombuffer(data, kind)
+        out[chunk * size : (chunk + 1) * size] = np.frombuffer(data, np.int64)
     return out
 
 
-def filter_slot(ids: pa.Array) -> np.ndarray:
-    return (mix(ids.to_numpy().astype(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def filter_slot(ids: pa.Array, bits: int) -> np.ndarray:
+    return (mix(ids.to_numpy().astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def slots_filled(ids: DataFrame) -> np.ndarray:
-    """Which of 2**FILTER_BITS slots the numbers of all columns fall into, as packed bits."""
-    return slot_counts(ids, lambda batch: np.concatenate([filter_slot(c) for c in batch.columns]), FILTER_BITS, filled=True)
+def slots_filled(ids: DataFrame, rows: int) -> np.ndarray:
+    """Which slots the numbers of all columns fall into, as packed bits: about eight slots a number, as far as FILTER_BITS go. ids: a written table of `rows` rows."""
+    low, high = FILTER_BITS
+    bits = min(high, max(low, (8 * rows * len(ids.columns)).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.zeros(1 << bits - 3, np.uint8)
+        for batch in batches:
+            for column in batch.columns:
+                at = filter_slot(column, bits)
+                np.bitwise_or.at(packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for data in ids.coalesce(FILTER_TASKS).mapInArrow(mark, "bits binary").toArrow()["bits"].to_pylist():
+        out |= np.frombuffer(data, np.uint8)
+    return out
 
 
 def in_filter(packed: np.ndarray, ids: pa.Array) -> pa.Array:
-    at = filter_slot(ids)
+    at = filter_slot(ids, 3 + (len(packed) - 1).bit_length())
     return pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
 
-def asked_for(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """rows without most of those whose `column` is not among ids: a filter of fixed size, so that they need not be shuffled for a join."""
-    wanted = slots_filled(ids)
+def asked_for(rows: DataFrame, column: str, ids: DataFrame, count: int) -> DataFrame:
+    """rows without most of those whose `column` is not among ids, `count` of them: a filter of bounded size, so that they need not be shuffled for a join."""
+    wanted = slots_filled(ids, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,9 +174,15 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 1, 0, 15).astype(np.uint8)
 
 
-def bitmap(tokens: np.ndarray, times: int = 2) -> bytes:
-    """A set's bits: 2**k of them, at least `times` as many as elements and at least 64."""
-    width = max(64, 1 << (times * len(tokens) - 1).bit_length())
+def shares_of(counts: np.ndarray, levels: np.ndarray) -> dict[int, int]:
+    """Into how many shares the documents with a shingle of a very frequent slot are cut: a power of two; a list holds two shares."""
+    hot = np.flatnonzero(levels > HOT_LEVEL)
+    return {s: max(1 << int(levels[s]) - HOT_LEVEL, 1 << (2 * int(counts[s]) // LIST).bit_length()) for s in hot.tolist()}
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A set's bits: 2**k of them, at least twice as many as elements and at least 64."""
+    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -195,11 +220,11 @@ def links(na: int, nb: int, common: int) -> bool:
     return 100 * common >= 75 * (na + nb - common)
 
 
-SETS = "kind int, uid long, doc_id long, key long, n int, s1 long, s2 long, bits binary, wide binary, bucket int, postings binary"
+SETS = "kind int, uid long, doc_id long, key long, n int, s1 long, s2 long, bits binary, bucket int, postings binary"
 KEYED = ("cast(doc_id as bigint) as doc_id", "cast(text as string) as text", "xxhash64(cast(text as string)) as key")
 
 
-def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
+def build_sets(docs: DataFrame, levels: np.ndarray, shares_by_slot: dict[int, int], buckets: int) -> DataFrame:
     """Rows of kind 0: a document's text key, set size, signature and bitmap. Rows of kind 1: packed postings."""
     names = [x.split()[0] for x in SETS.split(", ")]
     types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in SETS.split(", ")]
@@ -235,7 +260,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
         for batch in by_bytes(batches, "text", 4 << 20):
             h, cuts = shingles(batch.column("text"))
             ranked = in_order(h, levels)
-            own, sizes, s1, s2, bits, wide = [], [], [], [], [], []
+            own, sizes, s1, s2, bits = [], [], [], [], []
             for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
                 r = np.unique(ranked[a:z])
                 n = len(r)
@@ -245,15 +270,14 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                 s1.append(sig[0])
                 s2.append(sig[1])
                 bits.append(bitmap(r) if n else b"")
-                wide.append(bitmap(r, 4) if n else b"")
                 if n and sig not in seen:
-                    if len(seen) < 200_000:
+                    if len(seen) < SEEN:
                         seen.add(sig)
                     first = r[: n - (75 * n + 99) // 100 + 1]
                     level = (first >> np.uint64(60)).astype(np.int64)
                     keys.append(mix(first[level <= HOT_LEVEL]))
                     for x in first[level > HOT_LEVEL].tolist():
-                        shares = 1 << ((x >> 60) - HOT_LEVEL)
+                        shares = shares_by_slot[x >> 60 - SLOT_BITS & (1 << SLOT_BITS) - 1]
                         i = (uid * 0x9E3779B97F4A7C15 >> 20) % shares
                         pairs = np.array([(x + (min(i, j) * shares + max(i, j) + 1) * 0x9E3779B97F4A7C15) & (1 << 64) - 1 for j in range(shares)], np.uint64)
                         keys.append(mix(pairs))
@@ -263,7 +287,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                     bands.append(np.full(total, min(255, int(16 * np.log2(n))), np.uint8))
                     held += total
                 uid += 1
-            yield rows(kind=[0] * len(own), uid=own, doc_id=batch.column("doc_id"), key=batch.column("key"), n=sizes, s1=s1, s2=s2, bits=bits, wide=wide)
+            yield rows(kind=[0] * len(own), uid=own, doc_id=batch.column("doc_id"), key=batch.column("key"), n=sizes, s1=s1, s2=s2, bits=bits)
             if held > HELD:
                 yield packed()
         if held:
@@ -274,7 +298,8 @@ def build_sets(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
 
 
 def tiles_of(sets: DataFrame, buckets: int) -> DataFrame:
-    """pivot, uid: the lists of two or more documents, put together by their smallest document, the pivot, which is one of them."""
+    """pivot, uid, q (sixteenths of doublings of its size), near (whether its size and the pivot's allow a link): the lists of two or more documents,
+    put together by their smallest document, the pivot, which is one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, uids, bands = [], [], []
@@ -300,29 +325,42 @@ def tiles_of(sets: DataFrame, buckets: int) -> DataFrame:
         begin, sizes = edge[:-1][many], sizes[many]
         owner = np.repeat(np.arange(len(sizes)), sizes)
         at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        u = u[at]
+        u, q = u[at], q[at]
+        del k, at, order
         order = np.lexsort((u, owner))
-        u, owner = u[order], owner[order]
-        keep = np.concatenate([[True], (u[1:] != u[:-1]) | (owner[1:] != owner[:-1])]) if len(u) else np.zeros(0, bool)
-        u, owner = u[keep], owner[keep]
+        u, q, owner = u[order], q[order], owner[order]
+        first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(u) else np.zeros(0, bool)
+        keep = first.copy()
+        keep[1:] |= u[1:] != u[:-1]
+        u, q, owner, first = u[keep], q[keep], owner[keep], first[keep]
         if not len(u):
             return
-        starts = np.searchsorted(owner, np.arange(len(sizes)))
+        starts = np.flatnonzero(first)
         counts = np.diff(np.append(starts, len(u)))
-        pivot = u[starts][owner]
-        several = (counts > 1)[owner]
-        pairs = np.unique(np.stack([pivot[several], u[several]]), axis=1)
-        for a in range(0, pairs.shape[1], 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0, a : a + (1 << 20)]), pa.array(pairs[1, a : a + (1 << 20)])], ["pivot", "uid"])
+        pivot, at_pivot = np.repeat(u[starts], counts), np.repeat(q[starts], counts)
+        several = np.repeat(counts > 1, counts)
+        pivot, u, q, near = pivot[several], u[several], q[several], np.abs(q - at_pivot)[several] < 8
+        order = np.lexsort((u, pivot))
+        pivot, u, q, near = pivot[order], u[order], q[order], near[order]
+        once = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (u[1:] != u[:-1])])) if len(u) else np.zeros(0, np.int64)
+        for a in range(0, len(once), 1 << 18):
+            at = once[a : a + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[at]), pa.array(u[at]), pa.array(q[at].astype(np.int32)), pa.array(near[at])], ["pivot", "uid", "q", "near"])
+        give_back()
+
+    return sets.where("kind = 1").select("uid", "bucket", "postings").repartition(buckets, "bucket").mapInArrow(run, "pivot long, uid long, q int, near boolean")
+
 
-    return sets.where("kind = 1").select("uid", "bucket", "postings").repartition(buckets, "bucket").mapInArrow(run, "pivot long, uid long")
+def with_sides(pairs: DataFrame, plain: DataFrame, *more: str) -> DataFrame:
+    """pairs (a, b and others) with n, key, s1, s2 and more of both sides."""
+    side = lambda c: plain.select(*[F.col(x).alias(c if x == "uid" else f"{x}{c}") for x in ("uid", "n", "key", "s1", "s2", *more)])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def may_link(pairs: DataFrame, plain: DataFrame) -> DataFrame:
-    """The pairs a, b whose sizes and bitmaps allow a link, with both sides' n, key, s1 and s2."""
-    side = lambda c: plain.select(*[F.col(x).alias(c if x == "uid" else f"{x}{c}") for x in ("uid", "n", "key", "s1", "s2", "bits")])
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    names = ["a", "b", *[f"{x}{c}" for c in "ab" for x in ("n", "key", "s1", "s2")]]
+    """The pairs a, b (with la, lb) whose sizes and bitmaps allow a link, with both sides' n, key, s1 and s2."""
+    rows = with_sides(pairs, plain, "bits").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    names = ["a", "b", "la", "lb", *[f"{x}{c}" for c in "ab" for x in ("n", "key", "s1", "s2")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,14 +375,20 @@ def may_link(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} {'int' if n in ('na', 'nb') else 'long'}" for n in names))
 
 
-def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """The pairs a, b that link.
+def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.ndarray, bounded: int | None = None) -> DataFrame:
+    """The pairs a, b (with la, lb) that link.
 
-    The sorted sets (48 bits of each hash) are made again from the texts, only of texts whose key is in a filter of fixed size
+    The sorted sets (48 bits of each hash) are made again from the texts, only of texts whose key is in a filter of bounded size
     that the surviving pairs fill, so that sets nobody asks for are neither kept nor shuffled.
+    bounded: the number of pairs, if sizes and bitmaps allow each of them a link already (then pairs is a written table).
     """
-    near = materialize(may_link(pairs, plain), "jaccard-near")
-    wanted = slots_filled(near.select("keya", "keyb"))
+    if bounded is None:
+        near = materialize(may_link(pairs, plain), "jaccard-near")
+    else:
+        described = asked_for(plain.select("uid", "n", "key", "s1", "s2"), "uid", pairs.select("a", "b"), bounded)
+        near = materialize(with_sides(pairs, described), "jaccard-near", bounded)
+    count, size = near.agg(F.count("*"), F.coalesce(F.sum(F.col("na").cast("long") + F.col("nb")), F.lit(0))).first()
+    wanted = slots_filled(near.select("keya", "keyb"), count)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -358,17 +402,19 @@ def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.nda
                     r = np.unique(ranked[a:z])
                     sig = signature(r)
                     if sig not in seen:
-                        if len(seen) < 200_000:
+                        if len(seen) < SEEN:
                             seen.add(sig)
                         found.append((*sig, pack48(r)))
                 if found:
                     s1, s2, tokens = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(tokens, pa.binary())], ["s1", "s2", "tokens"])
+        give_back()
 
-    sets = materialize(docs.selectExpr(*KEYED[1:]).mapInArrow(asked, "s1 long, s2 long, tokens binary"), "jaccard-sets")
-    once = materialize(sets.dropDuplicates(["s1", "s2"]), "jaccard-sets")
+    # Six bytes an element, four megabytes a task; each set once, in a written table, so that adaptive execution can split a set with many pairs.
+    sets = docs.selectExpr(*KEYED[1:]).mapInArrow(asked, "s1 long, s2 long, tokens binary")
+    once = materialize(sets.dropDuplicates(["s1", "s2"]), "jaccard-sets", ROWS_A_TASK * (6 * size >> 22))
     side = lambda c: once.select(*[F.col(x).alias(f"{x}{c}") for x in ("s1", "s2", "tokens")])
-    rows = near.join(side("a"), ["s1a", "s2a"]).join(side("b"), ["s1b", "s2b"]).select("a", "b", "na", "nb", "tokensa", "tokensb")
+    rows = near.join(side("a"), ["s1a", "s2a"]).join(side("b"), ["s1b", "s2b"]).select("a", "b", "la", "lb", "na", "nb", "tokensa", "tokensb")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,9 +423,12 @@ def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.nda
                 both = np.concatenate([unpack48(ta.as_buffer()), unpack48(tb.as_buffer())])
                 both.sort()
                 keep[k] = links(na, nb, int((both[1:] == both[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(keep))
+        give_back()
 
-    return rows.mapInArrow(exact, "a long, b long")
+    made = materialize(rows.mapInArrow(exact, "a long, b long, la long, lb long"), "jaccard-edges", count)
+    discard(near, once)
+    return made
 
 
 def across(n: np.ndarray, label: np.ndarray, bits: list[bytes], main: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -420,25 +469,39 @@ def across(n: np.ndarray, label: np.ndarray, bits: list[bytes], main: int | None
                     yield r[i], columns[j], common[i, j] / (total[i, j] - common[i, j])
 
 
-def gathered(members: DataFrame) -> DataFrame:
-    """members (pivot, uid, label) of tiles with several components -> task (two ints), main (a label or null), uid, label.
+def gathered(members: DataFrame, rows: int) -> DataFrame:
+    """members (pivot, uid, q, label) of tiles with several components -> tile, uid, q, label.
+
+    Tiles with the same smallest label become one larger tile, which that label names, so that a document is in it once and not in each of them.
+    """
+    ends = materialize(members.groupBy("pivot").agg(F.min("label").alias("tile"), F.max("label").alias("most")).where("tile <> most").select("pivot", "tile"), "jaccard-open", rows)
+    made = materialize(members.join(ends, "pivot").select("tile", "uid", "q", "label").distinct(), "jaccard-gathered", rows)
+    discard(ends)
+    return made
+
+
+def dealt(rows: DataFrame, bound: int) -> DataFrame:
+    """rows (tile, uid, q, label) -> task (tile, x, y), main (a label or null), uid, label.
 
-    Tiles with the same smallest label become one larger tile, so that a document is in it once and not in each of them. Its rows of that
-    label, the main component, are cut into shares, and the others too; a task gets a share of each, or two shares of the others.
+    A tile's rows of its smallest label, the main component, are cut into shares, and the others too; a task gets a share of each, or two shares of the others.
     """
-    ends = members.groupBy("pivot").agg(F.min("label").alias("main"), F.max("label").alias("most")).where("main <> most").select("pivot", "main")
-    rows = materialize(members.join(materialize(ends, "jaccard-open"), "pivot").select("main", "uid", "label").distinct(), "jaccard-gathered")
+    bytes_ = F.sum(F.pow(F.lit(2.0), F.col("q") / 16) / 2)
+    labels = rows.groupBy("tile", "label").agg(F.count("*").alias("c"), bytes_.alias("w"))
+    shares = lambda c, w, most: F.ceil(F.greatest(c / most, w / SHARE_BYTES)).cast("int")
+    sums = labels.groupBy("tile").agg(F.min(F.struct("label", "c", "w")).alias("own"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("labels")).where("labels > 1")
+    counts = sums.select("tile", F.col("own.label").alias("main"), shares(F.col("own.c"), F.col("own.w"), MAIN_ROWS).alias("mains"), shares(F.col("c") - F.col("own.c"), F.col("w") - F.col("own.w"), OTHER_ROWS).alias("others"), (F.col("labels") - 1).alias("labels"))
+    held = materialize(counts, "jaccard-counts", bound)
+    sized = rows.join(held, "tile")
     own = F.col("label") == F.col("main")
-    counts = rows.groupBy("main").agg(F.ceil(F.count_if(own) / MAIN_ROWS).cast("int").alias("mains"), F.ceil(F.count_if(~own) / OTHER_ROWS).cast("int").alias("others"), F.countDistinct(F.when(~own, F.col("label"))).alias("labels"))
-    sized = rows.join(materialize(counts, "jaccard-counts"), "main")
     share = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
     i, j = share(F.col("mains")), share(F.col("others"))
     to_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(i.alias("x"), o.alias("y"), F.col("main").alias("m")))
-    to_others = F.transform(F.sequence(F.lit(0), F.greatest(F.col("mains"), F.lit(1)) - 1), lambda m: F.struct(m.alias("x"), j.alias("y"), F.col("main").alias("m")))
+    to_others = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: F.struct(m.alias("x"), j.alias("y"), F.col("main").alias("m")))
     between = F.when(F.col("labels") > 1, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct((-1 - F.least(o, j)).alias("x"), F.greatest(o, j).alias("y"), F.lit(None).cast("long").alias("m")))).otherwise(F.array())
     both = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(None).cast("long").alias("m")))
-    tasks = F.when((F.col("mains") <= 1) & (F.col("others") == 1), both).when(own, to_main).otherwise(F.concat(to_others, between))
-    return sized.select("main", "uid", "label", F.explode(tasks).alias("t")).select("main", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.m").alias("m"), "uid", "label")
+    tasks = F.when((F.col("mains") == 1) & (F.col("others") == 1), both).when(own, to_main).otherwise(F.concat(to_others, between))
+    made = sized.select("tile", "uid", "label", F.explode(tasks).alias("t")).select("tile", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.m").alias("m"), "uid", "label")
+    return materialize(made, "jaccard-tasks", 2 * bound)
 
 
 def most_alike(label: np.ndarray, found: list[tuple]) -> list[tuple]:
@@ -452,20 +515,20 @@ def most_alike(label: np.ndarray, found: list[tuple]) -> list[tuple]:
 
 
 def cross_pairs(rows: DataFrame, partitions: int, best: bool = False) -> DataFrame:
-    """rows: main, x, y (a task), m, uid, label, n, wide. Pairs a < b of a task in different components that size and bitmaps let link;
+    """rows: tile, x, y (a task), m, uid, label, n, bits. Pairs a < b of a task in different components (la, lb) that size and bitmaps let link;
     with best, only the most alike pair of each two components."""
-    dealt = rows.repartition(partitions, "main", "x", "y").sortWithinPartitions("main", "x", "y", "uid")
+    ordered = rows.repartition(partitions, "tile", "x", "y").sortWithinPartitions("tile", "x", "y", "uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def cuts(t) -> np.ndarray:
-            k = [t[c].to_numpy() if isinstance(t, pa.Table) else t.column(c).to_numpy() for c in ("main", "x", "y")]
+            k = [t[c].to_numpy() if isinstance(t, pa.Table) else t.column(c).to_numpy() for c in ("tile", "x", "y")]
             return np.flatnonzero(np.any([c[1:] != c[:-1] for c in k], axis=0)) + 1 if len(k[0]) else np.zeros(0, np.int64)
 
         def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            uid, label, n = t["uid"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            bits, main = t["wide"].to_pylist(), t["m"].to_pylist()
+            tile, uid, label, n = t["tile"].to_numpy(), t["uid"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy().astype(np.int64)
+            bits, main = t["bits"].to_pylist(), t["m"].to_pylist()
             edge = [0, *cuts(t).tolist(), t.num_rows]
             for a, z in zip(edge, edge[1:]):
                 found = across(n[a:z], label[a:z], bits[a:z], main[a])
@@ -475,14 +538,16 @@ def cross_pairs(rows: DataFrame, partitions: int, best: bool = False) -> DataFra
                         kept = most_alike(label[a:z], [*kept, part])
                     found = iter(kept)
                 for i, j, _ in found:
-                    x, y = uid[a:z][i], uid[a:z][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    swap = uid[a:z][i] > uid[a:z][j]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    columns = [np.full(len(i), tile[a]), uid[a:z][i], uid[a:z][j], label[a:z][i], label[a:z][j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tile", "a", "b", "la", "lb"])
 
         last = None
         for whole_batch in batches:
             for start in range(0, whole_batch.num_rows, 2000):
                 batch = whole_batch.slice(start, 2000)
-                first = tuple(batch.column(c)[0].as_py() for c in ("main", "x", "y"))
+                first = tuple(batch.column(c)[0].as_py() for c in ("tile", "x", "y"))
                 if held and first != last:
                     yield from compared(pa.Table.from_batches(held))
                     held = []
@@ -493,48 +558,78 @@ def cross_pairs(rows: DataFrame, partitions: int, best: bool = False) -> DataFra
                     held = [batch.slice(cut)]
                 else:
                     held.append(batch)
-                last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("main", "x", "y"))
+                last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("tile", "x", "y"))
         if held:
             yield from compared(pa.Table.from_batches(held))
         give_back()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "tile long, a long, b long, la long, lb long")
 
 
 def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> uid, doc_id, n_shingles, label: rows with the same label are connected by links."""
     spark = docs.sparkSession
     partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = buckets or max(64, 2 * partitions)
 
     def slots(batch: pa.RecordBatch) -> np.ndarray:
         out = [shingles(b.column("text"))[0] for b in by_bytes(iter([batch]), "text", 4 << 20)]
         return (np.concatenate(out) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) if out else np.zeros(0, np.int64)
 
-    levels = levels_of(slot_counts(docs.selectExpr("cast(text as string) as text"), slots, SLOT_BITS))
-    sets = materialize(build_sets(docs, levels, buckets), "jaccard-rows")
+    counts = slot_counts(docs.selectExpr("cast(text as string) as text"), slots, SLOT_BITS)
+    levels = levels_of(counts)
+    buckets = buckets or max(64, 2 * partitions, int(counts.sum()) // (3 * BUCKET))
+    sets = materialize(build_sets(docs, levels, shares_of(counts, levels), buckets), "jaccard-rows")
     plain = sets.where("kind = 0")
-    copies = materialize(plain.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "n", "rep"), "jaccard-copies")
+    rows = plain.count()
+    copies = materialize(plain.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "n", "rep"), "jaccard-copies", rows)
     equal = plain.where("n > 0").select("uid", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).where("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b"))
     tiles = materialize(tiles_of(sets, buckets).distinct(), "jaccard-tiles")
-    stars = tiles.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
-    edges = materialize(verified(stars, plain, docs, levels).unionByName(equal), "jaccard-edges")
-    labels = components(edges)
+    bound = tiles.count()
+    stars = tiles.where("near and uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"), F.col("pivot").alias("la"), F.col("uid").alias("lb"))
+    found = verified(stars, plain, docs, levels)
+    labels = components(found.select("a", "b").unionByName(equal), rows + bound)
+    discard(found, copies)
+    named = labels.withColumnRenamed("node", "uid")
+    members = materialize(tiles.join(named, "uid", "left").select("pivot", "uid", "q", F.coalesce("label", "uid").alias("label")), "jaccard-members", bound)
+    apart = gathered(members, bound)
+    discard(tiles, members)
     for best in (True, False):
-        members = tiles.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("pivot", "uid", F.coalesce("label", "uid").alias("label"))
-        tasks = materialize(gathered(materialize(members, "jaccard-members")), "jaccard-tasks")
-        bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"))
-        more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions, best).distinct(), "jaccard-cross")
-        second = materialize(verified(more, plain, docs, levels), "jaccard-edges")
-        if second.limit(1).count():
-            edges = materialize(edges.unionByName(second), "jaccard-edges")
-            labels = components(edges)
-    return plain.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles")).join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("label", "uid").alias("label"))
+        tasks = dealt(apart, bound)
+        bits = asked_for(plain.select("uid", "n", "bits"), "uid", tasks.select("uid"), tasks.count())
+        more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions, best), "jaccard-cross")
+        discard(tasks)
+        count = more.count()
+        if not count:
+            discard(more)
+            break
+        pairs = materialize(more.select("a", "b", "la", "lb").distinct(), "jaccard-pairs", count)
+        second = verified(pairs, plain, docs, levels, count)
+        joined = components(second.select(F.col("la").alias("a"), F.col("lb").alias("b")), count)
+        moved = labels.join(moves(joined), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+        fresh = materialize(moved.unionByName(joined.join(labels, "node", "left_anti")), "jaccard-joined", rows)
+        if best:
+            # Components that may still link: those of the pairs compared that are not one now. All others had no pair to compare.
+            now = lambda c: joined.select(F.col("node").alias(c), F.col("label").alias(f"new{c}"))
+            ends = more.select("tile", "la", "lb").distinct().join(now("la"), "la", "left").join(now("lb"), "lb", "left").where("coalesce(newla, la) <> coalesce(newlb, lb)")
+            left = materialize(ends.select("tile", F.explode(F.array(*[F.struct(F.col(c).alias("label"), F.coalesce(f"new{c}", c).alias("new")) for c in ("la", "lb")])).alias("x")).select("tile", "x.label", "x.new").distinct(), "jaccard-apart", 2 * count)
+            fewer = materialize(apart.join(left, ["tile", "label"]).select("tile", "uid", "q", F.col("new").alias("label")), "jaccard-gathered", bound)
+            discard(apart, left)
+            apart = fewer
+        discard(more, pairs, second, joined, labels)
+        labels = fresh
+        if not apart.count():
+            break
+    discard(apart)
+    named = labels.withColumnRenamed("node", "uid")
+    made = plain.select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles")).join(named, "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("label", "uid").alias("label"))
+    kept = materialize(made, "jaccard-labels", rows)
+    discard(sets, labels)
+    return kept
 
 
 def component_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    found = materialize(link_components(docs), "jaccard-labels")
+    found = link_components(docs)
     least = materialize(found.groupBy("label").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
     return found.join(least, "label").select("doc_id", "n_shingles", "component_id")
 

@@ -209,20 +209,23 @@ def pack_items(items: DataFrame, rows: int, capacity: int = CAPACITY, block: int
             out.append((b, island, True, np.asarray(sizes, "<i4").tobytes(), np.asarray(first, "<i4").tobytes()))
         return frame(out)
 
-    def epoch(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("home", ascending=False, kind="stable")
-        b, island = int(own["block"].iloc[0]), int(own["island"].iloc[0])
-        sizes, population = arrays(own.iloc[0])
-        for k in range(1, len(own)):
-            population = [*population[: POPULATION - 1], arrays(own.iloc[k])[1][0]]
-        rng = np.random.default_rng([b, island, len(population), int(sizes.sum())])
-        if len(population) < POPULATION:
-            population = [*population, *(packed(p) for p in first_packings(sizes, capacity, POPULATION, rng)[1 : POPULATION - len(population) + 1])]
-        return frame(rows_of(b, island, sizes, evolve(sizes, population, capacity, generations, rng)))
+    def epoch(number: int):
+        def run(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("home", ascending=False, kind="stable")
+            b, island = int(own["block"].iloc[0]), int(own["island"].iloc[0])
+            sizes, population = arrays(own.iloc[0])
+            for k in range(1, len(own)):
+                population = [*population[: POPULATION - 1], arrays(own.iloc[k])[1][0]]
+            rng = np.random.default_rng([b, island, number, int(sizes.sum())])
+            if len(population) < POPULATION:
+                population = [*population, *(packed(p) for p in first_packings(sizes, capacity, POPULATION, rng)[1 : POPULATION - len(population) + 1])]
+            return frame(rows_of(b, island, sizes, evolve(sizes, population, capacity, generations, rng)))
+
+        return run
 
     evolved = dealt.select("block", "uid", "length").repartition(tasks, "block").groupBy("block").applyInPandas(found_islands, state)
-    for _ in range(epochs):
-        evolved = evolved.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(epoch, state)
+    for number in range(epochs):
+        evolved = evolved.repartition(tasks, "block", "island").groupBy("block", "island").applyInPandas(epoch(number), state)
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields]
 
     def settle(own: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:

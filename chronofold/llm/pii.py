@@ -1,14 +1,14 @@
 """Personal data by weak supervision. DataFrame and SQL functions only.
 
 Candidates are the base matches of four kinds (email, ip, card, phone) and looser spellings of the same kinds ("jo at host dot org",
-defanged and IPv6 addresses, cards with other separators, telephone numbers without a plus sign). Labelers vote 1, -1 or 0 on each:
-the strict and the loose patterns; a gazetteer (top-level domains, card issuers, calling and area codes, reserved address blocks); words
+defanged and IPv6 addresses, cards with other separators, telephone numbers without a plus sign), and, as evidence against, the matches of both that
+fail the checks of their kind (octets, Luhn, digit counts). Labelers vote 1, -1 or 0 on each: the spelling; the checks; a gazetteer (top-level domains, card issuers, calling and area codes, reserved address blocks); words
 of the context that speak for and against; the characters at both ends. Expectation-maximisation over the counts of vote patterns
 estimates each labeler's reliability per kind, with its posteriors as soft labels a logistic regression over the votes and features of the
-span is trained, and it decides on the loose candidates. Base spans always stay; a loose one that overlaps a base span goes.
+span is trained, and it decides on the loose candidates that pass the checks. Base spans always stay; a loose one that overlaps a base span goes.
 
 One pass over the texts writes each row's candidates. The driver gets counts of patterns of votes and features: no more than
-4 * 3**4 * 2**6 rows by construction, whatever the size of the corpus.
+4 * 3**6 * 2**6 rows by construction, of which few occur, whatever the size of the corpus.
 
 Matches: `split` gives what lies between matches and `regexp_extract_all` the matches, so lengths give the places in code points.
 The patterns find what the contract's find, but cannot backtrack into a repetition: linear time and flat stack on very long texts.
@@ -53,7 +53,7 @@ FOR = {
     "phone": "call phone tel fax mobile cell ring whatsapp text telefon llame appelez".split(),
 }
 AGAINST = "version build isbn issn sku token commit order invoice part model serial chapter section".split()
-VOTES = ("strict", "loose", "gazetteer", "context", "against", "ends")
+VOTES = ("spelling", "checks", "gazetteer", "context", "against", "ends")
 FEATURES = ("long", "separated", "digits", "upper", "repeated", "later")
 
 
@@ -97,7 +97,7 @@ def _labelled() -> str:
         else {digits} rlike '^(1|[2-9][0-9])' end"""
     context = " ".join(f"when {k} then b rlike '(?i)\\\\b({'|'.join(FOR[n])})s?\\\\b'" for k, n in enumerate(KINDS))
     return f"""named_struct('s', x.s, 'k', x.k, 'e', x.e, 'l', x.l,
-        'strict', cast(x.l = 0 as int), 'loose', cast(x.l = 1 as int),
+        'spelling', if(x.l = 0, 1, 0), 'checks', if(x.c, 1, -1),
         'gazetteer', if({known}, 1, -1),
         'context', if(case x.k {context} end, 1, 0),
         'against', if(b rlike '(?i)\\\\b({'|'.join(words)})s?\\\\b', -1, 0),
@@ -112,8 +112,9 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     strict = ", ".join(_spans("__t", STRICT[n], k, 0, HINTS.get(("strict", n))) for k, n in enumerate(KINDS))
     loose = ", ".join(_spans("__t", LOOSE[n], k, 1, HINTS.get(("loose", n))) for k, n in enumerate(KINDS))
     ids = made.columns[:-1]
-    found = made.select(*ids, "__t", F.expr(f"filter(concat({strict}), x -> {_valid()})").alias("base"), F.expr(f"filter(concat({loose}), x -> {_valid()})").alias("more"))
-    apart = found.select(*ids, "__t", F.array_sort("base").alias("base"), F.expr("filter(more, x -> not exists(base, y -> y.s < x.e and x.s < y.e))").alias("more"))
+    found = made.select(*ids, "__t", F.expr(f"transform(concat({strict}, {loose}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'l', x.l, 'v', x.v, 'c', {_valid()}))").alias("all"))
+    parted = found.select(*ids, "__t", F.expr("array_sort(filter(all, x -> x.l = 0 and x.c))").alias("base"), F.expr("filter(all, x -> x.l = 1 or not x.c)").alias("more"))
+    apart = parted.select(*ids, "__t", "base", F.expr("filter(more, x -> not exists(base, y -> y.s < x.e and x.s < y.e))").alias("more"))
     around = "element_at(transform(array(named_struct('b', substring(__t, greatest(1, x.s - 31), least(32, x.s)), 'a', substring(__t, x.e + 1, 1))), w -> {}), 1)"
     label = around.format(_labelled().replace("right(b, 1)", "right(w.b, 1)").replace(" b rlike", " w.b rlike").replace("if(b rlike", "if(w.b rlike").replace(" a rlike", " w.a rlike"))
     return apart.select(*[F.col(i).alias(c) for i, c in zip(ids, keep)], "base", F.expr(f"array_sort(transform(concat(base, more), x -> {label}))").alias("candidates"))
@@ -193,7 +194,7 @@ def train(found: DataFrame) -> SpanModel:
 
 def decided(found: DataFrame, model: SpanModel) -> DataFrame:
     """found with `spans`: base spans and accepted loose ones, by start, then kind."""
-    loose = F.expr(f"transform(filter(candidates, x -> x.l = 1 and {model.accepts('x')}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))")
+    loose = F.expr(f"transform(filter(candidates, x -> x.l = 1 and x.checks = 1 and {model.accepts('x')}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))")
     base = F.expr("transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))")
     return found.withColumn("base", base).withColumn("spans", F.array_sort(F.concat(base, loose)))
 
@@ -210,12 +211,13 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """
     own = [c for c in docs.columns if c.lower() != "text"]
     text = next(c for c in docs.columns if c.lower() == "text")
-    if model is None:
-        model = train(materialize(candidates(docs.select(F.col(f"`{text}`").alias("text")), []), "pii-candidates"))
     kept = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text}`").alias("text"))
-    found = candidates(kept, [*own, "text"])
     ids = [f"c{k}" for k in range(len(own))]
-    plain = decided(found.toDF(*ids, "text", "base", "candidates"), model)
+    found = candidates(kept, [*own, "text"]).toDF(*ids, "text", "base", "candidates")
+    if model is None:  # the spans are looked for once, and stand beside the texts from then on
+        found = materialize(found, "pii-candidates")
+        model = train(found)
+    plain = decided(found, model)
     names = " ".join(f"when {k} then '<{n}>'" for k, n in enumerate(KINDS))
     new = f"""if(size(spans) = 0, text, aggregate(spans, named_struct('p', 0, 'o', cast(array() as array<string>)),
         (a, x) -> if(x.s < a.p, named_struct('p', greatest(a.p, x.e), 'o', a.o), named_struct('p', x.e, 'o', concat(a.o, array(substring(text, a.p + 1, x.s - a.p), case x.k {names} end)))),

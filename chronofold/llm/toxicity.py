@@ -29,8 +29,8 @@ from ._common import by_bytes, give_back, materialize, table
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
 FEATURES = 6000
-#: Bytes of text whose n-grams are in memory at a time, at some 50 times their size; a longer text stands alone.
-SLICE = 1 << 20
+#: Bytes of text that are normalized at a time (a longer text stands alone, at some 20 times its size), and code points whose n-grams are in memory at a time.
+SLICE, WINDOW = 1 << 20, 1 << 17
 #: Bounds of the sample that the classifier is fitted on.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 _SYMBOLS = np.array([c if chr(c).isalpha() else 32 for c in range(0x250)], np.uint32)
@@ -49,36 +49,43 @@ class Model:
         return marks, weights
 
 
-def _grams(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(the text that each place belongs to, per n the bucket of the n-gram at each place or -1)."""
+def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(normalized code points of all texts in a row, each text between blanks; the text that each belongs to)."""
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer((" " + " \0 ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, low), np.int64, len(low))
-    owner = np.repeat(np.arange(len(low)), sizes + 3)[: len(code)]
+    owner = np.repeat(np.arange(len(low), dtype=np.int32), sizes + 3)[: len(code)]
     code = np.where(code < len(_SYMBOLS), _SYMBOLS[np.minimum(code, len(_SYMBOLS) - 1)], code)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (owner[1:] != owner[:-1])
-    code, owner = code[keep], owner[keep]
+    return code[keep], owner[keep]
+
+
+def _grams(code: np.ndarray, owner: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per n (the bucket of the n-gram at each of the first `most` places or -1 where it reaches into another text)."""
     mixed = code * np.uint32(0x9E3779B1)
-    h, out = mixed, []
+    h = mixed
     for n in range(2, max(NGRAMS) + 1):
-        h = h[:-1] * np.uint32(0x01000193) + mixed[n - 1 :] if n > 1 and len(h) > 1 else h[:0]
+        h = h[:-1] * np.uint32(0x01000193) + mixed[n - 1 :] if len(h) > 1 else h[:0]
         if n in NGRAMS:
             b = ((h ^ (h >> np.uint32(15)) ^ np.uint32(n)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
             b = b.astype(np.int32)
             b[owner[: len(b)] != owner[len(owner) - len(b) :]] = -1
-            out.append(b)
-    return owner, out
+            yield b[:most]
 
 
 def present(texts: list[str | None], marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, bucket) pairs; with marks, of marked buckets only."""
-    owner, grams = _grams(texts)
-    keys = []
-    for b in grams:
-        at = np.flatnonzero(b >= 0 if marks is None else (b >= 0) & (marks[b] > 0))
-        keys.append(owner[at] << BITS | b[at])
-    keys = np.unique(np.concatenate(keys))
+    code, owner = _codes(texts)
+    found = []
+    for a in range(0, max(1, len(code)), WINDOW):
+        part = slice(a, a + WINDOW + max(NGRAMS) - 1)
+        keys = []
+        for b in _grams(code[part], owner[part], WINDOW):
+            at = np.flatnonzero(b >= 0 if marks is None else (b >= 0) & (marks[b] > 0))
+            keys.append(owner[a + at].astype(np.int64) << BITS | b[at])
+        found.append(np.unique(np.concatenate(keys)))
+    keys = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
@@ -141,18 +148,39 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     return Model(bias, buckets, w * ratio)
 
 
-def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, l2: float = 1.0, rounds: int = 300) -> tuple[float, np.ndarray]:
-    """(intercept, weights) of an L2-regularized logistic regression by gradient steps of adapted length."""
+def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, l2: float = 1.0, rounds: int = 50) -> tuple[float, np.ndarray]:
+    """(intercept, weights) that minimize the mean logistic loss plus l2 / 2n times the squared weights: Newton steps by conjugate gradients until the gradient vanishes."""
     n = len(y)
-    w, b = np.zeros(width), 0.0
-    g2, gb2 = np.full(width, 1e-8), 1e-8
+    times = lambda v: np.bincount(row, value * v[col], n) + v[-1]
+    back = lambda u: np.append(np.bincount(col, value * u[row], width), u.sum())
+    ridge = np.append(np.full(width, l2 / n), 1e-9)
+    loss = lambda v, z: float(np.mean(np.logaddexp(0, z) - y * z) + 0.5 * (ridge * v * v).sum())
+    w = np.zeros(width + 1)
+    z = times(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], n) + b, -40, 40)))
-        d = (p - y) / n
-        g, gb = np.bincount(col, value * d[row], width) + l2 * w / n, d.sum()
-        g2, gb2 = g2 + g * g, gb2 + gb * gb
-        w, b = w - 0.05 * g / np.sqrt(g2), b - 0.3 * gb / math.sqrt(gb2)
-    return float(b), w
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        g = back((p - y) / n) + ridge * w
+        size = float(np.sqrt(g @ g))
+        if size < 1e-7:
+            break
+        s = p * (1 - p) / n
+        step, rest = np.zeros(width + 1), -g
+        way, left = rest.copy(), float(rest @ rest)
+        for _ in range(200):
+            if np.sqrt(left) <= min(0.1, np.sqrt(size)) * size:
+                break
+            bent = back(s * times(way)) + ridge * way
+            far = left / float(way @ bent)
+            step += far * way
+            rest -= far * bent
+            left, before = float(rest @ rest), left
+            way = rest + left / before * way
+        length, start, slope = 1.0, loss(w, z), float(g @ step)
+        dz = times(step)
+        while length > 1e-6 and loss(w + length * step, z + length * dz) > start + 1e-4 * length * slope:
+            length /= 2
+        w, z = w + length * step, z + length * dz
+    return float(w[-1]), w[:-1]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

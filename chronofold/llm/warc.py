@@ -1,8 +1,8 @@
 """WARC archives: a writer with identical-payload revisits and a salvage reader.
 
 Archives are sequences of gzip members, one record each; plain ones are read as well. The reader checks the member (gzip's
-CRC-32 and length), the version line, the header lines, Content-Length, the record's end, the block digest of every record
-and, of a response, the payload digest. Where a check fails it looks for the next place at which a member or
+CRC-32 and length), the version line, the header lines, Content-Length, the record's end, the block digest of every record,
+of a response the payload digest, and of own records the ids and a digest of the header lines, which the format itself doesn't have. Where a check fails it looks for the next place at which a member or
 a version line begins and a whole record passes, goes on from there, and logs the bytes between as a quarantined gap with the
 reason. Only the record at hand is in memory; a block longer than `most` bytes or a header longer than `top` is a failed check.
 The writer states its longest of both, and by these its own archives are read, so no page of theirs is beyond a limit.
@@ -35,6 +35,8 @@ VERSION = b"WARC/1."
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Own records' last header line, over all lines before it.
+HEADER_DIGEST = b"X-Header-Digest: sha1:"
 CHUNK = 1 << 20
 #: Bytes of uncompressed payload after which a file ends.
 FILE_BYTES = 256 << 20
@@ -50,9 +52,13 @@ def record_uri(page_id: int | None, digest: str) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
 
 
+OWN_URI = re.compile(r"<urn:page:(-?[0-9]{1,19})?:[A-Z2-7]{32}>")
+
+
 def page_of(uri: str) -> int | None:
-    own = uri.strip("<>").split(":")[2]
-    return int(own) if own else None
+    """The page_id that an own record's id holds; None for a null one and for any other id."""
+    own = OWN_URI.fullmatch(uri)
+    return int(own[1]) if own and own[1] and -(1 << 63) <= int(own[1]) < 1 << 63 else None
 
 
 def record_parts(page_id: int | None, url: str | None, payload: bytes, revisit_of: tuple[int | None] | None) -> tuple[bytes, bytes]:
@@ -74,7 +80,8 @@ def record_parts(page_id: int | None, url: str | None, payload: bytes, revisit_o
     ]
     if revisit_of:
         head += [f"WARC-Refers-To: {record_uri(revisit_of[0], digest)}", f"WARC-Profile: {REVISIT_PROFILE}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n", block
+    lines = "\r\n".join(head).encode()
+    return lines + b"\r\n" + HEADER_DIGEST + sha1_base32(lines).encode() + b"\r\n\r\n", block
 
 
 def member(data: bytes) -> bytes:
@@ -158,6 +165,11 @@ def _plain_record(data: bytearray | bytes, whole: bool, most: int, top: int) ->
             raise BadRecord("the header does not end")
         return None
     lines = bytes(data[:head]).split(b"\r\n")
+    if lines[-1].startswith(HEADER_DIGEST):
+        if lines[-1][len(HEADER_DIGEST) :] != sha1_base32(b"\r\n".join(lines[:-1])).encode():
+            raise BadRecord("the header digest differs")
+    elif any(line.lower().startswith(b"warc-record-id:") and b"<urn:page:" in line for line in lines):
+        raise BadRecord("the header digest is missing")
     if not re.fullmatch(rb"WARC/1\.\d+", lines[0]):
         raise BadRecord("a damaged version line")
     headers: dict[str, str] = {}
@@ -356,19 +368,29 @@ def read_archives(files: DataFrame, payloads: bool = False, most: int = MOST) ->
 def described(r: Record, payloads: bool) -> tuple[Any, ...]:
     h = r.headers
     target = h.get("warc-target-uri")
-    own = page_of(h["warc-record-id"]) if h.get("warc-record-id", "").startswith("<urn:page:") else None
-    refers = page_of(h["warc-refers-to"]) if r.kind == "revisit" and h.get("warc-refers-to", "").startswith("<urn:page:") else None
+    own = page_of(h.get("warc-record-id", ""))
+    refers = page_of(h.get("warc-refers-to", "")) if r.kind == "revisit" else None
     if r.kind == "revisit":
         length = h.get("x-payload-length", "")
-        return None, own, target, r.kind, refers, int(length) if length.isdigit() else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, None
+        return None, own, target, r.kind, refers, int(length) if re.fullmatch("[0-9]{1,18}", length) else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, None
     payload = r.payload()
     return None, own, target, r.kind, refers, len(payload), sha1_base32(payload), payload.decode("utf-8", "replace") if payloads else None
 
 
+def checked(found: DataFrame, files: DataFrame) -> DataFrame:
+    """The records of `found`, what read_archives() gives of own archives; found is written, gaps included. Raises if there is a gap or a record is missing."""
+    held = materialize(found.drop("payload"), "warc-read")
+    written = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    records, gaps = held.agg(F.count_if(F.col("gap_reason").isNull()), F.count_if(F.col("gap_reason").isNotNull())).first()
+    if gaps or records != written:
+        raise RuntimeError(f"{records} of {written} records written were read, with {gaps} gaps; they are listed in {held.__dict__['_scratch']}")
+    return held.where("gap_reason is null")
+
+
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     files = materialize(write_archives(plan_records(table(spark, sf_dir, "pages")), folder), "warc-files")
-    return read_archives(files).where("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(read_archives(files), files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op2_warc_salvage": op2_warc_salvage}

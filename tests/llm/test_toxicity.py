@@ -24,6 +24,50 @@ def test_grams_match_brute_force():
         assert len(alone) <= len(brute_grams(t)) and len(alone) >= 0.98 * len(brute_grams(t))
 
 
+def test_windows_change_nothing(monkeypatch):
+    texts = ["one two " * 40, "", None, "Ünder the bridge" * 9, "xyz"]
+    whole = T.present(texts)
+    monkeypatch.setattr(T, "WINDOW", 7)
+    parts = T.present(texts)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_scores_are_those_of_a_plain_scaled_logistic_model(spark):
+    """Features, ratios and the optimum anew, with dictionaries and dense matrices."""
+    rows = corpus(160, 3)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    bucket = {}
+    sets = []
+    for _, t, _ in rows:
+        sets.append(set(T.present([t])[1].tolist()))
+    y = np.array([r[2] for r in rows], float)
+    n1, n0 = y.sum(), len(y) - y.sum()
+    for b in set().union(*sets):
+        has = np.array([b in s for s in sets])
+        bucket[b] = has[y == 1].sum(), has[y == 0].sum()
+
+    def z(c):
+        pooled = (c[0] + c[1] + 1) / (len(y) + 2)
+        return abs(c[0] / n1 - c[1] / n0) / np.sqrt(pooled * (1.0001 - pooled) * (1 / n1 + 1 / n0))
+
+    best = sorted((b for b, c in bucket.items() if sum(c) >= 3 and z(c) > 3), key=lambda b: (-z(bucket[b]), b))[: T.FEATURES]
+    assert set(best) == set(model.buckets.tolist())
+    ratio = np.array([np.log((bucket[b][0] + 1) / (n1 + 2)) - np.log((bucket[b][1] + 1) / (n0 + 2)) for b in best])
+    x = np.array([[b in s for b in best] for s in sets]) * ratio
+    x = np.hstack([x, np.ones((len(y), 1))])
+    w = np.zeros(x.shape[1])
+    ridge = np.full(len(w), 1 / len(y))
+    ridge[-1] = 1e-9
+    for _ in range(40):  # Newton's method with the whole Hessian
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge), x.T @ (p - y) / len(y) + ridge * w)
+    want = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+    got = {r.doc_id: r.score for r in T.score(docs, model, ["doc_id"]).collect()}
+    assert max(abs(got[d] - want[k]) for k, (d, _, _) in enumerate(rows)) < 1e-3
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     rows = []

@@ -43,6 +43,39 @@ def test_clean_and_damaged(compress):
         covers(found, bad)
 
 
+def test_every_damaged_byte_of_a_header_is_found():
+    head, block = W.record_parts(17, "http://x/y", b"payload", (18,))
+    after = W.write_record(3, "u", b"", None, False)
+    for k in range(len(head)):
+        for flip in (0x01, 0x20, 0x80):
+            bad = bytearray(head + block + b"\r\n\r\n")
+            bad[k] ^= flip
+            found = list(W.salvage(io.BytesIO(bytes(bad) + after)))
+            assert pages(found) == [3] and found[0].end == len(bad) and isinstance(found[0], W.Gap), (k, flip)
+
+
+def test_ids_of_others_are_no_pages(spark, tmp_path):
+    """Odd ids of foreign archives are null, never an error."""
+    ids = ["<urn:uuid:1>", "<urn:pages:x>", "", "urn:page", "<other:page:1:A>"]
+    head = "WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: {0}\r\nWARC-Refers-To: {0}\r\nX-Payload-Length: ²\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes("".join(head.format(x) for x in ids).encode())
+    rows = W.read_archives(spark.createDataFrame([(f"file://{tmp_path}/x.warc",)], "path string")).collect()
+    assert [(r.gap_reason, r.page_id, r.refers_to, r.payload_bytes) for r in rows] == [(None, None, None, None)] * len(ids)
+    assert W.page_of(f"<urn:page:{1 << 63}:{'A' * 32}>") is None and W.page_of(f"<urn:page:{-1 << 63}:{'A' * 32}>") == -1 << 63
+
+
+def test_gaps_and_missing_records_are_errors(spark):
+    df = spark.createDataFrame([(k, f"http://x/{k}", f"page {k}") for k in range(9)], "page_id long, url string, html string")
+    files = W.write_archives(W.plan_records(df), shared_dir(spark, "t")).persist()
+    assert W.checked(W.read_archives(files), files).count() == 9
+    path = files.first().path.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0x55
+    open(path, "wb").write(data)
+    with pytest.raises(RuntimeError, match="gaps"):
+        W.checked(W.read_archives(files), files)
+
+
 def test_junk_truncation_and_false_starts():
     parts = archive()
     junk = b"WARC/1.1\r\nContent-Length: 999999\r\n\r\n" + W.GZIP + b"\x00" * 20 + b"WARC/1.\x00"
@@ -89,8 +122,8 @@ def test_rows_of_all_kinds(spark):
 
 
 def test_own_archives_are_read_whole(spark):
-    df = spark.createDataFrame([(1, "http://x/" + "a" * 70_000, "one"), (2, "\x01" * 30_000, "two"), (3, "http://x/3", "three" * 1000)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, "http://x/" + "a" * 70_000, "one"), (2, "\x01" * 30_000, "two"), (3, "http://x/3", "three" * 1000), (4, "u" * 1_000_000, "four")], "page_id long, url string, html string")
     files = W.write_archives(W.plan_records(df), shared_dir(spark, "t")).persist()
     for found in (W.read_archives(files), W.read_archives(files, most=10)):
-        assert sorted((r.page_id, r.payload_bytes) for r in found.where("gap_reason is null").collect()) == [(1, 3), (2, 3), (3, 5000)]
+        assert sorted((r.page_id, r.payload_bytes) for r in found.where("gap_reason is null").collect()) == [(1, 3), (2, 3), (3, 5000), (4, 4)]
     assert W.read_archives(files.select("path")).where("gap_reason is not null").count() > 0
