@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import jaccard_join, packing, pii, toxicity
-from chronofold.llm._common import materialize
+from chronofold.llm._common import discard, materialize
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]), "pipeline-numbered")
     names = {c.lower(): f"c{k}" for k, c in enumerate(docs.columns)}
     # The row's number stands in for doc_id, so that every row is a document of its own.
-    found = materialize(jaccard_join.link_components(numbered.select(F.col("__row").alias("doc_id"), F.col(names["text"]).alias("text"))).select(F.col("doc_id").alias("__row"), "label"), "pipeline-labels")
+    found = jaccard_join.link_components(numbered.select(F.col("__row").alias("doc_id"), F.col(names["text"]).alias("text"))).select(F.col("doc_id").alias("__row"), "label")
     rank = F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("id"), F.col("__row").alias("row"))
     best = found.join(numbered.select("__row", F.col(names["doc_id"]).cast("long").alias("id")), "__row").groupBy("label").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))
     kept = numbered.join(best, "__row", "left_semi")
@@ -65,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
