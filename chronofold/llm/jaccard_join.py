@@ -11,7 +11,7 @@ as 64-bit hashes. Two documents link when 100 * |A and B| >= 75 * |A or B|.
    its count asks for, so that its lists do not grow with the corpus.
 3. In each tile that smallest document is compared with the others; pairs that the check below confirms are joined into components.
 4. Tiles that still hold several components are put together by their smallest component and cut into bands of set size, each compared with
-   itself and the next: pairs of different components go on if their sizes and bitmaps allow a link. |A xor B| is at least the number of bits
+   itself and the next: pairs of different components go on if their sizes and wider bitmaps allow a link. |A xor B| is at least the number of bits
    that differ, which bounds |A and B| from above. What is left is checked and joined too: first the most alike pair of each two components of a
    tile; then, of components that had such a pair and are still apart, all pairs. As every pair that may link is compared in the end or is in one
    component before, no link is lost. Large tiles are dealt to several tasks by shares of their documents.
@@ -180,9 +180,9 @@ def shares_of(counts: np.ndarray, levels: np.ndarray) -> dict[int, int]:
     return {s: max(1 << int(levels[s]) - HOT_LEVEL, 1 << (2 * int(counts[s]) // LIST).bit_length()) for s in hot.tolist()}
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """A set's bits: 2**k of them, at least twice as many as elements and at least 64."""
-    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+def bitmap(tokens: np.ndarray, times: int = 2) -> bytes:
+    """A set's bits: 2**k of them, at least `times` as many as elements and at least 64."""
+    width = max(64, 1 << (times * len(tokens) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -220,7 +220,7 @@ def links(na: int, nb: int, common: int) -> bool:
     return 100 * common >= 75 * (na + nb - common)
 
 
-SETS = "kind int, uid long, doc_id long, key long, n int, s1 long, s2 long, bits binary, bucket int, postings binary"
+SETS = "kind int, uid long, doc_id long, key long, n int, s1 long, s2 long, bits binary, wide binary, bucket int, postings binary"
 KEYED = ("cast(doc_id as bigint) as doc_id", "cast(text as string) as text", "xxhash64(cast(text as string)) as key")
 
 
@@ -260,7 +260,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, shares_by_slot: dict[int, in
         for batch in by_bytes(batches, "text", 4 << 20):
             h, cuts = shingles(batch.column("text"))
             ranked = in_order(h, levels)
-            own, sizes, s1, s2, bits = [], [], [], [], []
+            own, sizes, s1, s2, bits, wide = [], [], [], [], [], []
             for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
                 r = np.unique(ranked[a:z])
                 n = len(r)
@@ -270,6 +270,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, shares_by_slot: dict[int, in
                 s1.append(sig[0])
                 s2.append(sig[1])
                 bits.append(bitmap(r) if n else b"")
+                wide.append(bitmap(r, 4) if n else b"")
                 if n and sig not in seen:
                     if len(seen) < SEEN:
                         seen.add(sig)
@@ -287,7 +288,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, shares_by_slot: dict[int, in
                     bands.append(np.full(total, min(255, int(16 * np.log2(n))), np.uint8))
                     held += total
                 uid += 1
-            yield rows(kind=[0] * len(own), uid=own, doc_id=batch.column("doc_id"), key=batch.column("key"), n=sizes, s1=s1, s2=s2, bits=bits)
+            yield rows(kind=[0] * len(own), uid=own, doc_id=batch.column("doc_id"), key=batch.column("key"), n=sizes, s1=s1, s2=s2, bits=bits, wide=wide)
             if held > HELD:
                 yield packed()
         if held:
@@ -485,7 +486,7 @@ def dealt(rows: DataFrame, bound: int) -> DataFrame:
 
     A tile's rows of its smallest label, the main component, are cut into shares, and the others too; a task gets a share of each, or two shares of the others.
     """
-    bytes_ = F.sum(F.pow(F.lit(2.0), F.col("q") / 16) / 2)
+    bytes_ = F.sum(F.pow(F.lit(2.0), F.col("q") / 16))
     labels = rows.groupBy("tile", "label").agg(F.count("*").alias("c"), bytes_.alias("w"))
     shares = lambda c, w, most: F.ceil(F.greatest(c / most, w / SHARE_BYTES)).cast("int")
     sums = labels.groupBy("tile").agg(F.min(F.struct("label", "c", "w")).alias("own"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("labels")).where("labels > 1")
@@ -515,7 +516,7 @@ def most_alike(label: np.ndarray, found: list[tuple]) -> list[tuple]:
 
 
 def cross_pairs(rows: DataFrame, partitions: int, best: bool = False) -> DataFrame:
-    """rows: tile, x, y (a task), m, uid, label, n, bits. Pairs a < b of a task in different components (la, lb) that size and bitmaps let link;
+    """rows: tile, x, y (a task), m, uid, label, n, wide. Pairs a < b of a task in different components (la, lb) that size and bitmaps let link;
     with best, only the most alike pair of each two components."""
     ordered = rows.repartition(partitions, "tile", "x", "y").sortWithinPartitions("tile", "x", "y", "uid")
 
@@ -528,7 +529,7 @@ def cross_pairs(rows: DataFrame, partitions: int, best: bool = False) -> DataFra
 
         def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
             tile, uid, label, n = t["tile"].to_numpy(), t["uid"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            bits, main = t["bits"].to_pylist(), t["m"].to_pylist()
+            bits, main = t["wide"].to_pylist(), t["m"].to_pylist()
             edge = [0, *cuts(t).tolist(), t.num_rows]
             for a, z in zip(edge, edge[1:]):
                 found = across(n[a:z], label[a:z], bits[a:z], main[a])
@@ -595,7 +596,7 @@ def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     discard(tiles, members)
     for best in (True, False):
         tasks = dealt(apart, bound)
-        bits = asked_for(plain.select("uid", "n", "bits"), "uid", tasks.select("uid"), tasks.count())
+        bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"), tasks.count())
         more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions, best), "jaccard-cross")
         discard(tasks)
         count = more.count()
