@@ -41,7 +41,7 @@ from .tokens import whole
 
 WORDS = 5
 SLOT_BITS, CHUNKS = 20, 16
-#: Least and most bits of a filter, as powers of two; 2 MB at most. Tasks that fill one.
+#: Least and most bits of a filter, as powers of two; 2 MB at most. Tasks that fill one; more only beyond 2**24 rows a task.
 FILTER_BITS, FILTER_TASKS = (16, 24), 16
 #: Postings of a task that are packed at a time, and of a bucket; from this level on a shingle's list is split, into lists of about LIST documents.
 HELD, BUCKET, HOT_LEVEL, LIST = 500_000, 500_000, 8, 200_000
@@ -146,7 +146,7 @@ def slots_filled(ids: DataFrame, rows: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(1 << bits - 3, np.uint8)
-    for data in ids.coalesce(FILTER_TASKS).mapInArrow(mark, "bits binary").toArrow()["bits"].to_pylist():
+    for data in ids.coalesce(max(FILTER_TASKS, rows >> 24)).mapInArrow(mark, "bits binary").toArrow()["bits"].to_pylist():
         out |= np.frombuffer(data, np.uint8)
     return out
 
@@ -427,7 +427,8 @@ def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.nda
             yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(keep))
         give_back()
 
-    made = materialize(rows.mapInArrow(exact, "a long, b long, la long, lb long"), "jaccard-edges", count)
+    # The rows that this stage reads hold whole sets: tasks by bytes, not by pairs.
+    made = materialize(rows.mapInArrow(exact, "a long, b long, la long, lb long"), "jaccard-edges", ROWS_A_TASK * (6 * size >> 22))
     discard(near, once)
     return made
 
