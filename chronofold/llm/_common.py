@@ -101,6 +101,16 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
             start = stop
 
 
+def distinct(x):
+    """The sorted distinct elements of an array of numbers, by sorting: less time and memory than numpy.unique's hash table."""
+    import numpy as np
+
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def give_back() -> None:
     """Return memory that batches needed to the system; Python workers wait between tasks with what they hold."""
     import ctypes

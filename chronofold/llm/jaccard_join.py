@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ROWS_A_TASK, by_bytes, discard, give_back, materialize, table
+from ._common import ROWS_A_TASK, by_bytes, discard, distinct, give_back, materialize, table
 from .components import components, moves
 from .tokens import whole
 
@@ -262,7 +262,7 @@ def build_sets(docs: DataFrame, levels: np.ndarray, shares_by_slot: dict[int, in
             ranked = in_order(h, levels)
             own, sizes, s1, s2, bits, wide = [], [], [], [], [], []
             for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
-                r = np.unique(ranked[a:z])
+                r = distinct(ranked[a:z])
                 n = len(r)
                 own.append(uid)
                 sizes.append(n)
@@ -376,18 +376,18 @@ def may_link(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{n} {'int' if n in ('na', 'nb') else 'long'}" for n in names))
 
 
-def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.ndarray, bounded: int | None = None) -> DataFrame:
+def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.ndarray, bound: int, bounded: bool = False) -> DataFrame:
     """The pairs a, b (with la, lb) that link.
 
     The sorted sets (48 bits of each hash) are made again from the texts, only of texts whose key is in a filter of bounded size
     that the surviving pairs fill, so that sets nobody asks for are neither kept nor shuffled.
-    bounded: the number of pairs, if sizes and bitmaps allow each of them a link already (then pairs is a written table).
+    bound: of the number of pairs. bounded: sizes and bitmaps allow each of them a link already, and pairs is a written table.
     """
-    if bounded is None:
-        near = materialize(may_link(pairs, plain), "jaccard-near")
+    if not bounded:
+        near = materialize(may_link(pairs, plain), "jaccard-near", 4 * bound)
     else:
-        described = asked_for(plain.select("uid", "n", "key", "s1", "s2"), "uid", pairs.select("a", "b"), bounded)
-        near = materialize(with_sides(pairs, described), "jaccard-near", bounded)
+        described = asked_for(plain.select("uid", "n", "key", "s1", "s2"), "uid", pairs.select("a", "b"), bound)
+        near = materialize(with_sides(pairs, described), "jaccard-near", bound)
     count, size = near.agg(F.count("*"), F.coalesce(F.sum(F.col("na").cast("long") + F.col("nb")), F.lit(0))).first()
     wanted = slots_filled(near.select("keya", "keyb"), count)
 
@@ -400,7 +400,7 @@ def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.nda
                 ranked = in_order(h, levels)
                 found = []
                 for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
-                    r = np.unique(ranked[a:z])
+                    r = distinct(ranked[a:z])
                     sig = signature(r)
                     if sig not in seen:
                         if len(seen) < SEEN:
@@ -585,10 +585,10 @@ def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = plain.count()
     copies = materialize(plain.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "n", "rep"), "jaccard-copies", rows)
     equal = plain.where("n > 0").select("uid", "s1", "s2", "n").join(copies, ["s1", "s2", "n"]).where("uid <> rep").select(F.col("rep").alias("a"), F.col("uid").alias("b"))
-    tiles = materialize(tiles_of(sets, buckets).distinct(), "jaccard-tiles")
+    tiles = materialize(tiles_of(sets, buckets).distinct(), "jaccard-tiles", int(counts.sum()) // 4 + rows)
     bound = tiles.count()
     stars = tiles.where("near and uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"), F.col("pivot").alias("la"), F.col("uid").alias("lb"))
-    found = verified(stars, plain, docs, levels)
+    found = verified(stars, plain, docs, levels, bound)
     labels = components(found.select("a", "b").unionByName(equal), rows + bound)
     discard(found, copies)
     named = labels.withColumnRenamed("node", "uid")
@@ -597,15 +597,16 @@ def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     discard(tiles, members)
     for best in (True, False):
         tasks = dealt(apart, bound)
-        bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"), tasks.count())
-        more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions, best), "jaccard-cross")
+        dealt_rows = tasks.count()
+        bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"), dealt_rows)
+        more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions, best), "jaccard-cross", 4 * dealt_rows)
         discard(tasks)
         count = more.count()
         if not count:
             discard(more)
             break
         pairs = materialize(more.select("a", "b", "la", "lb").distinct(), "jaccard-pairs", count)
-        second = verified(pairs, plain, docs, levels, count)
+        second = verified(pairs, plain, docs, levels, count, bounded=True)
         joined = components(second.select(F.col("la").alias("a"), F.col("lb").alias("b")), count)
         moved = labels.join(moves(joined), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
         fresh = materialize(moved.unionByName(joined.join(labels, "node", "left_anti")), "jaccard-joined", rows)

@@ -135,13 +135,15 @@ def train_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int
     return Router(mean, scale, *p)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part."""
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
+    """vec_id, embedding of the rows that take part: those of that length, or else of the commonest one."""
     x = F.col("embedding")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(x, lambda e: e != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & x.isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("embedding") == (common.n if common else 0))
+    if length is None:
+        common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        length = common.n if common else 0
+    return rows.where(F.size("embedding") == length)
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
@@ -200,14 +202,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PRO
     """query_id, rank (from 1), vec_id, score of each query's k nearest found; both tables have vec_id and embedding."""
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    rows = usable(vectors, len(router.mean) if router else None)
     router = router or fit(rows, parts=parts)
     if router is None:
         return spark.createDataFrame([], schema)
     items = materialize(routed(rows, router, 1), "ann-items").select("vec_id", "embedding", F.element_at("parts", 1).alias("part"))
     sizes = {r.part: r["count"] for r in items.groupBy("part").count().collect()}
     blocks = [max(1, -(-sizes.get(p, 0) // block)) for p in range(parts)]
-    asked = materialize(routed(usable(queries), router, probes), "ann-queries")
+    asked = materialize(routed(usable(queries, len(router.mean)), router, probes), "ann-queries")
     total = asked.count()
     shares = max(1, -(-total * probes // (parts * QUERY_BLOCK)))
     n_blocks = F.array(*map(F.lit, blocks))

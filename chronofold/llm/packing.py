@@ -78,7 +78,7 @@ def best_fit(sizes: np.ndarray, bins: np.ndarray, order: np.ndarray, capacity: i
 
 def packed(bins: np.ndarray) -> np.ndarray:
     """The same packing with bins numbered without gaps."""
-    return np.unique(bins, return_inverse=True)[1].astype(np.int64)
+    return (np.cumsum(np.bincount(bins) > 0) - 1)[bins] if len(bins) else bins
 
 
 def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[float, float]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import by_bytes, table
+from ._common import by_bytes, distinct, table
 from .tokens import whole, word_parts
 
 #: Pieces kept per worker, and their characters; beyond either the memory starts anew.
@@ -139,7 +139,7 @@ class PairIndexBpe:
             r = heapq.heappop(active)
             a, b, new = self.pairs[r]
             held = index.pop(r)
-            at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            at = held[0] if len(held) == 1 else distinct(np.concatenate(held))
             at = at[symbol[at] == a]
             at = at[after[at] >= 0]
             at = at[symbol[after[at]] == b]

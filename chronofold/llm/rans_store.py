@@ -36,7 +36,9 @@ _LOW = np.uint64(1 << 31)
 
 def frequencies(ids: np.ndarray, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, their frequencies adding up to 2**scale, each at least 1)."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    ordered = np.sort(ids)
+    at = np.flatnonzero(np.append(ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]))
+    symbols, counts = ordered[at], np.diff(np.append(at, len(ordered)))
     if len(symbols) > 1 << scale:
         raise ValueError("more distinct ids than the scale has slots")
     freq = np.maximum(1, np.floor(counts * ((1 << scale) / counts.sum()))).astype(np.int64)

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, give_back, materialize, table
+from ._common import by_bytes, distinct, give_back, materialize, table
 
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
 FEATURES = 6000
 #: Bytes of text that are normalized at a time (a longer text stands alone, at some 20 times its size), and code points whose n-grams are in memory at a time.
-SLICE, WINDOW = 1 << 20, 1 << 17
+SLICE, WINDOW = 1 << 18, 1 << 17
 #: Bounds of the sample that the classifier is fitted on.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 _SYMBOLS = np.array([c if chr(c).isalpha() else 32 for c in range(0x250)], np.uint32)
@@ -84,8 +84,8 @@ def present(texts: list[str | None], marks: np.ndarray | None = None) -> tuple[n
         for b in _grams(code[part], owner[part], WINDOW):
             at = np.flatnonzero(b >= 0 if marks is None else (b >= 0) & (marks[b] > 0))
             keys.append(owner[a + at].astype(np.int64) << BITS | b[at])
-        found.append(np.unique(np.concatenate(keys)))
-    keys = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+        found.append(distinct(np.concatenate(keys)))
+    keys = distinct(np.concatenate(found)) if len(found) > 1 else found[0]
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 

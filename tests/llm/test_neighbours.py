@@ -65,6 +65,14 @@ def test_rows_of_all_kinds(spark):
     assert N.search(df, df.limit(0)).count() == 0
 
 
+def test_queries_of_mostly_another_length(spark):
+    """The commonest length of all vectors counts, not that of the queries."""
+    rows = [(k, [1.0, float(k)]) for k in range(1, 9)] + [(20, [1.0, 2.0, 3.0]), (40, [1.0, 2.0, 4.0]), (60, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = results(N.search(df, df.where("vec_id % 20 = 0"), k=2, probes=32))
+    assert got == {60: [(8, 10.0), (7, 9.0)]}
+
+
 def test_query_recall(spark):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
