@@ -33,7 +33,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     found = jaccard_join.link_components(numbered.select(F.col("__row").alias("doc_id"), F.col(names["text"]).alias("text"))).select(F.col("doc_id").alias("__row"), "label")
     rank = F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("id"), F.col("__row").alias("row"))
     best = found.join(numbered.select("__row", F.col(names["doc_id"]).cast("long").alias("id")), "__row").groupBy("label").agg(F.min(rank).alias("best")).select(F.col("best.row").alias("__row"))
-    kept = numbered.join(best, "__row", "left_semi")
+    kept = numbered.join(best, "__row", "left_semi").coalesce(max(spark.sparkContext.defaultParallelism, len(numbered.inputFiles())))
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
