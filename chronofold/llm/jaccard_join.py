@@ -384,7 +384,7 @@ def verified(pairs: DataFrame, plain: DataFrame, docs: DataFrame, levels: np.nda
     bound: of the number of pairs. bounded: sizes and bitmaps allow each of them a link already, and pairs is a written table.
     """
     if not bounded:
-        near = materialize(may_link(pairs, plain), "jaccard-near", 4 * bound)
+        near = materialize(may_link(pairs, plain), "jaccard-near", 16 * bound)
     else:
         described = asked_for(plain.select("uid", "n", "key", "s1", "s2"), "uid", pairs.select("a", "b"), bound)
         near = materialize(with_sides(pairs, described), "jaccard-near", bound)
