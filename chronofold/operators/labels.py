@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import asof_join, interval_join
+
 
 def triple_barrier(bars: DataFrame, path: DataFrame, width: float = 2.0, horizon: int = 60) -> DataFrame:
     """bars: etf_id, bar, end_date, close, sigma. path: etf_id, date, nav. Per bar with sigma: event_id parts, t1, label and why.
@@ -15,7 +17,7 @@ def triple_barrier(bars: DataFrame, path: DataFrame, width: float = 2.0, horizon
     order = Window.partitionBy("etf_id").orderBy("bar")
     rows = bars.withColumn("vertical", F.lead("end_date", horizon).over(order)).where("sigma > 0").select("etf_id", "bar", F.col("end_date").alias("t0"), F.col("close").alias("entry"), "sigma", "vertical")
     known = rows.where("vertical is not null")
-    moves = known.join(path, "etf_id").where("date > t0 and date <= vertical").withColumn("move", F.ln(F.col("nav") / F.col("entry")))
+    moves = interval_join(path, known, ["etf_id"], "date", "t0", "vertical").withColumn("move", F.ln(F.col("nav") / F.col("entry")))
     limit = F.col("sigma") * width
     side: Column = F.when(F.col("move") >= limit, 1).when(F.col("move") <= -limit, -1)
     first = moves.withColumn("side", side).groupBy("etf_id", "bar").agg(F.min(F.when(F.col("side").isNotNull(), F.struct("date", "side"))).alias("touch"), F.max(F.struct("date", "move")).alias("last"))
@@ -27,8 +29,11 @@ def triple_barrier(bars: DataFrame, path: DataFrame, width: float = 2.0, horizon
 
 
 def uniqueness(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """events (etf_id, bar, t0, t1) with concurrency at t0, the largest, and the mean of 1/concurrency over the event's sessions."""
-    spread = events.where("t1 is not null").join(sessions, "etf_id").where("date > t0 and date <= t1").select("etf_id", "bar", "date")
+    """events (etf_id, bar, t0, t1) with concurrency at its first session, the largest, and the mean of 1/concurrency over its sessions, from t0 to t1.
+
+    Repeated sessions count once; an event without t1 or without a session is left out.
+    """
+    spread = interval_join(sessions.distinct(), events.where("t1 is not null").select("etf_id", "bar", "t0", "t1"), ["etf_id"], "date", "t0", "t1", open_low=False).select("etf_id", "bar", "date")
     counted = spread.groupBy("etf_id", "date").agg(F.count("*").alias("c"))
     each = spread.join(counted, ["etf_id", "date"])
     return each.groupBy("etf_id", "bar").agg(F.min_by("c", "date").alias("at_start"), F.max("c").alias("most"), F.avg(1.0 / F.col("c")).alias("uniqueness"))
@@ -59,13 +64,11 @@ def next_open_targets(bars: DataFrame, opens: DataFrame, barrier: float, horizon
     Entry at the first open after the bar; the log return net of both costs reaches the barrier, or the horizon-th bar ahead ends; exit at the
     first open after that. Events without horizon or without exit are left out.
     """
-    from .relational import asof_join
-
     order = Window.partitionBy("etf_id").orderBy("bar")
     rows = bars.withColumn("vertical", F.lead("end_date", horizon).over(order)).where("vertical is not null")
     day = lambda prefix: opens.select("etf_id", F.col("date").alias(f"{prefix}_date"), F.col("nav").alias(prefix))
     entered = asof_join(rows, day("entry"), "end_date", "entry_date", ["entry_date", "entry"], by=["etf_id"], forward=True, allow_exact=False).where("entry is not null")
-    path = entered.join(opens, "etf_id").where("date > entry_date and date <= vertical")
+    path = interval_join(opens, entered, ["etf_id"], "date", "entry_date", "vertical")
     move = F.abs(F.ln(F.col("nav") * (1 - sell)) - F.ln(F.col("entry") * (1 + buy)))
     hit = path.groupBy("etf_id", "bar", "entry_date", "entry", "vertical").agg(F.min(F.when(move >= barrier, F.col("date"))).alias("touch"))
     due = hit.withColumn("due", F.coalesce("touch", "vertical"))

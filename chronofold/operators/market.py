@@ -18,15 +18,15 @@ def classify(price: Column, suspended: Column, attribute: Column, amount: Column
     """
     bad = amount.isNull() | F.isnan(amount) | (amount < 0)
 
-    def of(reason: str, state: str, amounts: str, tradable: bool) -> Column:
-        return F.struct(F.lit(reason).alias("reason"), F.lit(state).alias("market_state"), F.lit(amounts).alias("amount_state"), F.lit(tradable).alias("tradable"))
+    def of(reason: str, state: str, amounts: str, tradable: bool | None) -> Column:
+        return F.struct(F.lit(reason).alias("reason"), F.lit(state).alias("market_state"), F.lit(amounts).alias("amount_state"), F.lit(tradable).cast("boolean").alias("tradable"))
 
     return (
-        F.when(price & bad, of("invalid_amount", "MISSING", "MISSING", False))
+        F.when(price & bad, of("invalid_amount", "MISSING", "MISSING", None))
         .when(price & suspended, of("price_suspended", "HALTED", "OBSERVED", False))
         .when(price, of("price", "TRADING", "OBSERVED", True))
         .when(suspended, of("suspended", "HALTED", "ZERO_AUTHORIZED", False))
-        .when(attribute, of("attribute_only", "MISSING", "MISSING", False))
+        .when(attribute, of("attribute_only", "MISSING", "MISSING", None))
         .otherwise(of("no_rows", "HALTED", "ZERO_AUTHORIZED", False))
     )
 
@@ -48,14 +48,18 @@ def active_sessions(calendar: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def daily_state(calendar: DataFrame, master: DataFrame, prices: DataFrame, attributes: DataFrame) -> DataFrame:
-    """A row for every active session or price row, classified. attributes: date, ticker, suspended."""
+    """A row for every active session or price row, classified. attributes: date, ticker, suspended.
+
+    tradable is null where the state is MISSING; amount is the traded value where it is observed, 0 where none is authorized, else null.
+    """
     keys = active_sessions(calendar, master).unionByName(prices.select("date", "ticker")).distinct()
     seen = prices.select("date", "ticker", "close", "traded_value", F.lit(True).alias("priced"))
     noted = attributes.select("date", "ticker", "suspended", F.lit(True).alias("noted"))
     rows = keys.join(seen, ["date", "ticker"], "left").join(noted, ["date", "ticker"], "left")
     no = F.lit(False)
     state = classify(F.coalesce("priced", no), F.coalesce("suspended", no), F.coalesce("noted", no), F.col("traded_value"))
-    return rows.select("date", "ticker", "close", "traded_value", state.alias("s")).select("date", "ticker", "close", "traded_value", "s.*")
+    amount = F.when(F.col("s.amount_state") == "OBSERVED", F.col("traded_value")).when(F.col("s.amount_state") == "ZERO_AUTHORIZED", 0.0)
+    return rows.select("date", "ticker", "close", "traded_value", state.alias("s")).select("date", "ticker", "close", "traded_value", "s.*", amount.alias("amount"))
 
 
 def identity_conflicts(prices: DataFrame, master: DataFrame) -> DataFrame:
@@ -80,10 +84,22 @@ def capability_audit(index: DataFrame) -> DataFrame:
 
 
 def security_panel(prices: DataFrame, master: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Per price row: adv20 over up to 20 own rows, whether listed and tradable, and the next session as effective_date."""
+    """Per price row: adv20 over up to 20 own rows, whether listed and tradable, and the next session as effective_date.
+
+    Where the calendar has a market column, it is the next session of the security's own market, null if that market has no calendar or no
+    session that day; a security without a market, and any under a calendar without one, goes by the sessions of all.
+    """
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-19, 0)
-    following = calendar.select("date", F.lead("date").over(Window.orderBy("date")).alias("effective_date"))
-    rows = prices.withColumn("adv20", F.avg(F.coalesce("traded_value", F.lit(0.0))).over(w)).join(F.broadcast(following), "date").join(master, "ticker", "left")
+    rows = prices.withColumn("adv20", F.avg(F.coalesce("traded_value", F.lit(0.0))).over(w)).join(master, "ticker", "left")
+    every = calendar.select("date").distinct().select("date", F.lead("date").over(Window.orderBy("date")).alias("__any"))
+    rows = rows.join(F.broadcast(every), "date", "left")
+    if "market" in calendar.columns:
+        own = calendar.select("date", F.trim("market").alias("__market")).distinct().withColumn("__own", F.lead("date").over(Window.partitionBy("__market").orderBy("date")))
+        market = F.when(F.trim("market") != "", F.trim("market"))
+        rows = rows.withColumn("__market", market).join(F.broadcast(own), ["date", "__market"], "left")
+        rows = rows.withColumn("effective_date", F.when(F.col("__market").isNull(), F.col("__any")).otherwise(F.col("__own"))).drop("__market", "__own", "__any")
+    else:
+        rows = rows.withColumnRenamed("__any", "effective_date")
     listed = (F.col("list_date") <= F.col("date")) & (F.col("delist_date").isNull() | (F.col("date") < F.col("delist_date")))
     return rows.withColumns({"listed": F.coalesce(listed, F.lit(False)), "tradable": F.coalesce(listed & (F.col("volume") > 0), F.lit(False))})
 

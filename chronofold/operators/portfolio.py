@@ -56,7 +56,8 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFram
 def candidate_audit(candidates: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every candidate under every rule, with the first reason that excludes it, or its rank, selection and weight.
 
-    candidates: formation_date, ticker, list_date, delist_date, known (in the master), main_industry, close, market_state, sum20, n20,
+    A security without a list_date counts as missing from the master; one without an industry is in no included and in no excluded industry.
+    candidates: formation_date, ticker, list_date, delist_date, main_industry, close, market_state, sum20, n20,
     index_sum20, adv20, market_cap and the signal columns. The rules are a small table, so all portfolios rank in one plan.
     """
     spark = candidates.sparkSession
@@ -67,13 +68,13 @@ def candidate_audit(candidates: DataFrame, rules: tuple[Rule, ...] = RULES) -> D
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     base = cascade(
         ("not_common", ~F.col("ticker").rlike("^[1-9][0-9]{3}$")),
-        ("missing_master", ~F.col("known")),
+        ("missing_master", F.col("list_date").isNull()),
         ("not_listed", F.col("list_date") > F.col("formation_date")),
         ("delisted", F.col("delist_date") <= F.col("formation_date")),
         ("invalid_close", ~(finite("close") & (F.col("close") > 0))),
         ("halted", F.col("market_state") == "HALTED"),
         ("missing_state", F.coalesce(F.col("market_state") == "MISSING", F.lit(True))),
-        ("industry_not_included", F.col("rule.include").isNotNull() & (F.col("main_industry") != F.col("rule.include"))),
+        ("industry_not_included", F.col("rule.include").isNotNull() & ~F.coalesce(F.col("main_industry") == F.col("rule.include"), F.lit(False))),
         ("industry_excluded", F.coalesce(F.col("main_industry") == F.col("rule.exclude"), F.lit(False))),
         ("no_signal", ~finite("value")),
         ("incomplete_window", F.coalesce(F.col("n20") != 20, F.lit(True))),
@@ -126,14 +127,18 @@ def way(start: int, target: int, k: int, n: int) -> int:
     return start + int(step if d >= 0 else -step)
 
 
-def allocate_buys(wanted: dict[str, int], prices: dict[str, Decimal], cash: Decimal) -> dict[str, int]:
-    """Whole shares to buy within cash: a floored common share, shrunk from the last ticker on until fees fit, then greedily one by one
-    where the order is least complete."""
+def allocate_buys(wanted: dict[str, int], prices: dict[str, Decimal], cash: Decimal, held: dict[str, int] | None = None, targets: dict[str, int] | None = None) -> dict[str, int]:
+    """Whole shares to buy within cash, all of them if it suffices.
+
+    Else each order gets the floor of the same share, cash by value without fees; from the last ticker on, shares go until fees fit too; then
+    they are added one by one where the position, held plus bought, is the smallest part of its target (ties by ticker) and the cash suffices.
+    """
+    held, targets = held or {}, targets or wanted
     cost = lambda t, n: prices[t] * n + charge(prices[t] * n, False)
-    total = sum((cost(t, n) for t, n in wanted.items() if n), Decimal(0))
-    if total <= cash:
+    if sum((cost(t, n) for t, n in wanted.items() if n), Decimal(0)) <= cash:
         return dict(wanted)
-    share = max(Decimal(0), cash / total)
+    value = sum((prices[t] * n for t, n in wanted.items()), Decimal(0))
+    share = max(Decimal(0), min(Decimal(1), cash / value)) if value > 0 else Decimal(0)
     out = {t: int((n * share).to_integral_value(rounding=ROUND_FLOOR)) for t, n in wanted.items()}
     spent = sum((cost(t, n) for t, n in out.items() if n), Decimal(0))
     while spent > cash:
@@ -143,7 +148,7 @@ def allocate_buys(wanted: dict[str, int], prices: dict[str, Decimal], cash: Deci
         spent += (cost(t, out[t] - 1) if out[t] > 1 else 0) - cost(t, out[t])
         out[t] -= 1
     while True:
-        for t in sorted((t for t in wanted if out[t] < wanted[t]), key=lambda t: (Decimal(out[t]) / wanted[t], t)):
+        for t in sorted((t for t in wanted if out[t] < wanted[t]), key=lambda t: ((held.get(t, 0) + out[t]) / max(1, targets.get(t, 0)), t)):
             more = cost(t, out[t] + 1) - (cost(t, out[t]) if out[t] else 0)
             if spent + more <= cash:
                 out[t] += 1
@@ -213,7 +218,7 @@ def simulate(days: pd.DataFrame, capital: Decimal) -> Iterator[tuple]:
             if sells[t]:
                 trade(t, -min(sells[t], shares.get(t, 0)), price[t], "sell")
         if buys:
-            for t, n in sorted(allocate_buys(buys, price, cash).items()):
+            for t, n in sorted(allocate_buys(buys, price, cash, shares, target).items()):
                 if n:
                     trade(t, n, price[t], "buy")
         for kind, t, n, at, cost in trades:
@@ -279,7 +284,7 @@ def allocation_plan(weights: dict[str, float], prices: dict[str, float], cash: f
             left += price[t] * n - fee_
             orders.append(Order(t, -n, float(price[t]), float(fee_)))
     wanted = {t: n - held.get(t, 0) for t, n in goal.items() if n > held.get(t, 0)}
-    for t, n in sorted(allocate_buys(wanted, price, left).items()) if wanted else []:
+    for t, n in sorted(allocate_buys(wanted, price, left, held, goal).items()) if wanted else []:
         if n:
             fee_ = charge(price[t] * n, False)
             left -= price[t] * n + fee_

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
 
 class ContractError(ValueError):
@@ -49,7 +50,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ca
     """For each left row the nearest right row before (or after) it, as columns `carry`.
 
     Both sides meet in one sort per `by` group instead of a range join. Of right rows with equal times the last by `tie` counts.
-    Left rows whose time is null match nothing.
+    Left rows whose time is null match nothing. Without `by`, a group is a bucket of time, and what the buckets before (or after) it
+    left last comes from a table with one row per bucket, the only rows that meet in one task.
     """
     payload = F.struct(*[F.col(c).alias(c) for c in carry])
     lows = left.select(*[F.col(c) for c in by], F.col(left_on).alias("__t"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("__right"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"__tie{k}") for k, c in enumerate(tie)])
@@ -59,9 +61,21 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ca
     side = F.when(F.col("__left").isNull() == F.lit(allow_exact), 0).otherwise(1)
     ties = [F.asc_nulls_first(f"__tie{k}") for k in range(len(tie))]
     order = [F.desc_nulls_last("__t") if forward else F.asc_nulls_first("__t"), side, *ties]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__found", F.last("__right", ignorenulls=True).over(w)).where("__left is not null")
     known = F.col("__t").isNotNull()
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("__found", F.last("__right", ignorenulls=True).over(w)).where("__left is not null")
+        return found.select("__left.*", *[F.when(known, F.col(f"__found.{c}")).alias(c) for c in carry])
+    kind = left.schema[left_on].dataType
+    cut = both.withColumn("__b", bucket_of(kind, F.col("__t")))
+    w = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = cut.withColumn("__found", F.last("__right", ignorenulls=True).over(w)).where("__left is not null")
+    last = [F.asc("__t") if forward else F.desc("__t"), *[F.desc_nulls_last(f"__tie{k}") for k in range(len(tie))]]
+    edges = latest_per_key(highs.withColumn("__b", bucket_of(kind, F.col("__t"))), ["__b"], last).select("__b", F.col("__right").alias("__edge"))
+    buckets = lows.select(bucket_of(kind, F.col("__t")).alias("__b")).where("__b is not null").distinct().join(edges, "__b", "full_outer")
+    beyond = Window.orderBy(F.desc("__b") if forward else F.asc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select("__b", F.last("__edge", ignorenulls=True).over(beyond).alias("__far"))
+    found = near.join(carried, "__b", "left").withColumn("__found", F.coalesce("__found", "__far"))
     return found.select("__left.*", *[F.when(known, F.col(f"__found.{c}")).alias(c) for c in carry])
 
 
@@ -103,6 +117,40 @@ def cascade(*rules: tuple[str, Column]) -> Column:
 
 
 def interval_join(points: DataFrame, spans: DataFrame, on: Sequence[str], point: str, low: str, high: str, open_low: bool = True) -> DataFrame:
-    """points joined with the spans of the same `on` that hold them: low < point <= high, or low <= point."""
+    """points joined with the spans of the same `on` that hold them: low < point <= high, or low <= point.
+
+    Both sides meet by bucket of the point's type (see bucket_of), a span once for each bucket it reaches into, so that a key's points
+    meet only the spans near them. Nulls match nothing.
+    """
     inside = (F.col(point) > F.col(low)) if open_low else (F.col(point) >= F.col(low))
-    return points.join(spans, list(on)).where(inside & (F.col(point) <= F.col(high)))
+    kind = points.schema[point].dataType
+    left = points.where(F.col(point).isNotNull()).withColumn("__b", bucket_of(kind, F.col(point)))
+    right = spans.where(F.col(low) <= F.col(high)).withColumn("__b", F.explode(buckets_between(kind, F.col(low), F.col(high))))
+    return left.join(right, [*on, "__b"]).where(inside & (F.col(point) <= F.col(high))).drop("__b")
+
+
+def without_overlap(rows: DataFrame, held: DataFrame, on: Sequence[str], span: tuple[str, str], held_span: tuple[str, str]) -> DataFrame:
+    """rows whose closed span meets none of held's of the same `on`. Rows with a null end stay; repeated rows stay or go together."""
+    kind = rows.schema[span[0]].dataType
+    numbered = rows.withColumn("__key", F.struct(*on, *span))
+    mine = numbered.select("__key", *on, *span).distinct().where(F.col(span[0]) <= F.col(span[1])).withColumn("__b", F.explode(buckets_between(kind, F.col(span[0]), F.col(span[1]))))
+    other = held.select(*on, *held_span).distinct().where(F.col(held_span[0]) <= F.col(held_span[1])).withColumn("__b", F.explode(buckets_between(kind, F.col(held_span[0]), F.col(held_span[1]))))
+    met = mine.join(other, [*on, "__b"]).where((F.col(span[0]) <= F.col(held_span[1])) & (F.col(span[1]) >= F.col(held_span[0]))).select("__key").distinct()
+    return numbered.join(met, "__key", "left_anti").drop("__key")
+
+
+#: Whole numbers that share a bucket.
+BUCKET = 64
+
+
+def bucket_of(kind: DataType, c: Column) -> Column:
+    """A coarse bucket that keeps the order of c: the month of a date, the day of a timestamp, BUCKET neighbouring numbers."""
+    if isinstance(kind, DateType):
+        return F.year(c) * 12 + F.month(c)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+    return F.floor(c / BUCKET).cast("long")
+
+
+def buckets_between(kind: DataType, low: Column, high: Column) -> Column:
+    return F.sequence(bucket_of(kind, low), bucket_of(kind, high))

@@ -21,7 +21,7 @@ def formations(v: Views) -> DataFrame:
     return v.calendar.groupBy("month").agg(F.max("date").alias("formation_date")).select("formation_date")
 
 
-@query("p01_normalize_family", "SELECT CAST(d AS DATE) AS date, ticker, CAST(price AS DOUBLE) AS price, CASE WHEN trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE etf_id END) = '' THEN true ELSE false END AS is_trading_day FROM fx_orders WHERE o_orderkey % 10 = 0")
+@query("p01_normalize_family", "SELECT CAST(d AS DATE) AS date, ticker, CAST(price AS DOUBLE) AS price, CASE WHEN trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE etf_id END) = '' THEN true ELSE false END AS is_trading_day FROM fx_orders")
 def p01(v: Views) -> DataFrame:
     raw = v.orders.select(F.date_format("d", "yyyy-MM-dd").alias("mdate"), F.col("ticker").alias("coid"), F.col("price").cast("string").alias("amt"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("etf_id")).alias("rmk"))
     return raw.select(F.to_date("mdate").alias("date"), F.col("coid").alias("ticker"), F.col("amt").try_cast("double").alias("price"), (F.trim("rmk") == "").alias("is_trading_day"))
@@ -79,7 +79,7 @@ def p09(v: Views) -> DataFrame:
 
 
 WIDE_SQL = """SELECT CAST(1101 + p_partkey % 40 AS VARCHAR) AS ticker, p_partkey AS row_no, CASE WHEN p_partkey % 2 = 0 THEN DATE '1996-01-01' + CAST(p_partkey % 1500 AS INTEGER) END AS q1_date, 1.0 + p_size % 5 AS q1_cash,
-  CASE WHEN p_partkey % 5 = 0 THEN DATE '1997-01-01' + CAST(p_partkey % 900 AS INTEGER) END AS q2_date, 2.0 AS q2_cash, CASE WHEN p_partkey % 7 = 0 THEN DATE '1998-03-02' + CAST(p_partkey % 700 AS INTEGER) END AS stock_date, 0.5 * (p_size % 4) AS stock_value FROM part WHERE p_partkey < 400"""
+  CASE WHEN p_partkey % 5 = 0 THEN DATE '1997-01-01' + CAST(p_partkey % 900 AS INTEGER) END AS q2_date, 2.0 AS q2_cash, CASE WHEN p_partkey % 7 = 0 THEN DATE '1998-03-02' + CAST(p_partkey % 700 AS INTEGER) END AS stock_date, 0.5 * (p_size % 4) AS stock_value FROM part"""
 
 
 def wide(v: Views) -> DataFrame:
@@ -89,19 +89,19 @@ def wide(v: Views) -> DataFrame:
     return v.table("part").select((1101 + k % 40).cast("string").alias("ticker"), k.alias("row_no"), F.when(k % 2 == 0, day("1996-01-01", 1500)).alias("q1_date"), (1.0 + F.col("p_size") % 5).alias("q1_cash"), F.when(k % 5 == 0, day("1997-01-01", 900)).alias("q2_date"), F.lit(2.0).alias("q2_cash"), none.cast("date").alias("q3_date"), none.cast("double").alias("q3_cash"), none.cast("date").alias("q4_date"), none.cast("double").alias("q4_cash"), F.when(k % 7 == 0, day("1998-03-02", 700)).alias("stock_date"), (0.5 * (F.col("p_size") % 4)).alias("stock_value"))
 
 
-DIVIDEND_SQL = f"""SELECT ticker, ex_date, kind, cash, ratio FROM (SELECT *, row_number() OVER (PARTITION BY ticker, ex_date, kind ORDER BY row_no DESC) AS n FROM (
-  SELECT ticker, row_no, q1_date AS ex_date, 'cash' AS kind, CAST(q1_cash AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS ratio FROM ({WIDE_SQL}) UNION ALL SELECT ticker, row_no, q2_date, 'cash', CAST(q2_cash AS DOUBLE), 0 FROM ({WIDE_SQL})
-  UNION ALL SELECT ticker, row_no, stock_date, 'stock', 0, CAST(stock_value AS DOUBLE) / 10 FROM ({WIDE_SQL})) WHERE ex_date IS NOT NULL AND (cash > 0 OR ratio > 0)) WHERE n = 1"""
+DIVIDEND_SQL = f"""SELECT ticker, ex_date, kind, cash, ratio FROM (SELECT *, row_number() OVER (PARTITION BY ticker, ex_date, kind ORDER BY row_no DESC, quarter DESC) AS n FROM (
+  SELECT ticker, row_no, 1 AS quarter, q1_date AS ex_date, 'cash' AS kind, CAST(q1_cash AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS ratio FROM ({WIDE_SQL}) UNION ALL SELECT ticker, row_no, 2, q2_date, 'cash', CAST(q2_cash AS DOUBLE), 0 FROM ({WIDE_SQL})
+  UNION ALL SELECT ticker, row_no, 0, stock_date, 'stock', 0, CAST(stock_value AS DOUBLE) / 10 FROM ({WIDE_SQL})) WHERE ex_date IS NOT NULL AND (cash > 0 OR ratio > 0)) WHERE n = 1"""
 
 
-# q1 and q2 can name the same date in one row; the last quarter wins. The SQL has only the stock dividends.
-@query("q01_dividend_events", f"SELECT ticker, ex_date, kind, max(cash) AS cash, max(ratio) AS ratio FROM ({DIVIDEND_SQL}) WHERE kind = 'stock' GROUP BY 1, 2, 3")
+# q1 and q2 can name the same date in one row; the last quarter wins.
+@query("q01_dividend_events", f"SELECT ticker, ex_date, kind, cash, ratio FROM ({DIVIDEND_SQL})")
 def q01(v: Views) -> DataFrame:
     return corporate.dividend_events(wide(v)).select("ticker", "ex_date", "kind", "cash", "ratio")
 
 
-CAPITAL_SQL = """SELECT CAST(1101 + p_partkey % 40 AS VARCHAR) AS ticker, DATE '1996-06-03' + CAST(p_partkey AS INTEGER) AS date, CASE WHEN p_partkey % 9 = 0 THEN 10.0 * (1 + p_size % 5) END AS reduce_pct, CASE WHEN p_partkey % 11 = 0 THEN 2.0 END AS split_new,
-  CASE WHEN p_partkey % 11 = 0 THEN 1.0 END AS split_old, CASE WHEN p_partkey % 13 = 0 THEN p_retailprice END AS last_close, CASE WHEN p_partkey % 13 = 0 THEN p_retailprice - 100 END AS reference FROM part WHERE p_partkey < 400"""
+CAPITAL_SQL = """SELECT CAST(1101 + p_partkey % 40 AS VARCHAR) AS ticker, DATE '1996-06-03' + CAST(p_partkey % 2000 AS INTEGER) AS date, CASE WHEN p_partkey % 9 = 0 THEN 10.0 * (1 + p_size % 5) END AS reduce_pct, CASE WHEN p_partkey % 11 = 0 THEN 2.0 END AS split_new,
+  CASE WHEN p_partkey % 11 = 0 THEN 1.0 END AS split_old, CASE WHEN p_partkey % 13 = 0 THEN p_retailprice END AS last_close, CASE WHEN p_partkey % 13 = 0 THEN p_retailprice - 100 END AS reference FROM part"""
 
 
 def capital_rows(v: Views) -> DataFrame:
@@ -119,7 +119,7 @@ def q02(v: Views) -> DataFrame:
     return corporate.capital_actions(capital_rows(v)).select("ticker", "date", "kind", F.round("factor", 9).alias("factor"))
 
 
-@query("q03_unified_actions", f"SELECT ticker, ex_date AS date, kind, cash, round(1 + ratio, 9) AS factor FROM ({DIVIDEND_SQL}) WHERE kind = 'stock' UNION ALL SELECT ticker, date, kind, 0, round(factor, 9) FROM ({CAPITAL_EVENTS})")
+@query("q03_unified_actions", f"SELECT ticker, ex_date AS date, kind, cash, round(1 + ratio, 9) AS factor FROM ({DIVIDEND_SQL}) UNION ALL SELECT ticker, date, kind, 0, round(factor, 9) FROM ({CAPITAL_EVENTS})")
 def q03(v: Views) -> DataFrame:
     return corporate.corporate_actions(corporate.dividend_events(wide(v)), corporate.capital_actions(capital_rows(v))).withColumn("factor", F.round("factor", 9))
 
@@ -131,17 +131,25 @@ def price_actions(v: Views) -> DataFrame:
     return actions.unionByName(cash)
 
 
-@query("q04_adjusted_prices", f"""WITH a AS (SELECT ticker, ex_date AS date, 0.0 AS cash, 1 + ratio AS factor FROM ({DIVIDEND_SQL}) WHERE kind = 'stock' UNION ALL SELECT ticker, date, 0, factor FROM ({CAPITAL_EVENTS}) UNION ALL SELECT ticker, period, 50.0, 1 FROM fx_sales WHERE revision = 2),
+FACTOR_SQL = f"""WITH a AS (SELECT ticker, ex_date AS date, cash, 1 + ratio AS factor FROM ({DIVIDEND_SQL}) UNION ALL SELECT ticker, date, 0, factor FROM ({CAPITAL_EVENTS}) UNION ALL SELECT ticker, period, 50.0, 1 FROM fx_sales WHERE revision = 2),
   m AS (SELECT a.ticker, p.date, sum(a.cash) AS cash, sum(ln(a.factor)) AS lf FROM a ASOF JOIN fx_price p ON p.ticker = a.ticker AND a.date <= p.date GROUP BY 1, 2),
-  r AS (SELECT p.date, p.ticker, p.close, coalesce(m.lf, 0) AS lf, m.cash, lag(p.close) OVER (PARTITION BY p.ticker ORDER BY p.date) AS prev FROM fx_price p LEFT JOIN m ON m.ticker = p.ticker AND m.date = p.date)
-  SELECT date, ticker, round(exp(sum(lf + CASE WHEN cash > 0 AND prev > cash THEN ln(prev / (prev - cash)) ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date)), 6) AS factor FROM r""")
+  r AS (SELECT p.date, p.ticker, p.close, coalesce(m.lf, 0) AS lf, m.cash, lag(p.close) OVER (PARTITION BY p.ticker ORDER BY p.date) AS prev FROM fx_price p LEFT JOIN m ON m.ticker = p.ticker AND m.date = p.date),
+  f AS (SELECT date, ticker, round(exp(sum(lf + CASE WHEN cash > 0 AND prev > cash THEN ln(prev / (prev - cash)) ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date)), 6) AS factor FROM r)
+  SELECT date, ticker, factor FROM f"""
+
+
+@query("q04_adjusted_prices", FACTOR_SQL)
 def q04(v: Views) -> DataFrame:
     return corporate.adjustment_factors(v.price, price_actions(v)).select("date", "ticker", F.round("factor", 6).alias("factor"))
 
 
-@query("q06_price_validator", "SELECT count(*) AS rows, count(*) FILTER (WHERE adj_close IS NULL) AS missing, count(*) FILTER (WHERE adj_close > close) AS above, count(*) FILTER (WHERE close <= 0) AS bad FROM fx_price")
+@query("q06_price_validator", """SELECT count(*) AS rows, count(*) FILTER (WHERE (close IS NULL) <> (adj_close IS NULL)) AS null_mismatch, count(*) FILTER (WHERE abs(adj_close - close * factor) > greatest(1e-8, 1e-10 * abs(close * factor))) AS product_off,
+  count(*) FILTER (WHERE NOT (low <= least(open, close) AND greatest(open, close) <= high)) AS disordered, count(*) FILTER (WHERE NOT factor > 0) AS bad_factor, count(*) FILTER (WHERE close <= 0) AS bad_close FROM
+  (SELECT CASE WHEN session_idx % 7 = 0 THEN NULL ELSE close END AS close, adj_close, close AS open, close * 1.25 AS high, CASE WHEN session_idx % 5 = 0 THEN close * 1.5 ELSE close * 0.75 END AS low, CASE WHEN session_idx % 3 = 0 THEN 0 ELSE adj_close / close END AS factor FROM fx_dense WHERE close IS NOT NULL)""")
 def q06(v: Views) -> DataFrame:
-    return v.price.agg(F.count("*").alias("rows"), F.count_if(F.col("adj_close").isNull()).alias("missing"), F.count_if(F.col("adj_close") > F.col("close")).alias("above"), F.count_if(F.col("close") <= 0).alias("bad"))
+    k, close = F.col("session_idx"), F.col("close")
+    rows = v.dense.where("close is not null").select("date", "ticker", F.when(k % 7 != 0, close).alias("close"), "adj_close", close.alias("open"), (close * 1.25).alias("high"), F.when(k % 5 == 0, close * 1.5).otherwise(close * 0.75).alias("low"), F.when(k % 3 == 0, 0.0).otherwise(F.col("adj_close") / close).alias("factor"))
+    return corporate.price_violations(rows)
 
 
 @query("q08_restart_dates", "SELECT ticker, min(date) AS start FROM (SELECT ticker, available AS date FROM fx_sales WHERE revision = 2 UNION ALL SELECT ticker, date FROM fx_price WHERE volume > 500) GROUP BY 1")
@@ -155,7 +163,7 @@ STATE_SQL = """SELECT k.date, k.ticker, p.close, p.traded_value, CASE WHEN p.clo
 
 
 @query("m01_daily_state", f"""SELECT date, ticker, close, traded_value, reason, CASE reason WHEN 'price' THEN 'TRADING' WHEN 'attribute_only' THEN 'MISSING' ELSE 'HALTED' END AS market_state,
-  CASE reason WHEN 'price' THEN 'OBSERVED' WHEN 'price_suspended' THEN 'OBSERVED' WHEN 'attribute_only' THEN 'MISSING' ELSE 'ZERO_AUTHORIZED' END AS amount_state, reason = 'price' AS tradable FROM ({STATE_SQL})""")
+  CASE reason WHEN 'price' THEN 'OBSERVED' WHEN 'price_suspended' THEN 'OBSERVED' WHEN 'attribute_only' THEN 'MISSING' ELSE 'ZERO_AUTHORIZED' END AS amount_state, CASE reason WHEN 'price' THEN true WHEN 'attribute_only' THEN NULL ELSE false END AS tradable, CASE WHEN close IS NOT NULL THEN traded_value WHEN reason <> 'attribute_only' THEN 0 END AS amount FROM ({STATE_SQL})""")
 def m01(v: Views) -> DataFrame:
     mark = F.col("session_idx") + number("ticker")
     attributes = v.dense.where(mark % 3 != 1).select("date", "ticker", (mark % 11 == 0).alias("suspended"))
@@ -172,12 +180,14 @@ def m05(v: Views) -> DataFrame:
     return v.state.agg(F.count_if((F.col("market_state") == "TRADING") & F.col("close").isNull()).alias("trading_without_price"), F.count_if((F.col("market_state") != "TRADING") & F.col("tradable")).alias("wrongly_tradable"), (F.count("*") - F.count_distinct("date", "ticker")).alias("repeated"))
 
 
-PANEL_SQL = """SELECT p.date, p.ticker, avg(p.traded_value) OVER (PARTITION BY p.ticker ORDER BY p.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS adv20, c.effective_date, m.list_date <= p.date AND (m.delist_date IS NULL OR p.date < m.delist_date) AS listed, p.market_cap, m.main_industry
-  FROM fx_price p JOIN (SELECT date, lead(date) OVER (ORDER BY date) AS effective_date FROM fx_calendar) c ON c.date = p.date LEFT JOIN fx_master m ON m.ticker = p.ticker"""
+PANEL_SQL = """SELECT p.date, p.ticker, avg(p.traded_value) OVER (PARTITION BY p.ticker ORDER BY p.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS adv20, CASE WHEN m.market IS NULL THEN g.effective_date ELSE c.effective_date END AS effective_date, m.list_date <= p.date AND (m.delist_date IS NULL OR p.date < m.delist_date) AS listed, p.market_cap, m.main_industry
+  FROM fx_price p LEFT JOIN fx_master m ON m.ticker = p.ticker LEFT JOIN (SELECT date, lead(date) OVER (ORDER BY date) AS effective_date FROM fx_calendar) g ON g.date = p.date
+  LEFT JOIN (SELECT date, market, lead(date) OVER (PARTITION BY market ORDER BY date) AS effective_date FROM (SELECT date, 'TSE' AS market FROM fx_calendar UNION ALL SELECT date, 'OTC' FROM fx_calendar WHERE session_idx % 9 <> 4)) c ON c.date = p.date AND c.market = m.market"""
 
 
 def panel(v: Views) -> DataFrame:
-    return market.security_panel(v.price, v.master, v.calendar)
+    days = v.calendar.withColumn("market", F.explode(F.when(F.col("session_idx") % 9 == 4, F.array(F.lit("TSE"))).otherwise(F.array(F.lit("TSE"), F.lit("OTC")))))
+    return market.security_panel(v.price, v.master, days)
 
 
 @query("n01_latest_panel", f"SELECT ticker, round(adv20, 4) AS adv20, listed FROM ({PANEL_SQL}) WHERE date = (SELECT max(date) FROM fx_price)")
@@ -374,7 +384,7 @@ def l02(v: Views) -> DataFrame:
     return labelled(v).select("etf_id", "bar", labels.split_of(F.col("t0"), F.col("t1"), "1998-12-31", "2000-06-30").alias("split"))
 
 
-UNIQUE_SQL = f"""WITH s AS (SELECT e.etf_id, e.bar, c.date FROM ({LABEL_SQL}) e JOIN fx_curve c ON c.etf_id = e.etf_id AND c.date > e.t0 AND c.date <= e.t1), n AS (SELECT etf_id, date, count(*) AS c FROM s GROUP BY 1, 2)
+UNIQUE_SQL = f"""WITH s AS (SELECT e.etf_id, e.bar, c.date FROM ({LABEL_SQL}) e JOIN fx_curve c ON c.etf_id = e.etf_id AND c.date >= e.t0 AND c.date <= e.t1), n AS (SELECT etf_id, date, count(*) AS c FROM s GROUP BY 1, 2)
   SELECT s.etf_id, s.bar, arg_min(n.c, s.date) AS at_start, max(n.c) AS most, round(avg(1.0 / n.c), 9) AS uniqueness FROM s JOIN n ON n.etf_id = s.etf_id AND n.date = s.date GROUP BY 1, 2"""
 
 
@@ -440,12 +450,13 @@ def v05(v: Views) -> DataFrame:
     return v.bar.groupBy("etf_id").agg(F.count("*").alias("bars"), enough.alias("enough"), short.alias("short_enough"), (enough & short).alias("ready"))
 
 
-@query("q05_resumed_factors", "SELECT date, ticker, round(2.0 * exp(sum(0.0) OVER (PARTITION BY ticker ORDER BY date)), 9) AS factor FROM fx_price WHERE date >= DATE '2000-01-03'")
+# A resumed run gives what the whole one gives, which the SQL makes.
+@query("q05_resumed_factors", f"{FACTOR_SQL} WHERE date >= DATE '2000-01-03'")
 def q05(v: Views) -> DataFrame:
     actions, cut = price_actions(v), "date'2000-01-03'"
     past = corporate.adjustment_factors(v.price.where(f"date < {cut}"), actions)
     seeds = past.groupBy("ticker").agg(F.max_by("factor", "date").alias("factor"), F.max_by("close", "date").alias("close"), F.max("date").alias("date"))
-    return corporate.resume_factors(v.price.where(f"date >= {cut}"), actions, seeds).select("date", "ticker", F.round("factor", 9).alias("factor"))
+    return corporate.resume_factors(v.price.where(f"date >= {cut}"), actions, seeds).select("date", "ticker", F.round("factor", 6).alias("factor"))
 
 
 @query("m03_identity_conflicts", "SELECT p.date, p.ticker, CASE WHEN m.market IS NULL THEN 'emerging' ELSE 'outside_lifecycle' END AS reason FROM fx_price p JOIN fx_master m ON m.ticker = p.ticker WHERE m.market IS NULL OR p.date < m.list_date OR p.date >= m.delist_date")
@@ -466,10 +477,9 @@ def v04(v: Views) -> DataFrame:
     return market.capability_audit(v.index)
 
 
-@query("v06_coverage_regression", "SELECT extract(year FROM c.date) AS year, count(*) AS sessions, count(p.date) AS covered FROM fx_calendar c LEFT JOIN (SELECT DISTINCT date FROM fx_price WHERE ticker = '1105') p ON p.date = c.date GROUP BY 1")
+@query("v06_coverage_regression", "SELECT t.ticker, extract(year FROM c.date) AS year, count(*) AS sessions, count(p.date) AS covered FROM fx_calendar c CROSS JOIN (SELECT DISTINCT ticker FROM fx_price) t LEFT JOIN fx_price p ON p.date = c.date AND p.ticker = t.ticker GROUP BY 1, 2")
 def v06(v: Views) -> DataFrame:
-    seen = v.price.where("ticker = '1105'").select("date", F.lit(1).alias("seen")).distinct()
-    return v.calendar.join(seen, "date", "left").groupBy(F.year("date").cast("long").alias("year")).agg(F.count("*").alias("sessions"), F.count("seen").alias("covered"))
+    return v.dense.groupBy("ticker", F.year("date").cast("long").alias("year")).agg(F.count("*").alias("sessions"), F.count("close").alias("covered"))
 
 
 @query("l07_feature_sidecars", """WITH f AS (SELECT h.date, h.etf_id, CASE WHEN count(*) = count(c.fund) THEN sum(h.w * c.fund) END AS flow FROM fx_holding h LEFT JOIN fx_chip c ON c.date = h.date AND c.ticker = h.ticker GROUP BY 1, 2),
@@ -493,13 +503,13 @@ def l08(v: Views) -> DataFrame:
     return R.checked_join(bars_, v.curve.select("etf_id", "date", "nav"), ["etf_id", "date"], "inner1", "1:1").select("etf_id", "bar", "nav", "date")
 
 
-@query("s03_per_key_ranges", "SELECT ticker, count(*) AS n, arg_max(close, date) AS last_close FROM fx_price WHERE ticker LIKE '11_1' AND date < DATE '1999-01-01' GROUP BY 1")
+@query("s03_per_key_ranges", "SELECT ticker, count(*) AS n, min(date) AS first_date, max(date) AS last_date, arg_max(close, date) AS last_close FROM fx_price GROUP BY 1")
 def s03(v: Views) -> DataFrame:
-    """Fan-out over tickers by a pattern, with the last row before a date as seed, in one scan."""
-    return v.price.where(F.col("ticker").like("11_1") & (F.col("date") < "1999-01-01")).groupBy("ticker").agg(F.count("*").alias("n"), F.max_by("close", "date").alias("last_close"))
+    """Fan-out over all tickers, each with its dates and its last row as seed, in one scan."""
+    return v.price.groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_close"))
 
 
-@query("s07_rename_and_normalize", "SELECT o_orderkey AS order_id, strftime(d, '%Y-%m-%d') AS mdate, CASE WHEN ticker = '1110' THEN NULL ELSE CAST(price AS DOUBLE) END AS amt FROM fx_orders WHERE o_orderkey % 7 = 0")
+@query("s07_rename_and_normalize", "SELECT o_orderkey AS order_id, strftime(d, '%Y-%m-%d') AS mdate, CASE WHEN ticker = '1110' THEN NULL ELSE CAST(price AS DOUBLE) END AS amt FROM fx_orders")
 def s07(v: Views) -> DataFrame:
     raw = v.orders.select(F.col("o_orderkey").alias("order_id"), F.date_format("d", "yyyy-MM-dd").alias("mdate"), F.when(F.col("ticker") == "1110", float("nan")).otherwise(F.col("price").cast("double")).alias("amt"))
     return raw.withColumn("amt", F.when(~F.isnan("amt"), F.col("amt")))

@@ -144,10 +144,10 @@ def j17(v: Views) -> DataFrame:
     return pairs.groupBy("etf_id", F.col("own").alias("bar")).agg(F.max(F.ln(F.col("high") / F.col("entry"))).alias("best"), F.min(F.ln(F.col("low") / F.col("entry"))).alias("worst"))
 
 
-@query("j18_purge_overlapping", "SELECT etf_id, bar FROM fx_bar a WHERE bar < 100 AND NOT EXISTS (SELECT 1 FROM fx_bar b WHERE b.etf_id = '1-URGENT' AND b.bar BETWEEN 40 AND 50 AND a.start_date <= b.end_date AND a.end_date >= b.start_date)")
+@query("j18_purge_overlapping", "SELECT etf_id, bar FROM fx_bar a WHERE NOT EXISTS (SELECT 1 FROM fx_bar b WHERE b.bar % 20 = 7 AND b.etf_id = a.etf_id AND a.start_date <= b.end_date AND a.end_date >= b.start_date)")
 def j18(v: Views) -> DataFrame:
-    held = v.bar.where("etf_id = '1-URGENT' and bar between 40 and 50").select(F.col("start_date").alias("s1"), F.col("end_date").alias("e1"))
-    return v.bar.join(F.broadcast(held), (F.col("start_date") <= F.col("e1")) & (F.col("end_date") >= F.col("s1")), "left_anti").select("etf_id", "bar")
+    held = v.bar.where("bar % 20 = 7").select("etf_id", F.col("start_date").alias("held_from"), F.col("end_date").alias("held_to"))
+    return R.without_overlap(v.bar, held, ["etf_id"], ("start_date", "end_date"), ("held_from", "held_to")).select("etf_id", "bar")
 
 
 @query("j19_lifecycle_sessions", "SELECT c.date, m.ticker, p.close FROM fx_calendar c JOIN fx_master m ON m.list_date <= c.date AND (m.delist_date IS NULL OR c.date < m.delist_date) LEFT JOIN fx_price p ON p.date = c.date AND p.ticker = m.ticker")
@@ -253,7 +253,7 @@ def o04(v: Views) -> DataFrame:
     return R.latest_per_key(v.sales, ["ticker", "period"], [F.desc("available"), F.desc("row_id")]).select("ticker", "period", "row_id", "r18")
 
 
-@query("o05_first_legal_open", "SELECT b.etf_id, b.bar, min(s.date) AS entry_date FROM fx_bar b JOIN fx_state s ON s.date > b.end_date AND s.date <= b.end_date + 60 WHERE s.ticker = '1113' AND s.tradable GROUP BY 1, 2")
+@query("o05_first_legal_open", "SELECT b.etf_id, b.bar, s.ticker, min(s.date) AS entry_date FROM fx_bar b JOIN fx_state s ON s.date > b.end_date AND s.date <= b.end_date + 60 WHERE s.tradable GROUP BY 1, 2, 3")
 def o05(v: Views) -> DataFrame:
     legal = v.state.where("tradable").select("ticker", F.col("date").alias("entry_date"))
     wanted = v.bar.select("etf_id", "bar", "end_date").join(F.broadcast(v.master.select("ticker")))
@@ -298,7 +298,7 @@ def u04(v: Views) -> DataFrame:
     return R.soft_delete(own.where("date < date'1998-01-01'").select("ticker").distinct(), own.where("date >= date'2001-07-01'").select("ticker").distinct(), ["ticker"], "no_longer_selected")
 
 
-@query("u05_prepend_earlier", "SELECT etf_id, bar, 'old' AS origin FROM fx_bar WHERE bar < 30 UNION ALL SELECT etf_id, bar, 'new' FROM fx_bar WHERE bar >= 30 AND bar < 60")
+@query("u05_prepend_earlier", "SELECT etf_id, bar, 'old' AS origin FROM fx_bar WHERE bar < 30 UNION ALL SELECT etf_id, bar, 'new' FROM fx_bar WHERE bar >= 30")
 def u05(v: Views) -> DataFrame:
     new = v.bar.where("bar >= 30").select("etf_id", "bar", F.lit("new").alias("origin"))
     least = new.groupBy("etf_id").agg(F.min("bar").alias("least"))

@@ -120,7 +120,7 @@ def t13h(v: Views) -> DataFrame:
     return v.spark.createDataFrame(list(weights.items()), "etf_id string, weight double")
 
 
-@query("t14_sharpe_evidence", f"SELECT count(ret) AS n, round(avg(ret) / stddev_samp(ret), 9) AS sharpe, round(skewness(ret), 6) AS skew, round(kurtosis(ret) + 3, 5) AS kurtosis FROM ({RETURN_SQL}) WHERE etf_id = '1-URGENT'")
+@query("t14_sharpe_evidence", f"SELECT etf_id, count(ret) AS n, round(avg(ret) / stddev_samp(ret), 9) AS sharpe, round(skewness(ret), 6) AS skew, round(kurtosis(ret) + 3, 5) AS kurtosis FROM ({RETURN_SQL}) GROUP BY 1")
 def t14(v: Views) -> DataFrame:
     returns = daily_returns(v)
     ids = [r.etf_id for r in v.orders.select("etf_id").distinct().orderBy("etf_id").collect()]

@@ -1,51 +1,14 @@
-"""Queries over every row of their tables, against DuckDB over the same rows without the caps of the registered SQL."""
+"""Queries over every row of their tables."""
 
 import datetime
 
-import duckdb
-import pytest
-from test_queries import SF, TABLES, rows
+from test_queries import SF, rows
 
 from chronofold.operators import corporate
-from chronofold.plans.registry import ORACLE_SQL, QUERIES
+from chronofold.plans.registry import QUERIES
 from chronofold.plans.views import Views
 
 
-@pytest.fixture(scope="module")
-def con():
-    c = duckdb.connect()
-    c.sql("set timezone='UTC'")
-    for t in TABLES:
-        c.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    return c
-
-
-def whole_actions(sql):
-    """The SQL over all of part and both kinds of dividend, capital actions on folded days; the last quarter of a row wins."""
-    sql = sql.replace(" WHERE kind = 'stock'", "").replace("SELECT ticker, row_no, q1_date AS ex_date", "SELECT ticker, row_no, 1 AS quarter, q1_date AS ex_date").replace("SELECT ticker, row_no, q2_date", "SELECT ticker, row_no, 2, q2_date").replace("ex_date AS date, 0.0 AS cash", "ex_date AS date, cash")
-    sql = sql.replace("SELECT ticker, row_no, stock_date", "SELECT ticker, row_no, 0, stock_date").replace("ORDER BY row_no DESC)", "ORDER BY row_no DESC, quarter DESC)")
-    return sql.replace(" WHERE p_partkey < 400", "").replace("DATE '1996-06-03' + CAST(p_partkey AS INTEGER)", "DATE '1996-06-03' + CAST(p_partkey % 2000 AS INTEGER)")
-
-
-@pytest.mark.parametrize("name", ["q01_dividend_events", "q02_capital_actions", "q03_unified_actions", "q04_adjusted_prices"])
-def test_actions_of_every_part(name, spark, con):
-    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(whole_actions(ORACLE_SQL[name])).df())
-
-
-@pytest.mark.parametrize("name", ["p01_normalize_family", "s07_rename_and_normalize"])
-def test_normalizes_every_order(name, spark, con):
-    whole = ORACLE_SQL[name].replace(" WHERE o_orderkey % 10 = 0", "").replace(" WHERE o_orderkey % 7 = 0", "")
-    got = QUERIES[name](spark, SF).toPandas()
-    assert len(got) == con.sql("select count(*) from orders").fetchall()[0][0]
-    assert rows(got) == rows(con.sql(whole).df())
-
-
-@pytest.mark.parametrize("name", ["u05_prepend_earlier", "j18_purge_overlapping"])
-def test_bars_without_an_upper_end(name, spark, con):
-    whole = ORACLE_SQL[name].replace(" AND bar < 60", "").replace("bar < 100 AND ", "")
-    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(whole).df())
-
-
 def test_prepend_keeps_series_without_new_bars(spark):
     small = SF.replace("sf0.01", "sf0.001")
     bars = Views(spark, small).bar
@@ -75,19 +38,3 @@ def test_resume_moves_actions_between_the_rows(spark):
     seeds = spark.createDataFrame([("1", 2.0, 10.0, day(2020, 1, 2))], "ticker string, factor double, close double, date date")
     got = corporate.resume_factors(prices.where("date > date'2020-01-02'"), actions, seeds)
     assert [round(r.factor, 9) for r in got.orderBy("date").collect()] == [round(r.factor, 9) for r in whole.orderBy("date").collect()]
-
-
-def test_first_legal_open_of_every_ticker(spark, con):
-    whole = ORACLE_SQL["o05_first_legal_open"].replace("SELECT b.etf_id, b.bar, min(s.date)", "SELECT b.etf_id, b.bar, s.ticker, min(s.date)").replace("s.ticker = '1113' AND ", "").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
-    # the views in front have a GROUP BY 1, 2 as well
-    whole = whole.replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2", whole.count("GROUP BY 1, 2, 3") - 1)
-    got = QUERIES["o05_first_legal_open"](spark, SF).toPandas()
-    assert got.ticker.nunique() == 40
-    assert rows(got) == rows(con.sql(whole).df())
-
-
-def test_evidence_of_every_strategy(spark, con):
-    whole = ORACLE_SQL["t14_sharpe_evidence"].replace("SELECT count(ret) AS n", "SELECT etf_id, count(ret) AS n").replace(" WHERE etf_id = '1-URGENT'", " GROUP BY etf_id")
-    got = QUERIES["t14_sharpe_evidence"](spark, SF).toPandas()
-    assert len(got) == 5
-    assert rows(got) == rows(con.sql(whole).df())
