@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.statistics import expected_best_sharpe, probabilistic_sharpe
 from chronofold.operators import bars, corporate, labels, models, pit, structure
+from chronofold.operators import market as market_ops
 from chronofold.operators import portfolio as P
 from chronofold.operators import relational as R
 
@@ -211,3 +212,78 @@ def test_outcomes_stay_out_of_decisions(spark):
         models.forbid_outcomes(spark.createDataFrame([(1, 2)], "bar int, t1 int"))
     assert models.acceptance(True, [True, True], True, ["equal_capital", "inverse_vol", "hrp"], 0.97)["status"] == "PAPER_TRADE_ELIGIBLE"
     assert models.acceptance(True, [True, False], True, [], None)["missing"] == ["tier3_passed", "all_policies", "dsr", "dsr_at_least_0_95"]
+
+
+def _nearest(rows, x, forward, exact):
+    near = [r for r in rows if r[0] is not None and (r[0] == x and exact or (r[0] > x if forward else r[0] < x))]
+    return (min if forward else max)(near, key=lambda r: (r[0], -r[1] if forward else r[1]), default=(None, None))[1]
+
+
+@pytest.mark.parametrize("kind", ["date", "long"])
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("exact", [False, True])
+def test_asof_without_a_key_equals_brute_force(spark, kind, forward, exact):
+    import random
+
+    r = random.Random(5)
+    at = (lambda k: day(k)) if kind == "date" else (lambda k: k)
+    left = [(k, at(r.randrange(-50, 900)) if k % 11 else None) for k in range(200)]
+    right = [(at(r.choice([*range(60), *range(400, 500)])), k) for k in range(90)] + [(None, 999)]
+    a, b = spark.createDataFrame(left, f"id long, t {kind}"), spark.createDataFrame(right, f"u {kind}, v long")
+    got = R.asof_join(a, b, "t", "u", ["v"], allow_exact=exact, forward=forward, tie=["v"])
+    assert {x.id: x.v for x in got.collect()} == {k: None if t is None else _nearest(right, t, forward, exact) for k, t in left}
+    assert R.asof_join(a, b.limit(0), "t", "u", ["v"]).where("v is null").count() == len(left)
+
+
+@pytest.mark.parametrize("open_low", [False, True])
+def test_interval_join_equals_brute_force(spark, open_low):
+    import random
+
+    r = random.Random(6)
+    points = [("ab"[k % 2], day(r.randrange(400)) if k % 9 else None, k) for k in range(80)]
+    spans = [("ab"[k % 2], day(s := r.randrange(400)), day(s + r.randrange(-3, 150)) if k % 7 else None, k) for k in range(60)]
+    got = R.interval_join(spark.createDataFrame(points, "g string, at date, p long"), spark.createDataFrame(spans, "g string, s date, e date, q long"), ["g"], "at", "s", "e", open_low)
+    assert "__b" not in got.columns
+    want = sorted((p, q) for g, at, p in points for h, s, e, q in spans if g == h and at is not None and e is not None and (s < at if open_low else s <= at) and at <= e)
+    assert sorted((x.p, x.q) for x in got.collect()) == want
+    held = spark.createDataFrame([("a", day(50), day(60)), ("a", None, day(9)), ("b", day(0), day(400))], "g string, hs date, he date")
+    left = R.without_overlap(spark.createDataFrame(spans, "g string, s date, e date, q long"), held, ["g"], ("s", "e"), ("hs", "he"))
+    gone = {q for g, s, e, q in spans if e is not None and s <= e and (g == "b" and e >= day(0) and s <= day(400) or g == "a" and s <= day(60) and e >= day(50))}
+    assert sorted(x.q for x in left.collect()) == sorted({x[3] for x in spans} - gone)
+
+
+def test_buys_follow_the_position_and_the_share_of_value():
+    prices = {"1": Decimal(10), "2": Decimal(10), "3": Decimal(100)}
+    # Cash by value without fees is half of 1400: 20 and 20 of 40, 3 of 6; fees are 1 each, so shares go from ticker 3.
+    got = P.allocate_buys({"1": 40, "2": 40, "3": 6}, prices, Decimal(700), {"1": 100}, {"1": 140, "2": 40, "3": 6})
+    assert got["3"] == 2 and got["2"] > got["1"]
+    assert sum(prices[t] * n + P.charge(prices[t] * n, False) for t, n in got.items()) <= 700
+    assert P.allocate_buys({"1": 4}, prices, Decimal(41)) == {"1": 4} and P.allocate_buys({"1": 4}, prices, Decimal(40)) == {"1": 3}
+    assert P.allocate_buys({"1": 4}, prices, Decimal(-5)) == {"1": 0}
+
+
+def test_null_industries_and_list_dates_are_excluded(spark):
+    base = {"formation_date": day(0), "ticker": "1101", "list_date": day(-900), "delist_date": None, "main_industry": "financial", "close": 10.0, "market_state": "TRADING", "sum20": 1.0, "n20": 20, "index_sum20": 10.0, "adv20": 1.0, "market_cap": 1.0}
+    rows = [base, base | {"ticker": "1102", "main_industry": None}, base | {"ticker": "1103", "list_date": None}, base | {"ticker": "1104", "main_industry": "steel"}]
+    names = {"formation_date": "date", "ticker": "string", "list_date": "date", "delist_date": "date", "main_industry": "string", "close": "double", "market_state": "string", "sum20": "double", "n20": "long", "index_sum20": "double", "adv20": "double", "market_cap": "double"}
+    df = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], ", ".join(f"{c} {t}" for c, t in names.items()))
+    rules = (P.Rule("in", "adv20", include="financial"), P.Rule("out", "adv20", exclude="financial"))
+    got = {(r.etf_id, r.ticker): r.reason for r in P.candidate_audit(df, rules).collect()}
+    assert got == {("in", "1101"): None, ("in", "1102"): "industry_not_included", ("in", "1103"): "missing_master", ("in", "1104"): "industry_not_included", ("out", "1101"): "industry_excluded", ("out", "1102"): None, ("out", "1103"): "missing_master", ("out", "1104"): None}
+
+
+def test_effective_dates_follow_the_own_market(spark):
+    prices = spark.createDataFrame([(day(0), t, 1.0, 1.0, 1.0) for t in ("1", "2", "3", "4")], "date date, ticker string, close double, volume double, traded_value double")
+    master = spark.createDataFrame([("1", "TWSE"), ("2", "TPEX"), ("3", " "), ("4", "ELSEWHERE")], "ticker string, market string").withColumns({"list_date": F.lit(day(-9)), "delist_date": F.lit(None).cast("date")})
+    days = spark.createDataFrame([(day(0), "TWSE"), (day(3), "TWSE"), (day(0), "TPEX"), (day(4), "TPEX"), (day(2), "OTHER")], "date date, market string")
+    got = {r.ticker: r.effective_date for r in market_ops.security_panel(prices, master, days).collect()}
+    assert got == {"1": day(3), "2": day(4), "3": day(2), "4": None}
+    without = {r.ticker: r.effective_date for r in market_ops.security_panel(prices, master, days.where("not (market = 'TWSE' and date = date'2024-01-01')")).collect()}
+    assert without["1"] is None
+
+
+def test_concurrency_counts_the_first_day(spark):
+    events = spark.createDataFrame([("x", 1, day(0), day(2)), ("x", 2, day(2), day(3)), ("x", 3, day(9), None)], "etf_id string, bar long, t0 date, t1 date")
+    sessions = spark.createDataFrame([("x", day(k)) for k in (0, 1, 2, 2, 3, 9)], "etf_id string, date date")
+    got = {r.bar: (r.at_start, r.most, round(r.uniqueness, 6)) for r in labels.uniqueness(events, sessions).collect()}
+    assert got == {1: (1, 2, round(2.5 / 3, 6)), 2: (2, 2, 0.75)}

@@ -57,6 +57,72 @@ def test_upsert_snapshot_audit_archive(spark, store):
         store.publish(s, frame(spark, [(day(0), "a", 1.0, 1), (day(1), "b", 1.0, 1)]))
 
 
+def test_null_partitions_are_refused_and_values_kept(spark, store):
+    c = A.Contract("daily", ("date", "ticker"), ("close",), date="date", mode="partition_upsert", partition="ticker")
+    with pytest.raises(ContractError, match="without a ticker"):
+        store.publish(c, frame(spark, [(day(0), "a", 1.0, 1), (day(1), None, 2.0, 1)]))
+    assert store.manifest("daily") is None
+    store.publish(c, frame(spark, [(day(0), "a/b=c", 1.0, 1), (day(0), "", 2.0, 1), (day(0), "é %", 3.0, 1)]).replace("", " "))
+    assert set(store.manifest("daily")["partitions"]) == {"a/b=c", " ", "é %"}
+    store.publish(c, frame(spark, [(day(0), "é %", 5.0, 1)]))
+    assert {(r.ticker, r.close) for r in store.read("daily").collect()} == {("a/b=c", 1.0), (" ", 2.0), ("é %", 5.0)}
+
+
+def test_keys_in_two_partitions_are_refused(spark, store):
+    c = A.Contract("moved", ("date",), ("close",), mode="partition_upsert", partition="year")
+    store.publish(c, frame(spark, [(day(0), "a", 1.0, 1), (day(1), "a", 1.0, 2)]))
+    for rows in ([(day(0), "a", 1.0, 3)], [(day(0), "a", 1.0, 2)]):
+        with pytest.raises(ContractError):
+            store.publish(c, frame(spark, rows))
+    assert store.read("moved").count() == 2 and store.history("moved") == [1]
+
+
+def test_a_new_process_reads_by_date(spark, store):
+    c = A.Contract("prices", ("date", "ticker"), ("close",), date="date")
+    store.publish(c, frame(spark, [(day(k), "a", float(k), 2024) for k in range(5)]))
+    assert A.Store(spark, store.root).read("prices", start="2024-01-04").count() == 2
+    assert [tuple(r) for r in A.Store(spark, store.root).audit().collect()] == [("prices", 5, 0, True)]
+
+
+def test_versions_roll_back_and_writers_collide(spark, store):
+    c = A.Contract("prices", ("date",), ("close",), date="date")
+    store.publish(c, frame(spark, [(day(0), "a", 1.0, 1)]), expected="")
+    first = store.fingerprint("prices")
+    store.publish(c, frame(spark, [(day(0), "a", 2.0, 1), (day(1), "a", 2.0, 1)]), expected=first)
+    with pytest.raises(ContractError, match="meanwhile"):
+        store.publish(c, frame(spark, [(day(0), "a", 3.0, 1)]), expected=first)
+    real, store._listed = store._listed, lambda *p: [n for n in type(store)._listed(store, *p) if n != "00000002.json"]
+    with pytest.raises(ContractError, match="meanwhile"):  # another writer took the number after this one looked
+        store.publish(c, frame(spark, [(day(0), "a", 3.0, 1)]))
+    store._listed = real
+    assert store.read("prices").count() == 2 and store.history("prices") == [1, 2]
+    assert store.rollback("prices", 1)["number"] == 3 and [r.close for r in store.read("prices").collect()] == [1.0]
+    with pytest.raises(ContractError):
+        store.rollback("prices", 9)
+    store.archive("prices", store.fingerprint("prices"))
+    with pytest.raises(ContractError, match="gone"):
+        store.rollback("prices", 2)
+    lost = A.Store(spark, store.root)
+    parts = store.manifest("prices")["partitions"]
+    m = lost.reconstruct(A.Contract("again", ("date",), ("close",), date="date"), parts)
+    assert (m["rows"], m["date_range"]) == (1, ["2024-01-01", "2024-01-01"]) and lost.read("again", start="2024-01-01").count() == 1
+
+
+def test_results_round_trip_with_digests(spark, store, tmp_path):
+    tables = {"daily": frame(spark, [(day(k), "a", float(k), 1) for k in range(3)]), "trades": frame(spark, [(day(0), None, None, None)])}
+    m = store.write_result("run1", tables)
+    assert {n: t["rows"] for n, t in m["tables"].items()} == {"daily": 3, "trades": 1}
+    got = store.read_result("run1")
+    assert sorted(map(tuple, got["daily"].collect())) == sorted(map(tuple, tables["daily"].collect())) and got["trades"].first().close is None
+    with pytest.raises(ContractError, match="already"):
+        store.write_result("run1", tables)
+    with pytest.raises(ContractError):
+        store.read_result("run2")
+    next((tmp_path / "store/results/run1/daily").glob("*.parquet")).unlink()
+    with pytest.raises(ContractError, match="not those"):
+        store.read_result("run1")
+
+
 def test_trials(tmp_path):
     path = str(tmp_path / "trials.jsonl")
     one = {"trial_id": "a", "family": "f", "sharpe": 1.0, "note": ""}
