@@ -10,6 +10,7 @@ from chronofold.operators import bars as B
 from chronofold.operators import corporate, labels, market, pit, structure
 from chronofold.operators import portfolio as P
 from chronofold.operators import relational as R
+from chronofold.sources import extraction
 
 from .catalog import query
 from .views import Views, number
@@ -23,8 +24,8 @@ def formations(v: Views) -> DataFrame:
 
 @query("p01_normalize_family", "SELECT CAST(d AS DATE) AS date, ticker, CAST(price AS DOUBLE) AS price, CASE WHEN trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE etf_id END) = '' THEN true ELSE false END AS is_trading_day FROM fx_orders")
 def p01(v: Views) -> DataFrame:
-    raw = v.orders.select(F.date_format("d", "yyyy-MM-dd").alias("mdate"), F.col("ticker").alias("coid"), F.col("price").cast("string").alias("amt"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("etf_id")).alias("rmk"))
-    return raw.select(F.to_date("mdate").alias("date"), F.col("coid").alias("ticker"), F.col("amt").try_cast("double").alias("price"), (F.trim("rmk") == "").alias("is_trading_day"))
+    raw = v.orders.select(F.date_format("d", "yyyy-MM-dd").alias("zdate"), "ticker", F.col("price").cast("string").alias("amt"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("etf_id")).alias("date_rmk"))
+    return extraction.normalize(raw, "trading_calendar").select("date", "ticker", F.col("amt").try_cast("double").alias("price"), "is_trading_day")
 
 
 @query("p02_select_latest", "SELECT ticker, period, revision, r18 FROM (SELECT *, rank() OVER (PARTITION BY ticker, period ORDER BY available DESC, revision DESC) AS n FROM fx_sales WHERE available <= DATE '1999-12-31') WHERE n = 1")
@@ -216,29 +217,45 @@ def candidates(v: Views) -> DataFrame:
     return lab.candidate_table(market_of(v))
 
 
-MOMENTUM_SQL = f"""WITH x AS (SELECT date, ticker, close, market_cap, lag(adj_close, 21) OVER o AS a, lag(adj_close, 252) OVER o AS b, count(traded_value) OVER w AS n20, sum(traded_value) OVER w AS s, avg(traded_value) OVER w AS m FROM fx_dense WINDOW o AS (PARTITION BY ticker ORDER BY date), w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-  i AS (SELECT date, CASE WHEN count(*) OVER w = 20 THEN sum(traded_value) OVER w END AS total FROM fx_index WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-  c AS (SELECT x.date AS formation_date, x.ticker, CASE WHEN x.a > 0 AND x.b > 0 THEN x.a / x.b - 1 END AS value, CASE WHEN x.n20 = 20 THEN x.s END / i.total AS ratio, x.n20, CASE WHEN x.n20 = 20 THEN x.m END AS adv20, x.market_cap, x.close, m.delist_date, s.market_state
-    FROM x JOIN ({FORMATION_SQL}) f ON f.formation_date = x.date LEFT JOIN i ON i.date = x.date LEFT JOIN fx_master m ON m.ticker = x.ticker LEFT JOIN fx_state s ON s.date = x.date AND s.ticker = x.ticker),
-  r AS (SELECT *, CASE WHEN delist_date <= formation_date THEN 'delisted' WHEN list_after THEN 'not_listed' WHEN close IS NULL OR close <= 0 THEN 'invalid_close' WHEN market_state = 'HALTED' THEN 'halted' WHEN market_state = 'MISSING' THEN 'missing_state' WHEN value IS NULL THEN 'no_signal' WHEN n20 <> 20 THEN 'incomplete_window' WHEN ratio IS NULL THEN 'invalid_ratio' END AS r0
-    FROM (SELECT c.*, coalesce(m.list_date > c.formation_date, false) AS list_after FROM c LEFT JOIN fx_master m ON m.ticker = c.ticker)),
-  t AS (SELECT *, CASE WHEN count(*) FILTER (WHERE r0 IS NULL AND ratio >= 0.002) OVER (PARTITION BY formation_date) < 5 THEN 0.001 ELSE 0.002 END AS threshold FROM r),
-  u AS (SELECT *, CASE WHEN r0 IS NULL AND ratio < threshold THEN 'illiquid' ELSE r0 END AS reason FROM t),
-  k AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY formation_date ORDER BY reason IS NOT NULL, value DESC NULLS LAST, adv20 DESC NULLS LAST, market_cap DESC NULLS LAST, ticker) END AS rank FROM u)
-  SELECT formation_date, 'momentum' AS etf_id, ticker, CASE WHEN list_after THEN 'not_listed' ELSE reason END AS reason, CAST(rank AS INTEGER) AS rank, coalesce(rank <= 10, false) AS selected, round(CASE WHEN rank <= 10 THEN 1.0 / count(*) FILTER (WHERE rank <= 10) OVER (PARTITION BY formation_date) END, 9) AS weight FROM k"""
+SIGNAL_SQL = """SELECT date, ticker, close, market_cap, adv20, sum20, n20, turnover_20d, CASE WHEN base > 0 THEN v20 / base END AS volume_ratio, chip_20d, CASE WHEN a > 0 AND b > 0 THEN a / b - 1 END AS momentum_12_1,
+  CASE WHEN nr >= 20 AND sd > 0 THEN sd * sqrt(252) END AS vol_60d, CASE WHEN nr = 60 AND sd > 0 THEN mr / sd * sqrt(252) END AS sharpe_60d, CASE WHEN nr = 60 AND md > 0 THEN mr / sqrt(md) * sqrt(252) END AS sortino_60d FROM
+  (SELECT *, count(traded_value) OVER w20 AS n20, CASE WHEN count(traded_value) OVER w20 = 20 THEN avg(traded_value) OVER w20 END AS adv20, CASE WHEN count(traded_value) OVER w20 = 20 THEN sum(traded_value) OVER w20 END AS sum20,
+    CASE WHEN count(turnover) OVER w20 = 20 THEN avg(turnover) OVER w20 END AS turnover_20d, CASE WHEN count(volume) OVER w20 = 20 THEN avg(volume) OVER w20 END AS v20, CASE WHEN count(volume) OVER far = 60 THEN avg(volume) OVER far END AS base,
+    CASE WHEN count(flow) OVER w20 = 20 THEN sum(flow) OVER w20 END AS chip_20d, lag(adj_close, 21) OVER o AS a, lag(adj_close, 252) OVER o AS b, count(ret) OVER w60 AS nr, stddev_samp(ret) OVER w60 AS sd, avg(ret) OVER w60 AS mr, avg(pow(least(ret, 0), 2)) FILTER (WHERE ret IS NOT NULL) OVER w60 AS md
+    FROM (SELECT d.*, c.qfii + c.fund + c.dlrp AS flow, d.adj_close / nullif(lag(d.adj_close) OVER (PARTITION BY d.ticker ORDER BY d.date), 0) - 1 AS ret FROM fx_dense d LEFT JOIN fx_chip c ON c.date = d.date AND c.ticker = d.ticker)
+    WINDOW o AS (PARTITION BY ticker ORDER BY date), w20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w60 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), far AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 79 PRECEDING AND 20 PRECEDING))"""
 
 
-@query("x02_candidate_audit", MOMENTUM_SQL)
-def x02(v: Views) -> DataFrame:
-    rules = tuple(r for r in P.RULES if r.etf_id == "momentum")
-    return P.candidate_audit(candidates(v), rules).select("formation_date", "etf_id", "ticker", "reason", "rank", "selected", F.round("weight", 9).alias("weight"))
+def _literal(x: object) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower()
+
+
+RULE_SQL = ", ".join(f"({', '.join(map(_literal, (r.etf_id, r.signal, r.ascending, r.by_market_cap, r.preferred, r.floor, r.adaptive, r.include, r.exclude)))})" for r in P.RULES)
+#: All portfolios' audit: every candidate under every rule, the first reason against it, its rank, selection and weight.
+AUDIT_SQL = f"""WITH x AS ({SIGNAL_SQL}), i AS (SELECT date, CASE WHEN count(*) OVER w = 20 THEN sum(traded_value) OVER w END AS total FROM fx_index WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+  c AS (SELECT x.date AS formation_date, x.* EXCLUDE (date), sp.r18, rp.r103, x.sum20 / i.total AS ratio, m.list_date, m.delist_date, m.main_industry, s.market_state FROM x JOIN ({FORMATION_SQL}) f ON f.formation_date = x.date LEFT JOIN i ON i.date = x.date
+    LEFT JOIN fx_master m ON m.ticker = x.ticker LEFT JOIN fx_state s ON s.date = x.date AND s.ticker = x.ticker LEFT JOIN ({SALES_PICK}) sp ON sp.formation_date = x.date AND sp.ticker = x.ticker LEFT JOIN ({ROE_PICK}) rp ON rp.formation_date = x.date AND rp.ticker = x.ticker),
+  q AS (SELECT c.*, r.*, CASE r.signal {" ".join(f"WHEN '{n}' THEN c.{n}" for n in sorted({r.signal for r in P.RULES}))} END AS value FROM c CROSS JOIN (VALUES {RULE_SQL}) r(etf_id, signal, rising, by_cap, preferred, floor_, adaptive, include, exclude)),
+  r0 AS (SELECT *, CASE WHEN NOT regexp_full_match(ticker, '[1-9][0-9]{{3}}') THEN 'not_common' WHEN list_date IS NULL THEN 'missing_master' WHEN list_date > formation_date THEN 'not_listed' WHEN delist_date <= formation_date THEN 'delisted'
+    WHEN close IS NULL OR close <= 0 THEN 'invalid_close' WHEN market_state = 'HALTED' THEN 'halted' WHEN market_state IS NULL OR market_state = 'MISSING' THEN 'missing_state' WHEN include IS NOT NULL AND main_industry IS DISTINCT FROM include THEN 'industry_not_included'
+    WHEN main_industry = exclude THEN 'industry_excluded' WHEN value IS NULL THEN 'no_signal' WHEN n20 <> 20 THEN 'incomplete_window' WHEN ratio IS NULL OR ratio < 0 THEN 'invalid_ratio' END AS why FROM q),
+  t AS (SELECT *, CASE WHEN adaptive AND count(*) FILTER (WHERE why IS NULL AND ratio >= preferred) OVER (PARTITION BY formation_date, etf_id) < 5 THEN floor_ ELSE preferred END AS threshold FROM r0),
+  u AS (SELECT *, CASE WHEN why IS NULL AND ratio < threshold THEN 'illiquid' ELSE why END AS reason FROM t),
+  k AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY formation_date, etf_id ORDER BY reason IS NOT NULL, CASE WHEN rising THEN value ELSE -value END NULLS LAST, adv20 DESC NULLS LAST, market_cap DESC NULLS LAST, ticker) END AS rank FROM u)
+  SELECT formation_date, etf_id, ticker, reason, CAST(rank AS INTEGER) AS rank, coalesce(rank <= 10, false) AS selected,
+    round(CASE WHEN rank <= 10 THEN CASE WHEN by_cap THEN market_cap / sum(market_cap) FILTER (WHERE rank <= 10) OVER (PARTITION BY formation_date, etf_id) ELSE 1.0 / count(*) FILTER (WHERE rank <= 10) OVER (PARTITION BY formation_date, etf_id) END END, 9) AS weight FROM k"""
 
 
-@query("x01_all_portfolio_targets")
+@query("x01_all_portfolio_targets", f"SELECT formation_date, etf_id, ticker, rank, weight FROM ({AUDIT_SQL}) WHERE selected")
 def x01(v: Views) -> DataFrame:
     return P.candidate_audit(candidates(v)).where("selected").select("formation_date", "etf_id", "ticker", "rank", F.round("weight", 9).alias("weight"))
 
 
+@query("x02_candidate_audit", AUDIT_SQL)
+def x02(v: Views) -> DataFrame:
+    return P.candidate_audit(candidates(v)).select("formation_date", "etf_id", "ticker", "reason", "rank", "selected", F.round("weight", 9).alias("weight"))
+
+
 @query("x03_weights", "SELECT date, ticker, round(market_cap / sum(market_cap) OVER (PARTITION BY date), 9) AS weight, round(1.0 / count(*) OVER (PARTITION BY date), 9) AS equal FROM fx_price")
 def x03(v: Views) -> DataFrame:
     w = Window.partitionBy("date")
@@ -272,7 +289,7 @@ def x10(v: Views) -> DataFrame:
     return P.traded_amount(v.holding, v.state, days).withColumn("etf_amount", F.round("etf_amount", 4))
 
 
-@query("x12_selection_diagnostics", f"SELECT formation_date, etf_id, count(*) FILTER (WHERE selected) AS selected, CASE WHEN count(*) FILTER (WHERE selected) = 0 THEN 'none' WHEN count(*) FILTER (WHERE selected) < 5 THEN 'short' ELSE 'ok' END AS status FROM ({MOMENTUM_SQL}) GROUP BY 1, 2")
+@query("x12_selection_diagnostics", f"SELECT formation_date, etf_id, count(*) FILTER (WHERE selected) AS selected, CASE WHEN count(*) FILTER (WHERE selected) = 0 THEN 'none' WHEN count(*) FILTER (WHERE selected) < 5 THEN 'short' ELSE 'ok' END AS status FROM ({AUDIT_SQL}) GROUP BY 1, 2")
 def x12(v: Views) -> DataFrame:
     n = F.count_if("selected")
     return x02(v).groupBy("formation_date", "etf_id").agg(n.alias("selected"), F.when(n == 0, "none").when(n < P.LEAST, "short").otherwise("ok").alias("status"))
@@ -357,9 +374,11 @@ def w27(v: Views) -> DataFrame:
     return structure.ewm_volatility(rows, "etf_id", "bar", "x").select("etf_id", "bar", F.round("sigma", 9).alias("sigma"))
 
 
-@query("w19_ewma_amount_z")
+@query("w19_ewma_amount_z", """WITH RECURSIVE e(etf_id, bar, n, m, c, w2) AS (SELECT etf_id, bar, 1, amount, 0.0::DOUBLE, 1.0::DOUBLE FROM fx_bar WHERE bar = 0 UNION ALL
+    SELECT e.etf_id, x.bar, e.n + 1, e.m * 19 / 21.0 + x.amount * 2 / 21.0, (19 / 21.0) * (e.c + pow(e.m - (e.m * 19 / 21.0 + x.amount * 2 / 21.0), 2)) + (2 / 21.0) * pow(x.amount - (e.m * 19 / 21.0 + x.amount * 2 / 21.0), 2), pow(19 / 21.0, 2) * e.w2 + pow(2 / 21.0, 2) FROM e JOIN fx_bar x ON x.etf_id = e.etf_id AND x.bar = e.bar + 1)
+  SELECT x.etf_id, x.bar, CASE WHEN e.n >= 20 AND e.c > 0 THEN round((x.amount - e.m) / sqrt(e.c / (1 - e.w2)), 6) END AS z FROM fx_bar x LEFT JOIN e ON e.etf_id = x.etf_id AND e.bar = x.bar - 1""")
 def w19(v: Views) -> DataFrame:
-    return structure.ewm_z(v.bar.select("etf_id", "bar", "amount"), "etf_id", "bar", "amount").select("etf_id", "bar", "z")
+    return structure.ewm_z(v.bar.select("etf_id", "bar", "amount"), "etf_id", "bar", "amount").select("etf_id", "bar", F.round("z", 6).alias("z"))
 
 
 EVENTS = "SELECT etf_id, bar, end_date AS t0, close AS entry, 0.05 + 0.001 * (bar % 20) AS sigma, lead(end_date, 6) OVER (PARTITION BY etf_id ORDER BY bar) AS vertical FROM fx_bar"
