@@ -113,7 +113,10 @@ def run_all(m: Market, capital: int = 100_000_000, rules: Sequence[P.Rule] = P.R
     rows = m.state.select("date", "ticker", "tradable").join(prices, ["date", "ticker"], "left").join(F.broadcast(days.select("date", "month", "k", "n")), "date").join(F.broadcast(m.master.select("ticker", "delist_date")), "ticker", "left")
     rows = rows.withColumn("delisted", F.coalesce(F.col("date") >= F.col("delist_date"), F.lit(False)))
     zero = F.lit(0.0)
-    grid = rows.join(F.broadcast(targets.select("etf_id").distinct())).join(weights, ["etf_id", "date", "ticker"], "left")
+    # A portfolio's kernel gets the rows of what it ever targets, and each day at least once.
+    wanted = rows.drop("month", "k", "n").join(targets.select("etf_id", "ticker").distinct(), "ticker")
+    each_day = days.select("date", "month", "k", "n").join(F.broadcast(targets.select("etf_id").distinct()))
+    grid = each_day.join(wanted, ["etf_id", "date"], "left").join(weights, ["etf_id", "date", "ticker"], "left")
     ledger = P.run_portfolios(grid.select("etf_id", "date", "month", "k", "n", "ticker", F.coalesce("c", zero).alias("close"), F.coalesce("a", zero).alias("adj_close"), "tradable", "delisted", "weight"), capital)
     w = Window.partitionBy("etf_id", "date")
     held = ledger.where("kind = 'holding'").withColumn("value", F.col("shares") * F.col("price")).select("date", "etf_id", "ticker", (F.col("value") / F.sum("value").over(w)).alias("w"))

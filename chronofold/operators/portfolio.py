@@ -145,8 +145,12 @@ def allocate_buys(wanted: dict[str, int], prices: dict[str, Decimal], cash: Deci
         t = next((t for t in sorted(out, reverse=True) if out[t]), None)
         if t is None:
             return out
-        spent += (cost(t, out[t] - 1) if out[t] > 1 else 0) - cost(t, out[t])
-        out[t] -= 1
+        # As many of its shares as fit, by halving; the cost rises with the number.
+        others, few, many = spent - cost(t, out[t]), 0, out[t] - 1
+        while few < many:
+            n = (few + many + 1) // 2
+            few, many = (n, many) if others + cost(t, n) <= cash else (few, n - 1)
+        out[t], spent = few, others + (cost(t, few) if few else 0)
     while True:
         for t in sorted((t for t in wanted if out[t] < wanted[t]), key=lambda t: ((held.get(t, 0) + out[t]) / max(1, targets.get(t, 0)), t)):
             more = cost(t, out[t] + 1) - (cost(t, out[t]) if out[t] else 0)
@@ -172,7 +176,8 @@ def simulate(days: pd.DataFrame, capital: Decimal) -> Iterator[tuple]:
     cash, shares, last, start, target = capital, {}, {}, {}, {}
     begun = False
     for date, day in days.groupby("date", sort=True):
-        rows = {r.ticker: r for r in day.itertuples()}
+        every = list(day.itertuples())
+        rows = {r.ticker: r for r in every if isinstance(r.ticker, str)}
         price: dict[str, Decimal] = {}
         for t, r in rows.items():
             if r.close > 0 and r.adj_close > 0:
@@ -206,7 +211,7 @@ def simulate(days: pd.DataFrame, capital: Decimal) -> Iterator[tuple]:
             assets = value()
             start = {t: shares.get(t, 0) for t in {*shares, *new} if shares.get(t, 0) or t in new}
             target = {t: int((assets * Decimal(repr(float(new.get(t, 0.0)))) / last[t][0]).to_integral_value(rounding=ROUND_FLOOR)) if t in last else 0 for t in start}
-        first = next(iter(rows.values()))
+        first = every[0]
         desired = {t: way(start[t], target[t], int(first.k), int(first.n)) - shares.get(t, 0) for t in target}
         legal = {t for t in desired if t in rows and rows[t].tradable and t in price}
         sells = {t: -d for t, d in desired.items() if d < 0 and t in legal}
