@@ -2,9 +2,11 @@
 
 Fit, on a bounded sample (the SAMPLE vectors with the smallest hashed vec_id): the exact neighbour graph of the sample; a balanced
 partitioning of the graph (principal directions split it into equal halves, then vertices move to the part that holds most of their
-neighbours, as long as it has room); a small network that gives for a vector the shares of its neighbours in each part.
+neighbours, as long as it has room); a small network that gives for a vector the shares of its neighbours in each part. The number of parts
+grows with the square root of the rows, between PARTS and what the sample bears. Some of the sample is held out: how many parts a query needs
+is the least number with which these rows find TARGET of their nearest in the rest of the sample, so clustered vectors need few of them.
 
-Index and search, over all rows: every vector goes to its most probable part, every query to its PROBES most probable ones. Parts are cut
+Index and search, over all rows: every vector goes to its most probable part, every query to that many of its most probable ones. Parts are cut
 into blocks of about BLOCK rows and queries into blocks too, so no task holds more than a block of each, however common a vector is; a
 block gives each of its queries its nearest, which are ranked again over the blocks by exact scores. Recall is measured in the tests.
 
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from ._common import materialize, table
 
 #: Bounds of the sample and the shape of the index.
-SAMPLE, DEGREE, PARTS, PROBES, HIDDEN = 8192, 16, 32, 24, 128
-BLOCK, QUERY_BLOCK, K = 1024, 4096, 20
+SAMPLE, DEGREE, PARTS, MOST_PARTS, HIDDEN = 8192, 16, 32, 256, 128
+BLOCK, QUERY_BLOCK, K = 4096, 4096, 20
+#: Rows of the sample that are held out, and the recall that is to be reached with them.
+HELD_OUT, TARGET = 1024, 0.93
 
 
 @dataclass
@@ -44,6 +48,7 @@ class Router:
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
+    probes: int = 0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x - self.mean) * self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -146,14 +151,35 @@ def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
     return rows.where(F.size("embedding") == length)
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
-    """Learn the partitions from a bounded sample of usable vectors; None without any."""
+def parts_for(rows: int) -> int:
+    """A power of two near an eighth of the square root of the rows."""
+    return int(min(MOST_PARTS, max(PARTS, 1 << round(np.log2(max(1.0, np.sqrt(rows) / 8))))))
+
+
+def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, k: int = K) -> Router | None:
+    """Learn the partitions from a bounded sample of usable vectors, and how many of them a query needs; None without any."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     if not rows.num_rows:
         return None
     x = np.stack(rows.column("embedding").to_numpy())
+    held, x = np.split(x, [min(HELD_OUT, len(x) // 8)])
     graph = neighbour_graph(x)
-    return train_router(x, graph, balanced_parts(x, graph, parts), parts)
+    router = train_router(x, graph, balanced_parts(x, graph, parts), parts)
+    router.probes = probes_needed(router, held, x, parts, k)
+    return router
+
+
+def probes_needed(router: Router, queries: np.ndarray, x: np.ndarray, parts: int, k: int = K, target: float = TARGET) -> int:
+    """The least number of parts with which the queries find `target` of their k nearest rows of x; all parts for too few queries or rows."""
+    if len(queries) < 64 or len(x) < 10 * k:
+        return parts
+    near = np.argpartition(-(queries @ x.T), k - 1, axis=1)[:, :k]
+    own = router.logits(x).argmax(axis=1)
+    order = np.argsort(-router.logits(queries), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    ranks = np.take_along_axis(place, own[near], axis=1)
+    found = np.cumsum(np.bincount(ranks.ravel(), minlength=parts)) / ranks.size
+    return int(np.searchsorted(found, target) + 1) if found[-1] >= target else parts
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -198,14 +224,19 @@ def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nd
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int = PROBES, parts: int = PARTS, block: int = BLOCK, router: Router | None = None) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of each query's k nearest found; both tables have vec_id and embedding."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: int | None = None, parts: int | None = None, block: int = BLOCK, router: Router | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of each query's k nearest found; both tables have vec_id and embedding.
+
+    probes: parts that a query looks into, else as many as the fit found to be needed.
+    """
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
     rows = usable(vectors, len(router.mean) if router else None)
-    router = router or fit(rows, parts=parts)
+    router = router or fit(rows, parts=parts or parts_for(rows.count()), k=k)
     if router is None:
         return spark.createDataFrame([], schema)
+    parts = len(router.b2)
+    probes = min(parts, probes or router.probes or parts)
     items = materialize(routed(rows, router, 1), "ann-items").select("vec_id", "embedding", F.element_at("parts", 1).alias("part"))
     sizes = {r.part: r["count"] for r in items.groupBy("part").count().collect()}
     blocks = [max(1, -(-sizes.get(p, 0) // block)) for p in range(parts)]

@@ -47,6 +47,26 @@ def test_recall_and_exact_scores(spark):
     assert all(abs(s - (exact[q] * exact[i]).sum()) < 1e-12 for q in got for i, s in got[q])
 
 
+def test_probes_follow_the_data():
+    x = clustered(5000).astype(float)
+    router = N.train_router(x, g := N.neighbour_graph(x), N.balanced_parts(x, g, 32), 32)
+    few = N.probes_needed(router, clustered(300, seed=0).astype(float), x, 32)
+    noise = np.random.default_rng(1).normal(size=(5000, 16))
+    router = N.train_router(noise, g := N.neighbour_graph(noise), N.balanced_parts(noise, g, 32), 32)
+    many = N.probes_needed(router, np.random.default_rng(2).normal(size=(300, 16)), noise, 32)
+    assert few <= 10 < many <= 32 and N.probes_needed(router, noise[:5], noise, 32) == 32
+    assert [N.parts_for(n) for n in (0, 50_000, 1_000_000, 10**12)] == [32, 32, 128, 256]
+
+
+def test_recall_with_measured_probes(spark):
+    x = clustered(4000)
+    ids = np.arange(4000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = results(N.search(df, df.where("vec_id % 20 = 0")))
+    want = brute(ids, x.astype(float), range(0, 4000, 20), 20)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_all_parts_is_exact_with_ties(spark):
     x = np.concatenate([np.repeat(clustered(1), 700, axis=0), clustered(300, seed=5)])
     ids = np.arange(1000)
