@@ -166,8 +166,7 @@ class PieceEncoder:
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(parts), np.int64)
         kept = self.places(coded.dictionary.to_pylist())
-        each = self.sizes[kept][at]
-        ends = np.cumsum(each)
-        place = np.repeat(self.begins[kept][at] - (ends - each), each)
-        place += np.arange(len(place))
-        return self.flat[place], np.diff(np.concatenate([[0], ends])[offsets])
+        # The kept ids lie one piece after the other, so a list array views them, and Arrow copies each occurrence's ids in one go.
+        ids = pa.LargeListArray.from_arrays(pa.array(np.append(self.begins, len(self.flat))), pa.array(self.flat)).take(pa.array(kept[at]))
+        ends = np.asarray(ids.offsets)
+        return ids.flatten().to_numpy(), np.diff((ends - ends[0])[offsets])
