@@ -599,7 +599,7 @@ def link_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         tasks = dealt(apart, bound)
         dealt_rows = tasks.count()
         bits = asked_for(plain.select("uid", "n", "wide"), "uid", tasks.select("uid"), dealt_rows)
-        more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions, best), "jaccard-cross", 4 * dealt_rows)
+        more = materialize(cross_pairs(tasks.join(bits, "uid"), partitions, best), "jaccard-cross", 64 * dealt_rows)
         discard(tasks)
         count = more.count()
         if not count:
