@@ -167,7 +167,7 @@ LEDGER = "etf_id string, date date, kind string, ticker string, shares long, pri
 
 def simulate(days: pd.DataFrame, capital: Decimal) -> Iterator[tuple]:
     """One portfolio's ledger; days has a row per date and ticker, sorted: date, month, k, n, ticker, close, adj_close, tradable,
-    delisted, weight (the target on the month's first session, else null).
+    delisted, weight (the target on the month's first session, else null). A row without a ticker only says that there is such a day.
 
     Per day: a synthetic corporate action by the change of adj_close against close, fractions to cash; forced sale of what is delisted at its last
     price; on a month's first session with targets the schedule is set anew from the assets; then the step of the schedule: sales first, where the state
