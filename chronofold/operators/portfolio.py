@@ -111,6 +111,14 @@ def scheduled(start: Column, target: Column, k: Column, n: Column) -> Column:
     return (start + F.round(way / n, 0)).cast("long")
 
 
+def completion(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per `by`, how much of the way from start to target (share columns, null for none) actual has gone: 0 to 1, and 1 where there is no way to go."""
+    gap = lambda a, b: F.sum(F.abs(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))))
+    sums = rows.groupBy(*by).agg(gap("target", "start").alias("__way"), gap("target", "actual").alias("__left"))
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.try_divide("__left", "__way")))
+    return sums.select(*by, F.when(F.col("__way") == 0, 1.0).otherwise(part).alias("completion"))
+
+
 def half_up(x: Decimal) -> Decimal:
     return x.quantize(Decimal(1), rounding=ROUND_HALF_UP)
 

@@ -287,3 +287,9 @@ def test_concurrency_counts_the_first_day(spark):
     sessions = spark.createDataFrame([("x", day(k)) for k in (0, 1, 2, 2, 3, 9)], "etf_id string, date date")
     got = {r.bar: (r.at_start, r.most, round(r.uniqueness, 6)) for r in labels.uniqueness(events, sessions).collect()}
     assert got == {1: (1, 2, round(2.5 / 3, 6)), 2: (2, 2, 0.75)}
+
+
+def test_completion(spark):
+    rows = [("a", 0, 100, 40), ("a", 50, 0, 50), ("b", 10, 10, 3), ("c", 0, 10, 90), ("d", None, 10, None), ("d", 30, None, 0)]
+    got = P.completion(spark.createDataFrame(rows, "g string, start long, target long, actual long"), ["g"])
+    assert {r.g: round(r.completion, 9) for r in got.collect()} == {"a": round(40 / 150, 9), "b": 1.0, "c": 0.0, "d": 0.75}
