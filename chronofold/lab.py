@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import bars, labels, pit, structure
 from chronofold.operators import portfolio as P
+from chronofold.operators.features import bar_features
 from chronofold.operators.relational import ContractError, densify, latest_per_key
 from chronofold.operators.signals import full, trailing
 
@@ -145,11 +146,7 @@ def build_all(curve: DataFrame, train_end: str | None = None, horizon: int = 60,
         raise ContractError("no quantile gives all ids enough bars")
     days = bars.assign_bars(curve, chosen[0].ratio)
     table = bars.bar_table(days)
-    w = trailing("etf_id", "bar", 60)
-    order = Window.partitionBy("etf_id").orderBy("bar")
-    rows = table.withColumn("y", F.ln("close")).withColumn("d", F.col("y") - F.lag("y").over(order)).withColumn("ad", F.abs("d"))
-    path = full(F.sum, "ad", trailing("etf_id", "bar", 20), 20)
-    features = rows.select("etf_id", "bar", "end_date", full(F.stddev_samp, "d", w, 30).alias("vol60"), (F.col("y") - F.max("y").over(w)).alias("drawdown60"), F.when(path > 0, F.abs(F.col("y") - F.lag("y", 20).over(order)) / path).alias("efficiency20"))
+    features = bar_features(table)
     sigma = structure.ewm_volatility(table.select("etf_id", "bar", "end_date", "close", "log_return"), "etf_id", "bar", "log_return")
     found = labels.triple_barrier(sigma, curve.select("etf_id", "date", "nav"), width, horizon)
     return BarResult(calibration, table, features, found, bars.open_tails(days))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofold import lab
 from chronofold.operators import bars as B
-from chronofold.operators import corporate, labels, market, pit, structure
+from chronofold.operators import corporate, labels, market, pit, structure, validators
 from chronofold.operators import portfolio as P
 from chronofold.operators import relational as R
 from chronofold.sources import extraction
@@ -176,9 +176,22 @@ def m04(v: Views) -> DataFrame:
     return v.master.select("ticker", market.venue(F.concat(F.lit(" "), F.lower("market"))).alias("venue"))
 
 
-@query("m05_state_validator", "SELECT count(*) FILTER (WHERE market_state = 'TRADING' AND close IS NULL) AS trading_without_price, count(*) FILTER (WHERE market_state <> 'TRADING' AND tradable) AS wrongly_tradable, count(*) - count(DISTINCT (date, ticker)) AS repeated FROM fx_state")
+CHECK = "SELECT '{0}' AS check, count(*) FILTER (WHERE {1}) AS violations FROM {2}"
+STATE_CHECKS = {
+    "state_pair": "(market_state, amount_state) NOT IN (('TRADING', 'OBSERVED'), ('HALTED', 'OBSERVED'), ('HALTED', 'ZERO_AUTHORIZED'), ('MISSING', 'MISSING'))",
+    "tradable": "tradable IS DISTINCT FROM CASE market_state WHEN 'TRADING' THEN true WHEN 'HALTED' THEN false END",
+    "amount": "CASE amount_state WHEN 'OBSERVED' THEN coalesce(traded_value < 0, true) WHEN 'ZERO_AUTHORIZED' THEN traded_value IS DISTINCT FROM 0 ELSE traded_value IS NOT NULL END",
+    "price": "market_state = 'TRADING' AND coalesce(close <= 0, true)",
+    "lifecycle": "m.ticker IS NULL OR date < list_date OR coalesce(date >= delist_date, false)",
+    "repeated_key": "i > 1",
+}
+STATE_ROWS = "(SELECT *, row_number() OVER (PARTITION BY date, ticker) AS i FROM fx_state) s LEFT JOIN fx_master m ON m.ticker = s.ticker"
+
+
+# The fixture's states break some of the rules, so that the counts show.
+@query("m05_state_validator", " UNION ALL ".join(CHECK.format(name, rule, STATE_ROWS) for name, rule in STATE_CHECKS.items()))
 def m05(v: Views) -> DataFrame:
-    return v.state.agg(F.count_if((F.col("market_state") == "TRADING") & F.col("close").isNull()).alias("trading_without_price"), F.count_if((F.col("market_state") != "TRADING") & F.col("tradable")).alias("wrongly_tradable"), (F.count("*") - F.count_distinct("date", "ticker")).alias("repeated"))
+    return validators.state_violations(v.state, v.master, "traded_value")
 
 
 PANEL_SQL = """SELECT p.date, p.ticker, avg(p.traded_value) OVER (PARTITION BY p.ticker ORDER BY p.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS adv20, CASE WHEN m.market IS NULL THEN g.effective_date ELSE c.effective_date END AS effective_date, m.list_date <= p.date AND (m.delist_date IS NULL OR p.date < m.delist_date) AS listed, p.market_cap, m.main_industry
@@ -457,16 +470,31 @@ def v02(v: Views) -> DataFrame:
     return ids.join(last, "etf_id", "left").select("etf_id", "bar", F.when(F.col("bar").isNull(), "no_bar").when(F.datediff(as_of, "end_date") > 30, "stale").otherwise("available").alias("status"))
 
 
-@query("v03_cross_table_checks", f"SELECT count(*) FILTER (WHERE l.t1 < l.t0) AS backwards, count(*) FILTER (WHERE b.bar IS NULL) AS without_bar, count(*) AS n FROM ({LABEL_SQL}) l LEFT JOIN fx_bar b ON b.etf_id = l.etf_id AND b.bar = l.bar")
+SOME_BARS = "(SELECT *, lag(bar) OVER w AS prior, lag(end_date) OVER w AS until FROM (SELECT etf_id, bar, start_date, CASE WHEN bar % 17 = 3 THEN end_date + 20 ELSE end_date END AS end_date FROM fx_bar WHERE bar % 11 <> 4) WINDOW w AS (PARTITION BY etf_id ORDER BY bar))"
+BAR_LABELS = f"({LABEL_SQL}) l FULL JOIN {SOME_BARS} b ON b.etf_id = l.etf_id AND b.bar = l.bar"
+BAR_CHECKS = {
+    "gap": ("bar <> prior + 1", SOME_BARS),
+    "overlap": ("start_date <= until", SOME_BARS),
+    "bar_order": ("start_date > end_date", SOME_BARS),
+    "repeated_bar": ("i > 1", f"(SELECT row_number() OVER (PARTITION BY etf_id, bar) AS i FROM {SOME_BARS})"),
+    "repeated_label": ("i > 1", f"(SELECT row_number() OVER (PARTITION BY etf_id, bar) AS i FROM ({LABEL_SQL}))"),
+    "label_without_bar": ("b.bar IS NULL", BAR_LABELS),
+    "bar_without_label": ("l.bar IS NULL", BAR_LABELS),
+    "label_start": ("l.t0 <> b.end_date", BAR_LABELS),
+    "label_order": ("l.t1 < l.t0", BAR_LABELS),
+}
+
+
+# Some bars are gone and some end late, so that the counts show.
+@query("v03_cross_table_checks", " UNION ALL ".join(CHECK.format(name, rule, rows) for name, (rule, rows) in BAR_CHECKS.items()))
 def v03(v: Views) -> DataFrame:
-    rows = labelled(v).join(v.bar.select("etf_id", "bar", F.lit(True).alias("known")), ["etf_id", "bar"], "left")
-    return rows.agg(F.count_if(F.col("t1") < F.col("t0")).alias("backwards"), F.count_if(F.col("known").isNull()).alias("without_bar"), F.count("*").alias("n"))
+    late = F.when(F.col("bar") % 17 == 3, F.date_add("end_date", 20)).otherwise(F.col("end_date"))
+    return validators.bar_violations(v.bar.where("bar % 11 <> 4").withColumn("end_date", late), labelled(v))
 
 
-@query("v05_readiness", "SELECT etf_id, count(*) AS bars, count(*) >= 120 AS enough, max(days) <= 60 AS short_enough, count(*) >= 120 AND max(days) <= 60 AS ready FROM fx_bar GROUP BY 1")
+@query("v05_readiness", "SELECT etf_id, count(*) AS bars, max(days) AS longest, count(*) >= 120 AS enough, max(days) <= 60 AS short_enough, count(*) >= 120 AND max(days) <= 60 AS ready FROM fx_bar GROUP BY 1")
 def v05(v: Views) -> DataFrame:
-    enough, short = F.count("*") >= 120, F.max("days") <= 60
-    return v.bar.groupBy("etf_id").agg(F.count("*").alias("bars"), enough.alias("enough"), short.alias("short_enough"), (enough & short).alias("ready"))
+    return validators.readiness(v.bar)
 
 
 # A resumed run gives what the whole one gives, which the SQL makes.

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.operators import labels, models
+from chronofold.operators import features, labels, models, validators
 from chronofold.operators import relational as R
 
 from .catalog import query
-from .domain import LABEL_SQL, UNIQUE_SQL, labelled
+from .domain import FOLD_SQL, LABEL_SQL, UNIQUE_SQL, labelled
 from .views import Views
+from .windows import SPREAD_SQL
 
 RETURN_SQL = "SELECT date, etf_id, nav / lag(nav) OVER (PARTITION BY etf_id ORDER BY date) - 1 AS ret FROM fx_curve"
 SCORE_SQL = "SELECT etf_id, bar, end_date, ((bar * 37 + length(etf_id) * 11) % 101) / 101.0 AS p FROM fx_bar"
@@ -55,11 +56,15 @@ def t06(v: Views) -> DataFrame:
     return best.select("threshold", F.round("gain", 9).alias("gain"), F.round("share", 9).alias("share"))
 
 
-@query("t07_gate_metrics", f"SELECT etf_id, count(*) AS n, round(avg(CASE WHEN (p >= 0.5) = (label > 0) THEN 1.0 ELSE 0 END), 9) AS accuracy, CASE WHEN count(*) >= 100 THEN 'ok' ELSE 'few' END AS status FROM ({SCORE_SQL}) s JOIN ({LABEL_SQL}) l USING (etf_id, bar) WHERE label IS NOT NULL GROUP BY 1")
+@query("t07_gate_metrics", f"""SELECT etf_id, count(*) AS n, round(avg(CAST(c AS INTEGER)), 9) AS share, round(avg(CAST(c = y AS INTEGER)), 9) AS accuracy,
+    CASE WHEN count(*) FILTER (WHERE c) > 0 THEN round(count(*) FILTER (WHERE c AND y) / count(*) FILTER (WHERE c), 9) END AS precision,
+    CASE WHEN count(*) FILTER (WHERE y) > 0 THEN round(count(*) FILTER (WHERE c AND y) / count(*) FILTER (WHERE y), 9) END AS recall,
+    CASE WHEN count(*) < 100 THEN 'few' WHEN min(y) = max(y) THEN 'one_sided' ELSE 'ok' END AS status
+    FROM (SELECT etf_id, p >= 0.5 AS c, label > 0 AS y FROM ({SCORE_SQL}) s JOIN ({LABEL_SQL}) l USING (etf_id, bar) WHERE label IS NOT NULL) GROUP BY 1""")
 def t07(v: Views) -> DataFrame:
-    rows = scores(v).join(labelled(v).where("label is not null").select("etf_id", "bar", "label"), ["etf_id", "bar"])
-    right = F.when((F.col("p") >= 0.5) == (F.col("label") > 0), 1.0).otherwise(0.0)
-    return rows.groupBy("etf_id").agg(F.count("*").alias("n"), F.round(F.avg(right), 9).alias("accuracy"), F.when(F.count("*") >= 100, "ok").otherwise("few").alias("status"))
+    rows = scores(v).join(labelled(v).select("etf_id", "bar", "label"), ["etf_id", "bar"])
+    found = validators.gate_metrics(rows, "p", F.col("label") > 0)
+    return found.withColumns({c: F.round(c, 9) for c in ("share", "accuracy", "precision", "recall")})
 
 
 CUSUM_SQL = f"""WITH RECURSIVE s AS MATERIALIZED ({SCORE_SQL}), m(etf_id, bar, score, is_long, changed) AS (SELECT DISTINCT etf_id, -1::BIGINT, 0.0::DOUBLE, false, false FROM s UNION ALL
@@ -128,10 +133,15 @@ def t14(v: Views) -> DataFrame:
     return v.spark.createDataFrame([(k, e.n, round(e.sharpe, 9), round(e.skew, 6), round(e.kurtosis, 5)) for k, e in found], "etf_id string, n long, sharpe double, skew double, kurtosis double")
 
 
-@query("t16_feature_coverage", f"WITH f AS (SELECT *, ntile(3) OVER (ORDER BY etf_id, bar) AS fold FROM ({LABEL_SQL}) WHERE t1 IS NOT NULL) SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, count(label) AS label, count(*) FILTER (WHERE reason = 'upper') AS upper FROM f GROUP BY 1")
+COVER = "SELECT CAST(fold AS INTEGER) AS fold, '{0}' AS feature, count(*) AS n, count({0}) AS known FROM (" + FOLD_SQL + ") f JOIN (" + SPREAD_SQL + ") x USING (etf_id, bar) WHERE part = 'train' GROUP BY 1"
+
+
+@query("t16_feature_coverage", " UNION ALL ".join(COVER.format(c) for c in ("level14", "change14", "level60", "change60")))
 def t16(v: Views) -> DataFrame:
-    rows = labelled(v).where("t1 is not null").withColumn("fold", F.ntile(3).over(Window.orderBy("etf_id", "bar")))
-    return rows.groupBy("fold").agg(F.count("*").alias("n"), F.count("label").alias("label"), F.count_if(F.col("reason") == "upper").alias("upper"))
+    names = ["level14", "change14", "level60", "change60"]
+    rows = features.deviations(features.difference(v.bar.withColumn("y", F.ln("close")), "y", "d"), "y", "d")
+    folds = labels.purged_folds(labelled(v).where("t1 is not null"), 3).where("part = 'train'").select("fold", "etf_id", "bar")
+    return validators.feature_coverage(folds.join(rows, ["etf_id", "bar"]), "fold", names)
 
 
 TARGET_SQL = """WITH c AS (SELECT etf_id, date, nav FROM fx_curve), b AS (SELECT etf_id, bar, end_date, lead(end_date, 6) OVER (PARTITION BY etf_id ORDER BY bar) AS vertical FROM fx_bar),

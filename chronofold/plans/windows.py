@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofold.functions.statistics import kurtosis_unbiased, skewness_unbiased
+from chronofold.operators import features
 from chronofold.operators.signals import full, trailing
 
 from .catalog import query
-from .views import Views
+from .views import Views, number
 
 DENSE = "PARTITION BY ticker ORDER BY date"
 BARS = "PARTITION BY etf_id ORDER BY bar"
+SERIES = ("ticker", "date")
 
 
 def r(c: Column, digits: int = 6) -> Column:
@@ -87,10 +88,18 @@ def w08(v: Views) -> DataFrame:
     return rows.select("date", "ticker", r(F.when(d > 0, F.avg("ret").over(w) / F.sqrt(d) * F.sqrt(F.lit(252.0)))).alias("sortino"))
 
 
-@query("w09_index_sum20", "SELECT date, CASE WHEN count(*) OVER w = 20 THEN round(sum(traded_value) OVER w, 2) END AS index_sum20 FROM fx_index WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+TOTAL_SQL = """SELECT date AS formation_date, round(total, 2) AS total FROM (
+    SELECT date, month, k, n, session_idx, sum(traded_value) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS total
+    FROM fx_calendar c JOIN fx_index i USING (date, session_idx)) WHERE k = n AND session_idx >= (SELECT min(session_idx) + 19 FROM fx_calendar)"""
+
+
+# The first formations have no 20 sessions yet; the operator fails for such ones.
+@query("w09_index_sum20", TOTAL_SQL)
 def w09(v: Views) -> DataFrame:
-    w = Window.orderBy("date").rowsBetween(-19, 0)
-    return v.index.select("date", r(full(F.sum, "traded_value", w, 20), 2).alias("index_sum20"))
+    first = v.calendar.agg(F.min("session_idx").alias("first"))
+    ends = v.calendar.where("k = n").join(F.broadcast(first), F.col("session_idx") >= F.col("first") + 19)
+    total = features.index_total(v.index, v.calendar, ends.select(F.col("date").alias("formation_date")))
+    return total.withColumn("total", r(F.col("total"), 2))
 
 
 @query("w10_expanding_adv20", "SELECT date, ticker, round(avg(coalesce(traded_value, 0)) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) AS adv20 FROM fx_price")
@@ -98,100 +107,120 @@ def w10(v: Views) -> DataFrame:
     return v.price.select("date", "ticker", r(F.avg(F.coalesce("traded_value", F.lit(0.0))).over(trailing("ticker", "date", 20)), 4).alias("adv20"))
 
 
-@query("w11_lagged_baseline", f"SELECT date, ticker, CASE WHEN count(x) OVER w >= 20 THEN quantile_cont(x, 0.5) OVER w END AS baseline FROM (SELECT date, ticker, CASE WHEN traded_value > 100000 THEN traded_value END AS x FROM fx_dense) WINDOW w AS ({DENSE} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)")
+# Some amounts are 0 or negative here, which count as missing.
+@query("w11_lagged_baseline", f"""SELECT date, ticker, CASE WHEN count(x) OVER w >= 20 THEN quantile_cont(x, 0.5) OVER w END AS baseline
+    FROM (SELECT date, ticker, CASE WHEN session_idx % 13 > 1 AND traded_value > 0 THEN traded_value END AS x FROM fx_dense)
+    WINDOW w AS ({DENSE} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""")
 def w11(v: Views) -> DataFrame:
-    rows = v.dense.withColumn("x", F.when(F.col("traded_value") > 100000, F.col("traded_value")))
-    w = trailing("ticker", "date", 60, 1)
-    return rows.select("date", "ticker", F.when(F.count("x").over(w) >= 20, F.percentile("x", 0.5).over(w)).alias("baseline"))
+    kind = F.col("session_idx") % 13
+    rows = v.dense.withColumn("traded_value", F.when(kind == 0, 0.0).when(kind == 1, -F.col("traded_value")).otherwise(F.col("traded_value")))
+    return features.lagged_baseline(rows, "traded_value", SERIES).select("date", "ticker", "baseline")
 
 
 BAR_Y = "(SELECT etf_id, bar, end_date, ln(close) AS y, high, low, close, amount, days FROM fx_bar)"
+CHANGES = f"(SELECT *, y - lag(y) OVER ({BARS}) AS d FROM {BAR_Y})"
 
 
 def bars(v: Views) -> DataFrame:
     return v.bar.withColumn("y", F.ln("close"))
 
 
-@query("w12_moving_mean_distance_z", f"""SELECT etf_id, bar, CASE WHEN n = 20 THEN round(m, 9) END AS mean20, CASE WHEN n = 20 THEN round(y - m, 9) END AS distance, CASE WHEN n = 20 AND s > 0 THEN round((y - m) / s, 6) END AS z
-  FROM (SELECT etf_id, bar, y, count(y) OVER w AS n, avg(y) OVER w AS m, stddev_samp(y) OVER w AS s FROM {BAR_Y} WINDOW w AS ({BARS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")
-def w12(v: Views) -> DataFrame:
-    w = trailing("etf_id", "bar", 20)
-    m, s = full(F.avg, "y", w, 20), full(F.stddev_samp, "y", w, 20)
-    return bars(v).select("etf_id", "bar", r(m, 9).alias("mean20"), r(F.col("y") - m, 9).alias("distance"), r(F.when(s > 0, (F.col("y") - m) / s)).alias("z"))
+def changes(v: Views) -> DataFrame:
+    return features.difference(bars(v), "y", "d")
 
 
-@query("w13_rolling_deviation", f"""SELECT etf_id, bar, CASE WHEN count(y) OVER a = 14 THEN round(stddev_samp(y) OVER a, 9) END AS level14, CASE WHEN count(d) OVER b = 60 THEN round(stddev_samp(d) OVER b, 9) END AS change60
-  FROM (SELECT etf_id, bar, y, y - lag(y) OVER ({BARS}) AS d FROM {BAR_Y}) WINDOW a AS ({BARS} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), b AS ({BARS} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
-def w13(v: Views) -> DataFrame:
-    rows = changes(v)
-    return rows.select("etf_id", "bar", r(full(F.stddev_samp, "y", trailing("etf_id", "bar", 14), 14), 9).alias("level14"), r(full(F.stddev_samp, "d", trailing("etf_id", "bar", 60), 60), 9).alias("change60"))
+def rounded(rows: DataFrame, keys: list[str], **digits: int) -> DataFrame:
+    return rows.select(*keys, *(r(F.col(c), n).alias(c) for c, n in digits.items()))
 
 
-def changes(v: Views) -> DataFrame:
-    return bars(v).withColumn("d", F.col("y") - F.lag("y").over(Window.partitionBy("etf_id").orderBy("bar")))
+BAR_KEY = ["etf_id", "bar"]
 
 
-CHANGES = f"(SELECT *, y - lag(y) OVER ({BARS}) AS d FROM {BAR_Y})"
+def spans(**rows: int) -> str:
+    """SQL of named trailing windows over bars."""
+    return ", ".join(f"{name} AS ({BARS} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for name, n in rows.items())
+
+
+@query("w12_moving_mean_distance_z", f"""SELECT etf_id, bar, CASE WHEN n = 20 THEN round(m, 9) END AS mean, CASE WHEN n = 20 THEN round(y - m, 9) END AS distance,
+    CASE WHEN n = 20 AND s > 0 THEN round((y - m) / s, 6) END AS z
+    FROM (SELECT etf_id, bar, y, count(y) OVER w AS n, avg(y) OVER w AS m, stddev_samp(y) OVER w AS s FROM {BAR_Y} WINDOW {spans(w=20)})""")
+def w12(v: Views) -> DataFrame:
+    return rounded(features.moving_mean(bars(v), "y"), BAR_KEY, mean=9, distance=9, z=6)
+
+
+SPREAD_SQL = f"""SELECT etf_id, bar, CASE WHEN count(y) OVER a = 14 THEN round(stddev_samp(y) OVER a, 9) END AS level14,
+    CASE WHEN count(d) OVER a = 14 THEN round(stddev_samp(d) OVER a, 9) END AS change14,
+    CASE WHEN count(y) OVER b = 60 THEN round(stddev_samp(y) OVER b, 9) END AS level60,
+    CASE WHEN count(d) OVER b = 60 THEN round(stddev_samp(d) OVER b, 9) END AS change60 FROM {CHANGES} WINDOW {spans(a=14, b=60)}"""
 
 
-@query("w14_rolling_shape", f"SELECT etf_id, bar, CASE WHEN count(d) OVER w >= 30 THEN round(skewness(d) OVER w, 6) END AS skew, CASE WHEN count(d) OVER w >= 30 THEN round(kurtosis(d) OVER w, 5) END AS kurt FROM {CHANGES} WINDOW w AS ({BARS} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")
+@query("w13_rolling_deviation", SPREAD_SQL)
+def w13(v: Views) -> DataFrame:
+    return rounded(features.deviations(changes(v), "y", "d"), BAR_KEY, level14=9, change14=9, level60=9, change60=9)
+
+
+@query("w14_rolling_shape", f"""SELECT etf_id, bar, CASE WHEN count(d) OVER w >= 30 THEN round(skewness(d) OVER w, 6) END AS skew,
+    CASE WHEN count(d) OVER w >= 30 THEN round(kurtosis(d) OVER w, 5) END AS kurt FROM {CHANGES} WINDOW {spans(w=60)}""")
 def w14(v: Views) -> DataFrame:
-    w = trailing("etf_id", "bar", 60)
-    enough = F.count("d").over(w) >= 30
-    return changes(v).select("etf_id", "bar", r(F.when(enough, skewness_unbiased("d", w))).alias("skew"), r(F.when(enough, kurtosis_unbiased("d", w)), 5).alias("kurt"))
+    return rounded(features.shape(changes(v), "d"), BAR_KEY, skew=6, kurt=5)
 
 
-@query("w15_downside_volatility", f"SELECT etf_id, bar, CASE WHEN n >= 30 THEN round(s, 9) END AS vol, CASE WHEN n >= 30 THEN round(sqrt(q), 9) END AS downside FROM (SELECT etf_id, bar, count(d) OVER w AS n, stddev_samp(d) OVER w AS s, avg(CASE WHEN d < 0 THEN d * d WHEN d IS NOT NULL THEN 0 END) OVER w AS q FROM {CHANGES} WINDOW w AS ({BARS} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))")
+@query("w15_downside_volatility", f"""SELECT etf_id, bar, CASE WHEN n >= 30 THEN round(s, 9) END AS vol, CASE WHEN n >= 30 THEN round(sqrt(q), 9) END AS downside
+    FROM (SELECT etf_id, bar, count(d) OVER w AS n, stddev_samp(d) OVER w AS s, avg(CASE WHEN d < 0 THEN d * d WHEN d IS NOT NULL THEN 0 END) OVER w AS q
+    FROM {CHANGES} WINDOW {spans(w=60)})""")
 def w15(v: Views) -> DataFrame:
-    w = trailing("etf_id", "bar", 60)
-    rows = changes(v).withColumn("q", F.when(F.col("d") < 0, F.col("d") * F.col("d")).when(F.col("d").isNotNull(), 0.0))
-    return rows.select("etf_id", "bar", r(full(F.stddev_samp, "d", w, 30), 9).alias("vol"), r(F.sqrt(full(F.avg, "q", w, 30)), 9).alias("downside"))
+    return rounded(features.downside(changes(v), "d"), BAR_KEY, vol=9, downside=9)
 
 
-@query("w16_efficiency_ratio", f"SELECT etf_id, bar, CASE WHEN n = 20 AND t > 0 THEN round(abs(y - y20) / t, 9) END AS efficiency FROM (SELECT etf_id, bar, y, lag(y, 20) OVER ({BARS}) AS y20, count(d) OVER w AS n, sum(abs(d)) OVER w AS t FROM {CHANGES} WINDOW w AS ({BARS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))")
+@query("w16_efficiency_ratio", f"""SELECT etf_id, bar, CASE WHEN n = 20 AND t > 0 THEN round(abs(y - y20) / t, 9) END AS efficiency
+    FROM (SELECT etf_id, bar, y, lag(y, 20) OVER ({BARS}) AS y20, count(d) OVER w AS n, sum(abs(d)) OVER w AS t FROM {CHANGES} WINDOW {spans(w=20)})""")
 def w16(v: Views) -> DataFrame:
-    w, order = trailing("etf_id", "bar", 20), Window.partitionBy("etf_id").orderBy("bar")
-    rows = changes(v).withColumn("a", F.abs("d"))
-    path = full(F.sum, "a", w, 20)
-    return rows.select("etf_id", "bar", r(F.when(path > 0, F.abs(F.col("y") - F.lag("y", 20).over(order)) / path), 9).alias("efficiency"))
+    return rounded(features.efficiency(changes(v), "y", "d"), BAR_KEY, efficiency=9)
 
 
-@query("w17_rolling_drawdown", f"SELECT etf_id, bar, round(y - max(y) OVER ({BARS} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 12) AS drawdown FROM {BAR_Y}")
+@query("w17_rolling_drawdown", f"SELECT etf_id, bar, round(y - max(y) OVER w, 12) AS drawdown FROM {BAR_Y} WINDOW {spans(w=60)}")
 def w17(v: Views) -> DataFrame:
-    return bars(v).select("etf_id", "bar", r(F.col("y") - F.max("y").over(trailing("etf_id", "bar", 60)), 12).alias("drawdown"))
+    return rounded(features.drawdown(bars(v), "y"), BAR_KEY, drawdown=12)
 
 
-@query("w18_bar_shape", f"""SELECT etf_id, bar, round((high - low) / close, 9) AS range, round(ln(1 + amount), 9) AS log_amount, CASE WHEN count(days) OVER w = 20 THEN days / (quantile_cont(days, 0.5) OVER w) END AS surprise, CASE WHEN count(amount) OVER w = 20 THEN round(amount / avg(amount) OVER w, 9) END AS amount_ratio
-  FROM fx_bar WINDOW w AS ({BARS} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
+@query("w18_bar_shape", f"""SELECT etf_id, bar, round((high - low) / close, 9) AS range, round(ln(1 + amount), 9) AS log_amount,
+    CASE WHEN count(days) OVER w = 20 THEN round(days / (quantile_cont(days, 0.5) OVER w), 9) END AS surprise,
+    CASE WHEN count(amount) OVER w = 20 THEN round(amount / avg(amount) OVER w, 9) END AS amount_ratio
+    FROM fx_bar WINDOW w AS ({BARS} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def w18(v: Views) -> DataFrame:
-    w = trailing("etf_id", "bar", 20, 1)
-    enough = F.count("days").over(w) == 20
-    return v.bar.select("etf_id", "bar", r((F.col("high") - F.col("low")) / F.col("close"), 9).alias("range"), r(F.log1p("amount"), 9).alias("log_amount"), F.when(enough, F.col("days") / F.percentile("days", 0.5).over(w)).alias("surprise"), r(F.when(enough, F.col("amount") / F.avg("amount").over(w)), 9).alias("amount_ratio"))
+    return rounded(features.bar_shape(v.bar), BAR_KEY, range=9, log_amount=9, surprise=9, amount_ratio=9)
+
 
+AMIHUD_SQL = f"""SELECT etf_id, bar, a AS amihud, CASE WHEN n = 20 THEN m END AS mean, CASE WHEN n = 20 AND error > 0 THEN slope END AS slope,
+    CASE WHEN n = 20 AND error > 0 THEN slope / error END AS t FROM (SELECT *, sqrt(greatest(syy - sxy * sxy / sxx, 0) / 18 / sxx) AS error, sxy / sxx AS slope
+    FROM (SELECT etf_id, bar, a, count(a) OVER w AS n, avg(a) OVER w AS m, regr_sxx(a, bar) OVER w AS sxx, regr_syy(a, bar) OVER w AS syy, regr_sxy(a, bar) OVER w AS sxy
+    FROM (SELECT etf_id, bar, abs(d) / nullif(amount, 0) AS a FROM {CHANGES}) WINDOW {spans(w=20)}))"""
 
-@query("w20_amihud_trend", f"""SELECT etf_id, bar, round(1e6 * a, 9) AS amihud, CASE WHEN n = 20 THEN round(1e6 * m, 9) END AS mean20, CASE WHEN n = 20 THEN round(1e6 * s, 9) END AS slope FROM (SELECT etf_id, bar, a, count(a) OVER w AS n, avg(a) OVER w AS m, regr_slope(a, bar) OVER w AS s
-  FROM (SELECT etf_id, bar, abs(d) / amount AS a FROM {CHANGES}) WINDOW w AS ({BARS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")
+
+@query("w20_amihud_trend", f"SELECT etf_id, bar, round(1e6 * amihud, 9) AS amihud, round(1e6 * mean, 9) AS mean20, round(1e6 * slope, 9) AS slope, round(t, 5) AS t FROM ({AMIHUD_SQL})")
 def w20(v: Views) -> DataFrame:
-    w = trailing("etf_id", "bar", 20)
-    rows = changes(v).withColumn("a", F.abs("d") / F.col("amount"))
-    enough = F.count("a").over(w) == 20
-    return rows.select("etf_id", "bar", r(1e6 * F.col("a"), 9).alias("amihud"), r(1e6 * F.when(enough, F.avg("a").over(w)), 9).alias("mean20"), r(1e6 * F.when(enough, F.regr_slope("a", "bar").over(w)), 9).alias("slope"))
+    rows = features.amihud(changes(v), "d", "amount")
+    scaled = rows.select(*BAR_KEY, (1e6 * F.col("amihud")).alias("amihud"), (1e6 * F.col("amihud_mean")).alias("mean20"), (1e6 * F.col("slope")).alias("slope"), "t")
+    return rounded(scaled, BAR_KEY, amihud=9, mean20=9, slope=9, t=5)
 
 
-@query("w21_roll_spread", f"SELECT etf_id, bar, CASE WHEN n = 20 AND c < 0 THEN round(2 * sqrt(-c), 9) END AS spread, CASE WHEN n < 20 THEN 'short' WHEN c >= 0 THEN 'non_negative_covariance' END AS reason FROM (SELECT etf_id, bar, count(d1) OVER w AS n, covar_samp(d, d1) OVER w AS c FROM (SELECT etf_id, bar, d, lag(d) OVER ({BARS}) AS d1 FROM {CHANGES}) WINDOW w AS ({BARS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))")
+@query("w21_roll_spread", f"""SELECT etf_id, bar, CASE WHEN n = 20 AND c < 0 THEN round(2 * sqrt(-c), 9) END AS spread,
+    CASE WHEN n < 20 THEN 'short' WHEN c >= 0 THEN 'non_negative_covariance' END AS spread_reason
+    FROM (SELECT etf_id, bar, count(d1) OVER w AS n, covar_samp(d, d1) OVER w AS c
+    FROM (SELECT etf_id, bar, d, lag(d) OVER ({BARS}) AS d1 FROM {CHANGES}) WINDOW {spans(w=20)})""")
 def w21(v: Views) -> DataFrame:
-    w = trailing("etf_id", "bar", 20)
-    rows = changes(v).withColumn("d1", F.lag("d").over(Window.partitionBy("etf_id").orderBy("bar")))
-    n, c = F.count("d1").over(w), F.covar_samp("d", "d1").over(w)
-    return rows.select("etf_id", "bar", r(F.when((n == 20) & (c < 0), 2 * F.sqrt(-c)), 9).alias("spread"), F.when(n < 20, "short").when(c >= 0, "non_negative_covariance").alias("reason"))
+    return features.roll_spread(changes(v), "d").select(*BAR_KEY, r(F.col("spread"), 9).alias("spread"), "spread_reason")
+
+
+INDEX_D = "(SELECT date, ln(traded_value) AS y, ln(traded_value) - lag(ln(traded_value)) OVER (ORDER BY date) AS d FROM fx_index)"
+INDEX_SPANS = "a AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
 
 
-@query("w22_index_features", """SELECT date, round(d, 12) AS d, CASE WHEN count(d) OVER a = 20 THEN round(stddev_samp(d) OVER a, 9) END AS vol20, round(y - max(y) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 12) AS drawdown
-  FROM (SELECT date, ln(traded_value) AS y, ln(traded_value) - lag(ln(traded_value)) OVER (ORDER BY date) AS d FROM fx_index) WINDOW a AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+@query("w22_index_features", f"""SELECT date, round(d, 12) AS d, CASE WHEN count(d) OVER a = 20 THEN round(stddev_samp(d) OVER a, 9) END AS vol20,
+    CASE WHEN count(d) OVER b = 60 THEN round(stddev_samp(d) OVER b, 9) END AS vol60, round(y - max(y) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 12) AS drawdown
+    FROM {INDEX_D} WINDOW {INDEX_SPANS}""")
 def w22(v: Views) -> DataFrame:
-    order = Window.orderBy("date")
-    rows = v.index.withColumn("y", F.ln("traded_value")).withColumn("d", F.col("y") - F.lag("y").over(order))
-    return rows.select("date", r(F.col("d"), 12).alias("d"), r(full(F.stddev_samp, "d", order.rowsBetween(-19, 0), 20), 9).alias("vol20"), r(F.col("y") - F.max("y").over(order.rowsBetween(Window.unboundedPreceding, 0)), 12).alias("drawdown"))
+    return rounded(features.index_features(v.index, "traded_value"), ["date"], d=12, vol20=9, vol60=9, drawdown=12)
 
 
 @query("w23_rolling_beta", f"""SELECT date, ticker, CASE WHEN n = 60 THEN round(b, 6) END AS beta, CASE WHEN n = 60 THEN round(c, 6) END AS cor FROM (SELECT date, ticker, count(ret) OVER w AS n, covar_samp(ret, x) OVER w / var_samp(x) OVER w AS b, corr(ret, x) OVER w AS c
@@ -205,31 +234,34 @@ def w23(v: Views) -> DataFrame:
     return rows.select("date", "ticker", r(F.when(enough, F.covar_samp("ret", "x").over(w) / F.var_samp("x").over(w))).alias("beta"), r(F.when(enough, F.corr("ret", "x").over(w))).alias("cor"))
 
 
-@query("w24_staleness", """SELECT p.date, p.ticker, c.session_idx - s.session_idx AS age, CASE WHEN c.session_idx - s.session_idx > 4 THEN NULL ELSE s.r18 END AS r18, CASE WHEN s.r18 IS NULL THEN 'missing' WHEN c.session_idx - s.session_idx > 4 THEN 'stale' END AS reason
-  FROM fx_price p JOIN fx_calendar c ON c.date = p.date ASOF LEFT JOIN (SELECT ticker, r18, d.date, d.session_idx FROM fx_sales x ASOF JOIN fx_calendar d ON x.available <= d.date WHERE revision = 1) s ON s.ticker = p.ticker AND p.date >= s.date""")
+# An index seen on some sessions only: runs of unseen ones make observations old, the first bars have none.
+@query("w24_staleness", """SELECT etf_id, bar, here - seen AS age, CASE WHEN here - seen <= 1 THEN value END AS traded_value, CASE WHEN seen IS NULL THEN 'missing' WHEN here - seen > 1 THEN 'stale' END AS reason
+    FROM fx_bar b ASOF LEFT JOIN (SELECT date, session_idx AS here, max(known) OVER w AS seen, arg_max(traded_value, known) OVER w AS value
+    FROM (SELECT date, session_idx, traded_value, CASE WHEN session_idx % 7 < 4 AND session_idx >= 30 THEN session_idx END AS known FROM fx_index)
+    WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)) c ON b.end_date >= c.date""")
 def w24(v: Views) -> DataFrame:
-    from chronofold.operators.relational import asof_join
+    seen = v.index.where("session_idx % 7 < 4 and session_idx >= 30").select("date", "traded_value")
+    return features.aligned(v.bar, "end_date", seen, ["traded_value"], v.calendar).select("etf_id", "bar", "age", "traded_value", "reason")
 
-    days = v.calendar.select(F.col("date").alias("day"), F.col("session_idx").alias("known"))
-    sales = asof_join(v.sales.where("revision = 1"), days, "available", "day", ["day", "known"], forward=True).where("day is not null")
-    rows = asof_join(v.price.join(F.broadcast(v.calendar.select("date", "session_idx")), "date"), sales, "date", "day", ["known", "r18"], by=["ticker"])
-    age = F.col("session_idx") - F.col("known")
-    return rows.select("date", "ticker", age.alias("age"), F.when(age <= 4, F.col("r18")).alias("r18"), F.when(F.col("r18").isNull(), "missing").when(age > 4, "stale").alias("reason"))
 
-
-@query("w25_realized_volatility", "SELECT date, CASE WHEN count(x) OVER w = 20 THEN round(stddev_samp(x) OVER w * sqrt(252), 9) END AS realized20 FROM (SELECT date, ln(traded_value / lag(traded_value) OVER (ORDER BY date)) AS x FROM fx_index) WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+@query("w25_realized_volatility", f"""SELECT date, CASE WHEN count(d) OVER a = 20 THEN round(stddev_samp(d) OVER a * sqrt(252), 9) END AS realized20,
+    CASE WHEN count(d) OVER b = 60 THEN round(stddev_samp(d) OVER b * sqrt(252), 9) END AS realized60 FROM {INDEX_D} WINDOW {INDEX_SPANS}""")
 def w25(v: Views) -> DataFrame:
-    order = Window.orderBy("date")
-    rows = v.index.select("date", F.ln(F.col("traded_value") / F.lag("traded_value").over(order)).alias("x"))
-    return rows.select("date", r(full(F.stddev_samp, "x", order.rowsBetween(-19, 0), 20) * F.sqrt(F.lit(252.0)), 9).alias("realized20"))
+    return rounded(features.realized_volatility(v.index, "traded_value"), ["date"], realized20=9, realized60=9)
+
+
+@query("w25_bar_return_deviation", f"SELECT etf_id, bar, CASE WHEN count(d) OVER w = 14 THEN round(stddev_samp(d) OVER w, 9) END AS bar_deviation FROM {CHANGES} WINDOW {spans(w=14)}")
+def w25_bars(v: Views) -> DataFrame:
+    return rounded(features.bar_return_deviation(v.bar), BAR_KEY, bar_deviation=9)
 
 
-@query("w26_flow_z_score", f"SELECT date, ticker, CASE WHEN n = 20 AND s > 0 THEN round((x - m) / s, 6) END AS z FROM (SELECT date, ticker, x, count(x) OVER w AS n, avg(x) OVER w AS m, stddev_samp(x) OVER w AS s FROM (SELECT d.date, d.ticker, c.fund AS x FROM fx_dense d LEFT JOIN fx_chip c ON c.date = d.date AND c.ticker = d.ticker) WINDOW w AS ({DENSE} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))")
+@query("w26_flow_z_score", f"""SELECT date, ticker, CASE WHEN n = 20 AND s > 0 THEN round((x - m) / s, 6) END AS z
+    FROM (SELECT date, ticker, x, count(x) OVER w AS n, avg(x) OVER w AS m, stddev_samp(x) OVER w AS s
+    FROM (SELECT d.date, d.ticker, c.fund AS x FROM fx_dense d LEFT JOIN fx_chip c ON c.date = d.date AND c.ticker = d.ticker)
+    WINDOW w AS ({DENSE} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""")
 def w26(v: Views) -> DataFrame:
-    w = trailing("ticker", "date", 20)
-    rows = v.dense.select("date", "ticker").join(v.chip.select("date", "ticker", F.col("fund").alias("x")), ["date", "ticker"], "left")
-    m, s = full(F.avg, "x", w, 20), full(F.stddev_samp, "x", w, 20)
-    return rows.select("date", "ticker", r(F.when(s > 0, (F.col("x") - m) / s)).alias("z"))
+    rows = v.dense.select("date", "ticker").join(v.chip.select("date", "ticker", "fund"), ["date", "ticker"], "left")
+    return rounded(features.z_score(rows, "fund", SERIES), ["date", "ticker"], z=6)
 
 
 @query("w28_lag_and_change", "SELECT date, etf_id, lag(nav) OVER (PARTITION BY etf_id ORDER BY date) AS prior, round(nav / lag(nav) OVER (PARTITION BY etf_id ORDER BY date) - 1, 12) AS change FROM fx_curve")
@@ -238,25 +270,27 @@ def w28(v: Views) -> DataFrame:
     return v.curve.select("date", "etf_id", prior.alias("prior"), r(F.col("nav") / prior - 1, 12).alias("change"))
 
 
-@query("w29_monthly_turnover", """WITH m AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS month, etf_id, ticker, w FROM fx_holding WHERE date IN (SELECT max(date) FROM fx_calendar GROUP BY month)),
-  b AS (SELECT month, etf_id, count(*) AS n FROM m GROUP BY 1, 2), k AS (SELECT a.month, a.etf_id, count(*) AS kept FROM m a JOIN m p ON p.etf_id = a.etf_id AND p.ticker = a.ticker AND p.month = CAST(a.month - INTERVAL 1 MONTH AS DATE) GROUP BY 1, 2)
-  SELECT b.month, b.etf_id, round(1 - coalesce(k.kept, 0) / b.n, 9) AS replaced FROM b JOIN b p ON p.etf_id = b.etf_id AND p.month = CAST(b.month - INTERVAL 1 MONTH AS DATE) LEFT JOIN k ON k.month = b.month AND k.etf_id = b.etf_id""")
+# Weights that differ by ticker, so that the turnover of weights isn't that of names.
+CHANGES_SQL = """WITH h AS (SELECT date, etf_id, ticker, w * (1 + CAST(ticker AS INTEGER) % 3) AS w, date_trunc('month', date)::DATE AS month FROM fx_holding),
+    m AS (SELECT * FROM h QUALIFY date = max(date) OVER (PARTITION BY etf_id, month)),
+    p AS (SELECT etf_id, month, lag(month) OVER (PARTITION BY etf_id ORDER BY month) AS prior FROM (SELECT DISTINCT etf_id, month FROM m)),
+    o AS (SELECT p.etf_id, p.month, m.ticker, m.w FROM p JOIN m ON m.etf_id = p.etf_id AND m.month = p.prior),
+    x AS (SELECT coalesce(m.etf_id, o.etf_id) AS etf_id, coalesce(m.month, o.month) AS month, m.w AS new, o.w AS old FROM m FULL JOIN o ON m.etf_id = o.etf_id AND m.month = o.month AND m.ticker = o.ticker)
+    SELECT etf_id, month, CASE WHEN count(old) > 0 THEN round(1 - count(*) FILTER (WHERE new IS NOT NULL AND old IS NOT NULL) / count(old), 9) END AS replaced,
+    CASE WHEN count(old) > 0 THEN round(sum(abs(coalesce(new, 0) - coalesce(old, 0))) / 2, 9) END AS turnover FROM x GROUP BY 1, 2"""
+
+
+@query("w29_monthly_turnover", CHANGES_SQL)
 def w29(v: Views) -> DataFrame:
-    ends = v.calendar.groupBy("month").agg(F.max("date").alias("date"))
-    m = v.holding.join(F.broadcast(ends), "date").select("month", "etf_id", "ticker")
-    prior = m.select(F.add_months("month", 1).alias("month"), "etf_id", "ticker", F.lit(1).alias("was"))
-    there = prior.select("month", "etf_id").distinct()
-    rows = m.join(prior, ["month", "etf_id", "ticker"], "left").join(there, ["month", "etf_id"])
-    return rows.groupBy("month", "etf_id").agg(r(1 - F.count("was") / F.count("*"), 9).alias("replaced"))
+    held = v.holding.withColumn("w", F.col("w") * (1 + number("ticker") % 3))
+    return rounded(features.monthly_changes(held), ["etf_id", "month"], replaced=9, turnover=9)
 
 
 @query("w30_performance_summary", """SELECT etf_id, min(dd) AS max_drawdown, round(avg(ret) / stddev_samp(ret) * sqrt(252), 9) AS sharpe, round(stddev_samp(ret) * sqrt(252), 9) AS vol
-  FROM (SELECT etf_id, nav / max(nav) OVER (PARTITION BY etf_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd, nav / lag(nav) OVER (PARTITION BY etf_id ORDER BY date) - 1 AS ret FROM fx_curve) GROUP BY etf_id""")
+    FROM (SELECT etf_id, nav / max(nav) OVER (PARTITION BY etf_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd,
+    nav / lag(nav) OVER (PARTITION BY etf_id ORDER BY date) - 1 AS ret FROM fx_curve) GROUP BY etf_id""")
 def w30(v: Views) -> DataFrame:
-    order = Window.partitionBy("etf_id").orderBy("date")
-    rows = v.curve.select("etf_id", (F.col("nav") / F.max("nav").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("dd"), (F.col("nav") / F.lag("nav").over(order) - 1).alias("ret"))
-    year = F.sqrt(F.lit(252.0))
-    return rows.groupBy("etf_id").agg(F.min("dd").alias("max_drawdown"), r(F.avg("ret") / F.stddev_samp("ret") * year, 9).alias("sharpe"), r(F.stddev_samp("ret") * year, 9).alias("vol"))
+    return features.performance(v.curve).select("etf_id", "max_drawdown", r(F.col("sharpe"), 9).alias("sharpe"), r(F.col("vol"), 9).alias("vol"))
 
 
 @query("w31_schedule_index", "SELECT date, month, k, n FROM fx_calendar")
